@@ -242,16 +242,16 @@ def density_profile(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn(
-        "at",
+        "grid_x",
         F.col("low") - 3 * F.col("bw")
         + F.col("i") * (F.col("high") - F.col("low") + 6 * F.col("bw")) / (points - 1),
     )
     mid = F.col("low") + (F.col("slot") + 0.5) * (F.col("high") - F.col("low")) / bins
-    gap = (F.col("at") - mid) / F.col("bw")
+    gap = (F.col("grid_x") - mid) / F.col("bw")
     weight = F.col("n") * F.exp(-0.5 * gap * gap)
     scale = F.max("n_all") * F.max("bw") * math.sqrt(2 * math.pi)
     return (
         natural_join(grid, binned, "inner", keys)
         .groupBy(*keys, "i")
-        .agg(F.max("at").alias("at"), F.try_divide(F.sum(weight), scale).alias("density"))
+        .agg(F.max("grid_x").alias("grid_x"), F.try_divide(F.sum(weight), scale).alias("density"))
     )
