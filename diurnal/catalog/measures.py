@@ -17,6 +17,7 @@ from ..functions.nulls import rounded
 from ..functions.text import cross_label, earning_bounds, metro_slug, parse_number
 from ..operators import joins, order, reshape, segregation
 from ..operators.spatial import spatial_indices
+from ..session import settle
 from . import fixtures as fx
 from .fixtures import entropy_sql, r6, with_ctes
 from .grouping import _RACE, race_eth, weighted_median_sql
@@ -501,7 +502,7 @@ def msr_rank_change(spark, sf):
         F.avg("race_eth_div_am").alias("avg_div_whood"),
         F.avg("race_eth_div_pm").alias("avg_div_nhood"),
     )
-    top = order.top_with_ties(metros, 10, "tot_pop")
+    top = settle(order.top_with_ties(settle(metros, always=True), 10, "tot_pop"), always=True)
     for w in ("whood", "nhood"):
         top = order.add_rank(top, [], f"avg_div_{w}", f"{w}_div_rank", descending=True)
     return top.select(

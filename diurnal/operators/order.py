@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fits_broadcast, settle
 from .joins import attach, natural_join
 
 BINS = 64
@@ -36,25 +37,40 @@ def running_totals(
     """One row per (keys, value, weight) with what lies before it in its group.
 
     Columns added: ``n`` equal rows, ``n_before`` rows with a smaller value (or an equal
-    value and a smaller weight), ``n_all`` rows in the group, and the same for the weights
-    as ``w``, ``w_before``, ``w_all``. NULL values are left out.
+    value and a smaller weight), ``n_all`` rows in the group, the same for the weights as
+    ``w``, ``w_before``, ``w_all``, and ``n_null`` rows of the group without a value. A group
+    in which no row has a value is left out.
+
+    The folded rows are settled, since they are read several times. If they turn out to be
+    below the broadcast threshold, one window per group is the cheapest plan; otherwise the
+    groups are binned.
     """
     df, keys = _with_key(df, keys)
     by = [value] if weight is None else [value, weight]
-    tally = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, *by)
+    tally = settle(
+        df.groupBy(*keys, *by)
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("w", F.col("n") * (F.col(weight) if weight else F.lit(1)))
     )
+    known = tally.filter(F.col(value).isNotNull())
+    totals = tally.groupBy(*keys).agg(
+        F.sum(F.when(F.col(value).isNotNull(), F.col("n"))).alias("n_all"),
+        F.sum(F.when(F.col(value).isNotNull(), F.col("w"))).alias("w_all"),
+        F.sum(F.when(F.col(value).isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+    )
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    if fits_broadcast(tally):
+        smaller = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        out = known.withColumns({"n_before": before("n", smaller), "w_before": before("w", smaller)})
+        return natural_join(out, totals, "inner", keys).drop(_ALL)
+
     cuts = [i / bins for i in range(1, bins)]
-    marks = tally.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(16 * bins)).alias("_marks"),
-        F.sum("n").alias("n_all"),
-        F.sum("w").alias("w_all"),
+    marks = known.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(16 * bins)).alias("_marks")
     )
+    marks = natural_join(marks, totals, "inner", keys)
     binned = (
-        attach(tally, marks, keys, by)
+        attach(known, marks, keys, by)
         .withColumn("_bin", F.size(F.filter("_marks", lambda m: m <= F.col(value))))
         .drop("_marks")
     )
@@ -65,17 +81,15 @@ def running_totals(
         .select(
             *keys,
             "_bin",
-            F.coalesce(F.sum("_n").over(earlier_bins), F.lit(0)).alias("_n_offset"),
-            F.coalesce(F.sum("_w").over(earlier_bins), F.lit(0)).alias("_w_offset"),
+            before("_n", earlier_bins).alias("_n_offset"),
+            before("_w", earlier_bins).alias("_w_offset"),
         )
     )
-    within_bin = (
-        Window.partitionBy(*keys, "_bin").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     out = natural_join(binned, offsets, "inner", [*keys, "_bin"]).withColumns(
         {
-            "n_before": F.col("_n_offset") + F.coalesce(F.sum("n").over(within_bin), F.lit(0)),
-            "w_before": F.col("_w_offset") + F.coalesce(F.sum("w").over(within_bin), F.lit(0)),
+            "n_before": F.col("_n_offset") + before("n", in_bin),
+            "w_before": F.col("_w_offset") + before("w", in_bin),
         }
     )
     return out.drop("_bin", "_n_offset", "_w_offset", _ALL)
@@ -105,10 +119,19 @@ def add_rank(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], **options
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    strict: bool = False,
+    **options,
 ) -> DataFrame:
-    """Exact interpolated quantiles, one column per entry of ``probs``."""
+    """Exact interpolated quantiles, one column per entry of ``probs``.
+
+    With ``strict`` a NULL in the group makes its quantiles NULL.
+    """
     t = running_totals(df, keys, value, **options)
+    unknown = F.max("n_null") > 0 if strict else F.lit(False)
 
     def at(position: Column) -> Column:
         inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
@@ -117,7 +140,7 @@ def quantiles(
     def quantile(p: float) -> Column:
         h = (F.col("n_all") - 1) * F.lit(p)
         low, high = at(F.floor(h)), at(F.ceil(h))
-        return low + (high - low) * F.max(h - F.floor(h))
+        return F.when(~unknown, low + (high - low) * F.max(h - F.floor(h)))
 
     return t.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in probs.items()])
 
@@ -130,16 +153,12 @@ def medians(
     A NULL in a column makes its median NULL.
     """
     long = df.unpivot(list(keys), list(columns), "_measure", "_value")
-    found = quantiles(long, [*keys, "_measure"], "_value", {"_median": 0.5}, **options)
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_measure") == c, F.col("_median"))).alias(c) for c in columns]
-    )
-    complete = df.groupBy(*keys).agg(
-        *[(F.count(c) == F.count(F.lit(1))).alias(f"_ok_{c}") for c in columns]
-    )
-    joined = natural_join(complete, wide, "left", list(keys))
-    return joined.select(
-        *keys, *[F.when(F.col(f"_ok_{c}"), F.col(c)).alias(f"{prefix}{c}") for c in columns]
+    found = quantiles(long, [*keys, "_measure"], "_value", {"_median": 0.5}, strict=True, **options)
+    return found.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("_measure") == c, F.col("_median"))).alias(f"{prefix}{c}")
+            for c in columns
+        ]
     )
 
 
@@ -152,8 +171,7 @@ def weighted_medians(
     median is read off at half of the total weight. Rows without positive weight are left
     out; a NULL value makes the result NULL.
     """
-    used = df.filter(F.col(weight) > 0)
-    t = running_totals(used, keys, value, weight, **options)
+    t = running_totals(df.filter(F.col(weight) > 0), keys, value, weight, **options)
     w, n, start = F.col(weight), F.col("n"), F.col("w_before")
     first = start + w / 2
     last = first + (n - 1) * w
@@ -166,21 +184,17 @@ def weighted_medians(
         F.max(F.when(below.isNotNull(), point(below))).alias("lo"),
         F.min(F.when(above.isNotNull(), point(above))).alias("hi"),
         F.max(half).alias("half"),
+        F.max("n_null").alias("n_null"),
     )
     between = F.col("lo.x") + (F.col("hi.x") - F.col("lo.x")) * (
         (F.col("half") - F.col("lo.c")) / (F.col("hi.c") - F.col("lo.c"))
     )
-    found = ends.select(
-        *keys,
+    median = (
         F.when(F.col("lo").isNull(), F.col("hi.x"))
         .when(F.col("hi").isNull(), F.col("lo.x"))
         .otherwise(between)
-        .alias("_median"),
-    )
-    complete = used.groupBy(*keys).agg((F.count(value) == F.count(F.lit(1))).alias("_ok"))
-    return natural_join(complete, found, "left", list(keys)).select(
-        *keys, F.when(F.col("_ok"), F.col("_median")).alias(out)
     )
+    return ends.select(*keys, F.when(F.col("n_null") == 0, median).alias(out))
 
 
 def top_with_ties(

@@ -46,15 +46,15 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(size)) <= limit
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a group-level table once and read it back, so that its true size is known.
+def settle(df: DataFrame, always: bool = False) -> DataFrame:
+    """Write a derived table once and read it back, so that its true size is known.
 
-    A table whose estimate is already small is returned as it is. Otherwise the
-    estimate comes from the (large) input of an aggregation, and only the written
+    A table whose estimate is already small is returned as it is, unless ``always`` (for one
+    that several later steps read). Otherwise the estimate comes from the (large) input of an aggregation, and only the written
     files tell Catalyst whether the table may be broadcast. Writing also cuts lineage:
     a lost executor re-reads the files instead of repeating the aggregation.
     """
-    if fits_broadcast(df):
+    if not always and fits_broadcast(df):
         return df
     path = scratch_dir(df.sparkSession, "settled")
     df.write.parquet(path)
