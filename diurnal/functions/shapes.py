@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .nulls import ColumnLike, as_col
 
 RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
+EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 # GRS 1980 ellipsoid (semi-major axis in metres, squared eccentricity) and the
 # usual Albers parameters for the contiguous United States, in degrees.
@@ -40,7 +41,7 @@ def edges(rings: ColumnLike) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(as_col(rings), of_ring))
+    return F.flatten(F.transform(as_col(rings), of_ring)).cast(EDGES_TYPE)
 
 
 def _over_edges(edge_list: Column, term) -> Column:

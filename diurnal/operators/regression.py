@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .joins import attach, natural_join
 from .reshape import stack
 
+_FIT_SCHEMA = (
+    "model string, outcome string, term string, estimate double, se double, t double, n long, r2 double"
+)
 # Two-sided normal cut-offs for the .05, .01 and .001 levels.
 STAR_CUTS = [(3.290527, "***"), (2.575829, "**"), (1.959964, "*")]
 
@@ -101,6 +105,8 @@ def fit(df: DataFrame, spec: Spec) -> DataFrame:
         *[F.sum(f"s{i}").alias(f"m{i}") for i in range(k + 1)],
         F.sum("sw").alias("sw"),
     ).first()
+    if not row["n"]:
+        return df.sparkSession.createDataFrame([], _FIT_SCHEMA)
     gram = np.empty((k + 1, k + 1))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = row[f"c{i}_{j}"] if row[f"c{i}_{j}"] is not None else np.nan
@@ -151,9 +157,7 @@ def fit(df: DataFrame, spec: Spec) -> DataFrame:
         for t, b, s in zip(terms, est, err)
     ]
     rows += [(name, spec.outcome, t, None, None, None, int(n), float(r2)) for t in left_out]
-    return df.sparkSession.createDataFrame(
-        rows, "model string, outcome string, term string, estimate double, se double, t double, n long, r2 double"
-    )
+    return df.sparkSession.createDataFrame(rows, _FIT_SCHEMA)
 
 
 def stars(t: Column) -> Column:
@@ -174,32 +178,83 @@ def label_terms(fits: Sequence[DataFrame], labels: Mapping[str, str]) -> DataFra
     )
 
 
-def dummy_margins(
-    df: DataFrame, outcome: str, cells: Sequence[tuple[str, str]], a: str, b: str, absorb: str, weight: str | None = None
+def category_margins(
+    df: DataFrame,
+    outcomes: Sequence[str],
+    cells: Sequence[str],
+    base: Sequence[str],
+    absorb: str,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Margins of ``outcome ~ a * b + absorb``: cell effects at the average group.
+    """Margins of ``outcome ~ category cells + absorbed effect``: cell effects at the average group.
 
-    The first cell is the base; every other cell is a dummy. A cell's margin is its
-    coefficient plus the mean over groups (equal weights) of each group's own level.
+    A cell's margin is its coefficient (the base cell's is 0) plus the mean over groups, with
+    equal weights, of each group's own level. Cells are disjoint, so the cross products of
+    their dummies follow from one small table of sums per (group, cell), for all outcomes at
+    once; it is paired with itself within a group only, at most cells x cells rows per group.
     """
-    names = [f"cell_{i}" for i in range(1, len(cells))]
-    used = df.dropna(subset=[outcome, a, b, absorb])
-    dummies = used.withColumns(
-        {
-            n: ((F.col(a) == x) & (F.col(b) == y)).cast("double")
-            for n, (x, y) in zip(names, cells[1:])
-        }
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    used = df.dropna(subset=[*outcomes, *cells, absorb, *([weight] if weight else [])])
+    sums = settle(
+        used.groupBy(F.col(absorb).alias("grp"), F.struct(*cells).alias("cell")).agg(
+            F.sum(w).alias("n"), *[F.sum(w * F.col(y)).alias(f"s_{y}") for y in outcomes]
+        ),
+        always=True,
+    )
+    whole = sums.groupBy("grp").agg(
+        F.sum("n").alias("n_all"), *[F.sum(f"s_{y}").alias(f"a_{y}") for y in outcomes]
+    )
+    rows = attach(sums, whole, ["grp"], ["cell"])
+    part = F.col("n") / F.col("n_all")
+    moments = rows.groupBy("cell").agg(
+        F.sum("n").alias("n"), *[F.sum(F.col(f"s_{y}") - part * F.col(f"a_{y}")).alias(y) for y in outcomes]
+    )
+    other = sums.select("grp", F.col("cell").alias("cell2"), F.col("n").alias("n2"))
+    products = (
+        attach(rows, other, ["grp"], ["cell"])
+        .groupBy("cell", "cell2")
+        .agg(F.sum(part * F.col("n2")).alias("p"))
     )
-    spec = Spec(outcome, names, absorb, weight)
-    table = fit(dummies, spec)
-    beta = {r["term"]: r["estimate"] for r in table.select("term", "estimate").collect()}
-    level = F.col("s0")
-    for i, n in enumerate(names, start=1):
-        level = level - (beta[n] or 0.0) * F.col(f"s{i}")
-    start = _moments(dummies, spec).agg(F.avg(level / F.col("sw")).alias("m")).first()["m"]
-    rows = [(outcome, cells[0][0], cells[0][1], float(start))]
-    rows += [
-        (outcome, x, y, None if beta[n] is None else float(start + beta[n]))
-        for n, (x, y) in zip(names, cells[1:])
+    first = tuple(base)
+    known = {tuple(r["cell"]): r for r in moments.collect()}
+    names = sorted(c for c in known if c != first)
+    at = {c: i for i, c in enumerate(names)}
+    gram = np.diag([float(known[c]["n"]) for c in names]) if names else np.zeros((0, 0))
+    for r in products.collect():
+        a, b = tuple(r["cell"]), tuple(r["cell2"])
+        if a in at and b in at:
+            gram[at[a], at[b]] -= r["p"]
+    keep = _independent(gram)
+    beta = {}
+    for y in outcomes:
+        right = np.array([known[names[j]][y] for j in keep])
+        solved = np.linalg.solve(gram[np.ix_(keep, keep)], right) if keep else []
+        beta[y] = {names[j]: float(b) for j, b in zip(keep, solved)}
+
+    schema = ", ".join([*[f"`{c}` string" for c in cells], *[f"`{y}` double" for y in outcomes]])
+    table = df.sparkSession.createDataFrame(
+        [(*[str(v) for v in c], *[beta[y].get(c) for y in outcomes]) for c in names], schema
+    ).select(
+        *cells, F.struct(*[F.col(c).cast(used.schema[c].dataType) for c in cells]).alias("cell"), *outcomes
+    )
+    levels = (
+        natural_join(sums, table.drop(*cells), "left", ["cell"])
+        .groupBy("grp")
+        .agg(
+            *[
+                (F.sum(F.col(f"s_{y}") - F.coalesce(y, F.lit(0.0)) * F.col("n")) / F.sum("n")).alias(y)
+                for y in outcomes
+            ]
+        )
+        .agg(*[F.avg(y).alias(y) for y in outcomes])
+        .first()
+    )
+    out = [(y, *[str(v) for v in first], levels[y]) for y in outcomes]
+    out += [
+        (y, *[str(v) for v in c], beta[y][c] + levels[y] if c in beta[y] else None)
+        for y in outcomes
+        for c in names
     ]
-    return df.sparkSession.createDataFrame(rows, f"outcome string, {a} string, {b} string, pred double")
+    return df.sparkSession.createDataFrame(
+        out, ", ".join(["outcome string", *[f"`{c}` string" for c in cells], "pred double"])
+    )
