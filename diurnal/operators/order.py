@@ -36,9 +36,9 @@ def running_totals(
 ) -> DataFrame:
     """One row per (keys, value, weight) with what lies before it in its group.
 
-    Columns added: ``n`` equal rows, ``n_before`` rows with a smaller value (or an equal
-    value and a smaller weight), ``n_all`` rows in the group, the same for the weights as
-    ``w``, ``w_before``, ``w_all``, and ``n_null`` rows of the group without a value. A group
+    Columns added: ``_n`` equal rows, ``_n_before`` rows with a smaller value (or an equal
+    value and a smaller weight), ``_n_all`` rows in the group, the same for the weights as
+    ``_w``, ``_w_before``, ``_w_all``, and ``_n_null`` rows of the group without a value. A group
     in which no row has a value is left out.
 
     The folded rows are settled, since they are read several times. If they turn out to be
@@ -49,19 +49,19 @@ def running_totals(
     by = [value] if weight is None else [value, weight]
     tally = settle(
         df.groupBy(*keys, *by)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("w", F.col("n") * (F.col(weight) if weight else F.lit(1)))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_w", F.col("_n") * (F.col(weight) if weight else F.lit(1)))
     )
     known = tally.filter(F.col(value).isNotNull())
     totals = tally.groupBy(*keys).agg(
-        F.sum(F.when(F.col(value).isNotNull(), F.col("n"))).alias("n_all"),
-        F.sum(F.when(F.col(value).isNotNull(), F.col("w"))).alias("w_all"),
-        F.sum(F.when(F.col(value).isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+        F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))).alias("_n_all"),
+        F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_w_all"),
+        F.sum(F.when(F.col(value).isNull(), F.col("_n")).otherwise(0)).alias("_n_null"),
     )
     before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     if fits_broadcast(tally):
         smaller = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        out = known.withColumns({"n_before": before("n", smaller), "w_before": before("w", smaller)})
+        out = known.withColumns({"_n_before": before("_n", smaller), "_w_before": before("_w", smaller)})
         return natural_join(out, totals, "inner", keys).drop(_ALL)
 
     cuts = [i / bins for i in range(1, bins)]
@@ -77,22 +77,22 @@ def running_totals(
     earlier_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         binned.groupBy(*keys, "_bin")
-        .agg(F.sum("n").alias("_n"), F.sum("w").alias("_w"))
+        .agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
         .select(
             *keys,
             "_bin",
-            before("_n", earlier_bins).alias("_n_offset"),
-            before("_w", earlier_bins).alias("_w_offset"),
+            before("_n", earlier_bins).alias("_n_start"),
+            before("_w", earlier_bins).alias("_w_start"),
         )
     )
     in_bin = Window.partitionBy(*keys, "_bin").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     out = natural_join(binned, offsets, "inner", [*keys, "_bin"]).withColumns(
         {
-            "n_before": F.col("_n_offset") + before("n", in_bin),
-            "w_before": F.col("_w_offset") + before("w", in_bin),
+            "_n_before": F.col("_n_start") + before("_n", in_bin),
+            "_w_before": F.col("_w_start") + before("_w", in_bin),
         }
     )
-    return out.drop("_bin", "_n_offset", "_w_offset", _ALL)
+    return out.drop("_bin", "_n_start", "_w_start", _ALL)
 
 
 def average_ranks(
@@ -100,8 +100,8 @@ def average_ranks(
 ) -> DataFrame:
     """Distinct (keys, value) with ``rank``, ties sharing the mean of their ranks."""
     t = running_totals(df, keys, value, **options)
-    before = F.col("n_all") - F.col("n_before") - F.col("n") if descending else F.col("n_before")
-    return t.select(*keys, value, (before + (F.col("n") + 1) / 2).alias("rank"))
+    before = F.col("_n_all") - F.col("_n_before") - F.col("_n") if descending else F.col("_n_before")
+    return t.select(*keys, value, (before + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def add_rank(
@@ -131,14 +131,14 @@ def quantiles(
     With ``strict`` a NULL in the group makes its quantiles NULL.
     """
     t = running_totals(df, keys, value, **options)
-    unknown = F.max("n_null") > 0 if strict else F.lit(False)
+    unknown = F.max("_n_null") > 0 if strict else F.lit(False)
 
     def at(position: Column) -> Column:
-        inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
+        inside = (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))
         return F.max(F.when(inside, F.col(value).cast("double")))
 
     def quantile(p: float) -> Column:
-        h = (F.col("n_all") - 1) * F.lit(p)
+        h = (F.col("_n_all") - 1) * F.lit(p)
         low, high = at(F.floor(h)), at(F.ceil(h))
         return F.when(~unknown, low + (high - low) * F.max(h - F.floor(h)))
 
@@ -172,10 +172,10 @@ def weighted_medians(
     out; a NULL value makes the result NULL.
     """
     t = running_totals(df.filter(F.col(weight) > 0), keys, value, weight, **options)
-    w, n, start = F.col(weight), F.col("n"), F.col("w_before")
+    w, n, start = F.col(weight), F.col("_n"), F.col("_w_before")
     first = start + w / 2
     last = first + (n - 1) * w
-    half = F.col("w_all") / 2
+    half = F.col("_w_all") / 2
     steps = F.floor((half - first) / w)
     below = F.when(first <= half, F.least(first + steps * w, last))
     above = F.when(first > half, first).when(last > half, first + (steps + 1) * w)
@@ -184,7 +184,7 @@ def weighted_medians(
         F.max(F.when(below.isNotNull(), point(below))).alias("lo"),
         F.min(F.when(above.isNotNull(), point(above))).alias("hi"),
         F.max(half).alias("half"),
-        F.max("n_null").alias("n_null"),
+        F.max("_n_null").alias("_n_null"),
     )
     between = F.col("lo.x") + (F.col("hi.x") - F.col("lo.x")) * (
         (F.col("half") - F.col("lo.c")) / (F.col("hi.c") - F.col("lo.c"))
@@ -194,7 +194,7 @@ def weighted_medians(
         .when(F.col("hi").isNull(), F.col("lo.x"))
         .otherwise(between)
     )
-    return ends.select(*keys, F.when(F.col("n_null") == 0, median).alias(out))
+    return ends.select(*keys, F.when(F.col("_n_null") == 0, median).alias(out))
 
 
 def top_with_ties(
