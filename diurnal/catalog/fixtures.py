@@ -13,6 +13,7 @@ from ..functions.composition import GROUPS, PERIODS, SIDES, type7
 from ..functions.shapes import ring
 from ..operators.joins import natural_join
 from ..operators.segregation import add_composition, eligible_units
+from ..session import settle
 
 ELIGIBILITY = {
     "res_total_est": 8000.0,
@@ -109,7 +110,7 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
 
 def eligible(spark: SparkSession, sf: str) -> DataFrame:
     """el: typed areas of metros with enough people of each group in the first period."""
-    u = eligible_units(composed(spark, sf), "metro_id", "unit_id", ELIGIBILITY)
+    u = eligible_units(settle(composed(spark, sf)), "metro_id", "unit_id", ELIGIBILITY)
     return u.withColumns({"pm_cat": type7("pm"), "am_cat": type7("am")})
 
 

@@ -10,6 +10,7 @@ from ..functions.nulls import rounded
 from ..operators import order, reshape
 from ..operators.segregation import qualifying_groups
 from ..operators.spatial import density_profile
+from ..session import settle
 from . import fixtures as fx
 from .fixtures import r6, with_ctes
 from .registry import query
@@ -86,7 +87,7 @@ def agg_count_distinct(spark, sf):
     ),
 )
 def agg_mean_median(spark, sf):
-    u, keys = fx.composed(spark, sf), ["metro_id", "year"]
+    u, keys = settle(fx.composed(spark, sf)), ["metro_id", "year"]
     means = u.groupBy(*keys).agg(
         rounded(F.avg("trt_shr_nhw_pm")).alias("mean_skip"),
         rounded(nulls.strict_avg("trt_shr_nhw_pm")).alias("mean_strict"),
@@ -299,9 +300,9 @@ def win_ratio_to_reference(spark, sf):
     ),
 )
 def win_rank_avg_ties(spark, sf):
-    u = fx.units(spark, sf).select("unit_id", "year", "res_total_est", "pow_total_est")
-    u = order.add_rank(u, ["year"], "res_total_est", "up", spread=["unit_id"])
-    u = order.add_rank(u, ["year"], "pow_total_est", "down", descending=True, spread=["unit_id"])
+    u = settle(fx.units(spark, sf).select("unit_id", "year", "res_total_est", "pow_total_est"))
+    u = order.add_rank(u, ["year"], "res_total_est", "up")
+    u = order.add_rank(u, ["year"], "pow_total_est", "down", descending=True)
     return u.drop("pow_total_est")
 
 
@@ -314,8 +315,8 @@ def win_rank_avg_ties(spark, sf):
     ),
 )
 def win_rank_extremes(spark, sf):
-    t = fx.typed(spark, sf).select("metro_id", "unit_id", "year", "chg_nhw")
-    ranked = order.add_rank(t, ["metro_id"], "chg_nhw", "rank", descending=True, spread=["unit_id"])
+    t = settle(fx.typed(spark, sf).select("metro_id", "unit_id", "year", "chg_nhw"))
+    ranked = order.add_rank(t, ["metro_id"], "chg_nhw", "rank", descending=True)
     top = ranked.filter(F.col("rank").between(1, 10) & (F.col("rank") == F.floor("rank")))
     return top.withColumn("chg_nhw", rounded("chg_nhw"))
 
@@ -329,7 +330,7 @@ def win_rank_extremes(spark, sf):
     ),
 )
 def win_top_n_ties(spark, sf):
-    u = fx.units(spark, sf).select("metro_id", "unit_id", "year", "res_total_est")
+    u = settle(fx.units(spark, sf).select("metro_id", "unit_id", "year", "res_total_est"))
     overall = order.top_with_ties(u, 50, "res_total_est")
     by_metro = order.top_with_ties(u, 3, "res_total_est", ["metro_id"], ["unit_id"])
     return reshape.stack(
@@ -349,7 +350,7 @@ def win_fill_down(spark, sf):
     known = F.when(
         (F.col("year") == "2006-2010 ACS") | (F.col("unit_id") % 4 == 0), F.concat("metro_name", "year")
     )
-    u = fx.units(spark, sf).select("unit_id", "year", known.alias("known"))
+    u = settle(fx.units(spark, sf).select("unit_id", "year", known.alias("known")))
     return order.fill_down(u, ["unit_id"], "year", [*PERIODS[1:], PERIODS[0]], ["known"])
 
 
@@ -361,5 +362,5 @@ def win_fill_down(spark, sf):
     ),
 )
 def win_zscore(spark, sf):
-    t = fx.typed(spark, sf).select("unit_id", "year", "chg_nhw", "res_total_est")
+    t = settle(fx.typed(spark, sf).select("unit_id", "year", "chg_nhw", "res_total_est"))
     return reshape.across(reshape.zscores(t, ["chg_nhw", "res_total_est"]), ["chg_nhw", "res_total_est"], rounded)

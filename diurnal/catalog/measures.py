@@ -45,7 +45,7 @@ def _rounded_all(df, columns):
 
 def with_totals(spark, sf):
     """f3: f2 with night and day counts added up."""
-    u = fx.units(spark, sf)
+    u = settle(fx.units(spark, sf))
     names = ["total", *GROUPS]
     return u.withColumns({f"trt_tot_{g}": F.col(f"res_{g}_est") + F.col(f"pow_{g}_est") for g in names})
 
@@ -412,7 +412,7 @@ def metro_panel(spark, sf, spatially: bool = True, metro_medians: bool = True):
     """The full metro panel: one aggregation, exact medians, spatial indices, D on all areas."""
     keys = ["metro_id", "metro_name", "year"]
     d = segregation.dissimilarity(with_totals(spark, sf), ["metro_id", "year"], PAIRS, ["unit_id"])
-    u = with_entropy(fx.eligible(spark, sf))
+    u = with_entropy(settle(fx.eligible(spark, sf)))
     u = u.withColumn("trt_tot_for_born", F.col("res_h_est") + F.col("res_nha_est"))
     panel = joins.natural_join(segregation.metro_panel(u, keys), d, "left", ["metro_id", "year"])
     if metro_medians:
@@ -682,6 +682,7 @@ def metro_layers(units, top, base="2000", last="2012-2016 ACS"):
     totals = units.filter(F.col("year") == last).groupBy("metro_id").agg(nulls.sum_or_zero("trt_tot_pop").alias("metro_pop"))
     largest = order.top_with_ties(totals, top, "metro_pop").select("metro_id")
     rows = joins.keep_matching(units.filter(F.col("year").isin(base, last)), largest, ["metro_id"], ["unit_id"])
+    rows = settle(rows)
     rows = add_day_night_flags(rows).withColumn("slug", metro_slug("metro_name"))
     by_place = (
         rows.filter(F.col("prin_city")).groupBy("metro_id", "place_name").agg(nulls.sum_or_zero("trt_tot_pop").alias("place_pop"))
@@ -706,7 +707,7 @@ def metro_layers(units, top, base="2000", last="2012-2016 ACS"):
     ),
 )
 def msr_metro_layers(spark, sf):
-    u = typed9(spark, sf).withColumns(
+    u = settle(typed9(spark, sf)).withColumns(
         {
             "trt_tot_pop": F.col("res_total_est") + F.col("pow_total_est"),
             "place_name": F.concat(F.lit("Place "), (F.col("unit_id") % 4).cast("string")),

@@ -66,7 +66,7 @@ def margins(
     The sum of squared cluster residual sums in a cell expands to sums over clusters, so the
     cell mean is not joined back to the rows.
     """
-    by_cluster = cluster_cells(df, outcomes, cells, cluster)
+    by_cluster = settle(cluster_cells(df, outcomes, cells, cluster))
     n, s = F.col("n"), F.col("s")
     stats = by_cluster.groupBy("outcome", *cells).agg(
         F.sum(n).alias("n"),
@@ -106,10 +106,8 @@ def _term(a: str, b: str, base_a: str, base_b: str) -> Column:
     )
 
 
-def interaction_coefficients(
-    df: DataFrame, outcomes: Sequence[str], a: str, b: str, base_a: str, base_b: str
-) -> DataFrame:
-    """Coefficients of ``outcome ~ a * b`` with treatment coding, per outcome and term.
+def _contrasts(means: DataFrame, a: str, b: str, base_a: str, base_b: str) -> DataFrame:
+    """Treatment-coded coefficients from cell means (outcome, a, b, mean).
 
     The windows run over cell means: one row per combination of two category labels.
     """
@@ -127,11 +125,18 @@ def interaction_coefficients(
         .when(base(a, base_a) | base(b, base_b), m - at_base)
         .otherwise(m - same_a - same_b + at_base)
     )
-    return cell_means(df, outcomes, [a, b]).select(
+    return means.select(
         "outcome", _term(a, b, base_a, base_b).alias("term"), coefficient.alias("estimate")
     )
 
 
+def interaction_coefficients(
+    df: DataFrame, outcomes: Sequence[str], a: str, b: str, base_a: str, base_b: str
+) -> DataFrame:
+    """Coefficients of ``outcome ~ a * b`` with treatment coding, per outcome and term."""
+    return _contrasts(cell_means(df, outcomes, [a, b]), a, b, base_a, base_b)
+
+
 def interaction_cluster_se(
     df: DataFrame, outcomes: Sequence[str], a: str, b: str, base_a: str, base_b: str, cluster: str
 ) -> DataFrame:
@@ -141,7 +146,7 @@ def interaction_cluster_se(
     contrasted with it. A cluster's score for a coefficient is the signed sum of its residual
     sums over the cells taking part.
     """
-    by_cluster = cluster_cells(df, outcomes, [a, b], cluster)
+    by_cluster = settle(cluster_cells(df, outcomes, [a, b], cluster))
     cells = settle(
         by_cluster.groupBy("outcome", a, b).agg(F.sum("n").alias("n_cell"), F.sum("s").alias("s_cell"))
     )
@@ -173,7 +178,8 @@ def interaction_cluster_se(
         .agg(F.sum(F.col("score") * F.col("score")).alias("meat"))
     )
     size = _model_size(by_cluster, [a, b], cluster).select("outcome", "factor")
-    estimates = interaction_coefficients(df, outcomes, a, b, base_a, base_b)
+    means = cells.withColumn("mean", F.col("s_cell") / F.col("n_cell"))
+    estimates = _contrasts(means, a, b, base_a, base_b)
     return natural_join(
         natural_join(estimates, meat, "left", ["outcome", "term"]), size, "left", ["outcome"]
     ).select(

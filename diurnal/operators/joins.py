@@ -13,9 +13,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
+from ..session import estimated_bytes, fits_broadcast, settle
 
 _SALT = "_salt"
+COPIES_BYTES = 4 << 30  # size limit for all salted copies of a table
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -23,27 +24,36 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
 
 
 def natural_join(
-    left: DataFrame, right: DataFrame, how: str = "left", on: Sequence[str] | None = None
+    left: DataFrame,
+    right: DataFrame,
+    how: str = "left",
+    on: Sequence[str] | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """Join on all shared columns (or ``on``), a NULL key matching a NULL key."""
     on = list(on) if on is not None else shared_columns(left, right)
-    return renamed_key_join(left, right, {c: c for c in on}, how)
+    return renamed_key_join(left, right, {c: c for c in on}, how, where)
 
 
 def renamed_key_join(
-    left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Mapping[str, str],
+    how: str = "left",
+    where: Column | None = None,
 ) -> DataFrame:
     """Join on ``{left column: right column}``; the right key columns are dropped."""
     theirs = {r: f"_right_{r}" for r in keys.values()}
     right = right.withColumnsRenamed(theirs)
     match = reduce(and_, [F.col(l).eqNullSafe(F.col(theirs[r])) for l, r in keys.items()])
-    joined = left.join(right, match, how)
+    joined = left.join(right, match if where is None else match & where, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*theirs.values())
 
 
-def _salt_count(df: DataFrame) -> int:
-    """As many salts as shuffle partitions, so one key can use the whole cluster."""
-    return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512))
+def _salt_count(rows: DataFrame, table: DataFrame) -> int:
+    """One salt per shuffle partition, within a limit on the size of all copies together."""
+    wanted = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512)
+    return max(2, min(wanted, COPIES_BYTES // max(1, estimated_bytes(table))))
 
 
 def attach(
@@ -52,22 +62,28 @@ def attach(
     keys: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
+    where: Column | None = None,
 ) -> DataFrame:
-    """Join a keyed table to many rows per key.
+    """Join a table of groups to many rows per group.
+
+    The table is settled, so its true size is known. If it may be broadcast, the rows are not
+    shuffled at all. Otherwise the rows of one key are spread over many tasks by a hash of the
+    ``spread`` columns, with one copy of the table per salt, so a key holding a third of all
+    rows does not sit in one task. The salt is a hash, not a random number: a recomputed task
+    gives the same rows. ``where`` is a further condition of the match.
 
-    A table small enough to broadcast needs no shuffle of the rows. Otherwise the rows of
-    one key are spread over many tasks by a hash of the ``spread`` columns, with one copy
-    of the table per salt, so a key holding a third of all rows does not sit in one task.
-    The salt is a hash, not a random number: a recomputed task gives the same rows.
+    For a table about as large as the rows use ``natural_join``, which is left to the
+    skew handling of adaptive execution.
     """
+    table = settle(table)
     if fits_broadcast(table):
-        return natural_join(rows, table, how, keys)
-    salts = _salt_count(rows)
+        return natural_join(rows, table, how, keys, where)
+    salts = _salt_count(rows, table)
     salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)))
     copies = table.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
-    return natural_join(salted, copies, how, [*keys, _SALT]).drop(_SALT)
+    return natural_join(salted, copies, how, [*keys, _SALT], where).drop(_SALT)
 
 
 def join_all(tables: Sequence[DataFrame], on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -124,6 +140,7 @@ def join_both_ends(
     Each end is spread by the id of the other end: one big work place does not gather all
     of its flows in one task.
     """
+    places = settle(places)
     ends = {origin: destination, destination: origin}
     for here, there in ends.items():
         flows = attach(flows, prefixed(places, here), [here + key], [there + key], how)

@@ -110,12 +110,11 @@ def add_rank(
     value: str,
     out: str,
     descending: bool = False,
-    spread: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
-    """Attach the average-tie rank to every row; a NULL value has a NULL rank."""
+    """Add the average-tie rank to every row; a NULL value has a NULL rank."""
     ranks = average_ranks(df, keys, value, descending, **options).withColumnRenamed("rank", out)
-    return attach(df, ranks, [*keys, value], spread or df.columns)
+    return natural_join(df, ranks, "left", [*keys, value])
 
 
 def quantiles(
@@ -236,7 +235,7 @@ def fill_down(
     carried = known.select(
         *key, period, *[F.last(f"_{c}", ignorenulls=True).over(so_far).alias(f"_{c}") for c in columns]
     )
-    joined = attach(df, carried, [*key, period], df.columns)
+    joined = natural_join(df, carried, "left", [*key, period])
     return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(
         *[f"_{c}" for c in columns]
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..session import settle
 from .joins import attach
 
 
@@ -130,6 +131,7 @@ def shares_of_total(
     Totals are aggregated (partial sums first) and attached, rather than windowed, so no
     group has to fit one task.
     """
+    df = settle(df)
     totals = df.groupBy(*keys).agg(F.sum(count).alias(total))
     return attach(df, totals, keys, spread or df.columns).withColumn(
         share, F.try_divide(F.col(count), F.col(total))
@@ -147,6 +149,7 @@ def ratio_to_reference(
 
     ``ratios`` maps new column to measure. A group without the reference has NULL ratios.
     """
+    df = settle(df)
     base = (
         df.filter(F.col(category) == reference)
         .groupBy(*keys)
@@ -159,16 +162,12 @@ def ratio_to_reference(
 
 
 def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Center and scale columns by their overall mean and sample deviation.
-
-    One aggregation yields a single row, used as a scalar subquery.
-    """
+    """Center and scale columns by their overall mean and sample deviation (one row of numbers)."""
     stats = df.agg(
-        F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in columns],
-            *[F.stddev_samp(c).alias(f"s_{c}") for c in columns],
-        ).alias("stats")
-    ).scalar()
+        *[F.avg(c).alias(f"m_{c}") for c in columns],
+        *[F.stddev_samp(c).alias(f"s_{c}") for c in columns],
+    ).first()
+    number = lambda v: F.lit(v).cast("double")
     return df.withColumns(
-        {c: F.try_divide(F.col(c) - stats[f"m_{c}"], stats[f"s_{c}"]) for c in columns}
+        {c: F.try_divide(F.col(c) - number(stats[f"m_{c}"]), number(stats[f"s_{c}"])) for c in columns}
     )

@@ -40,7 +40,7 @@ def dissimilarity(
     count, or a group without any member, makes D NULL.
     """
     counts = sorted({c for pair in pairs.values() for c in pair})
-    sums = settle(units.groupBy(*keys).agg(*[strict_sum(c).alias(f"_{c}") for c in counts]))
+    sums = units.groupBy(*keys).agg(*[strict_sum(c).alias(f"_{c}") for c in counts])
     joined = attach(units.select(*{*keys, *counts, *spread}), sums, keys, spread)
     gap = lambda a, b: F.abs(ratio(a, f"_{a}") - ratio(b, f"_{b}"))
     return joined.groupBy(*keys).agg(
@@ -52,7 +52,7 @@ def add_dissimilarity(
     units: DataFrame, keys: Sequence[str], pairs: Mapping[str, Pair], spread: Sequence[str]
 ) -> DataFrame:
     """Attach each group's D to all of its areas."""
-    return attach(units, settle(dissimilarity(units, keys, pairs, spread)), keys, spread)
+    return attach(units, dissimilarity(units, keys, pairs, spread), keys, spread)
 
 
 def dissimilarity_summary(
@@ -128,9 +128,9 @@ def transition_matrix(units: DataFrame, keys: Sequence[str], start: str, end: st
     Combinations that do not occur have n = 0 and shr = 0; ``total`` is the row's count.
     """
     within = [*keys, start]
-    counts = units.groupBy(*within, end).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(units.groupBy(*within, end).agg(F.count(F.lit(1)).alias("n")))
     shares = shares_of_total(counts, within, "n", spread=[end]).drop("total")
-    grid = category_grid(units, [*within, end])
+    grid = category_grid(counts, [*within, end])
     full = complete_grid(shares, grid, {"n": 0, "shr": 0.0})
     totals = full.groupBy(*within).agg(F.sum("n").alias("total"))
     return natural_join(full, totals, "left", within)
@@ -160,7 +160,7 @@ def eligible_units(
     flags = qualifying_groups(peopled.filter(F.col("year") == base_period), metro, thresholds)
     good = flags.dropna(subset=[f"ok_{c}" for c in thresholds]).select(metro)
     shares = [f"trt_shr_{g}_am" for g in ("nhw", "nhb", "nha", "h")]
-    return keep_matching(peopled.dropna(subset=shares), settle(good), [metro], [unit])
+    return keep_matching(peopled.dropna(subset=shares), good, [metro], [unit])
 
 
 def reallocate(

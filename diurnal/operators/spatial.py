@@ -36,8 +36,9 @@ def points_in_polygons(
     """Left join of points to the polygons that contain them, boundaries included.
 
     Polygons are listed under every grid cell their box touches and points under their one
-    cell, which makes the search an equi-join; the exact test runs on the candidates. A point
-    in several polygons gives several rows. Points of a crowded cell are spread by id.
+    cell, which makes the search an equi-join; the exact test is part of the join condition. A
+    point is in one cell, so this is one left join and every point comes out once per hit, or
+    once without. Points of a crowded cell are spread by id.
     """
     shapes = (
         polygons.withColumn("_box", bounding_box(rings))
@@ -55,16 +56,13 @@ def points_in_polygons(
             "_cy": F.floor(F.col(y) / cell).cast("bigint"),
         }
     )
-    slim = located.select(point_id, x, y, "_cx", "_cy")
     in_box = F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col(y).between(
         F.col("_box.ymin"), F.col("_box.ymax")
     )
-    hits = (
-        attach(slim, shapes, ["_cx", "_cy"], [point_id], "inner")
-        .filter(in_box & covers("_edges", x, y))
-        .select(point_id, *attributes)
+    inside = in_box & covers("_edges", x, y)
+    return attach(located, shapes, ["_cx", "_cy"], [point_id], "left", inside).drop(
+        "_cx", "_cy", "_edges", "_box"
     )
-    return natural_join(points, hits, "left", [point_id])
 
 
 def dissolve(polygons: DataFrame, group: Sequence[str], rings: str = "rings") -> DataFrame:

@@ -39,11 +39,15 @@ def scratch_dir(spark: SparkSession, name: str = "table") -> str:
     return f"{base}/diurnal/{name}-{uuid.uuid4().hex}"
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's own size estimate: file sizes for a settled table, rough upper bounds else."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate is within the broadcast threshold."""
+    """Whether the size estimate is within the broadcast threshold."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+    return estimated_bytes(df) <= limit
 
 
 def settle(df: DataFrame, always: bool = False) -> DataFrame:
