@@ -10,6 +10,7 @@ from ..functions.nulls import rounded
 from ..operators import order, reshape
 from ..operators.segregation import qualifying_groups
 from ..operators.spatial import density_profile
+from ..plans.analyses import race_eth
 from ..session import settle
 from . import fixtures as fx
 from .fixtures import r6, with_ctes
@@ -22,6 +23,8 @@ from .registry import query
         "sh",
     ),
 )
+
+
 def agg_sum_skip(spark, sf):
     big = F.when(F.col("res_total_est") > 200, F.col("res_total_est"))
     return (
@@ -41,6 +44,8 @@ def agg_sum_skip(spark, sf):
         "sh",
     ),
 )
+
+
 def agg_sum_strict(spark, sf):
     return (
         fx.composed(spark, sf)
@@ -65,6 +70,8 @@ def agg_tally(spark, sf):
         "f2",
     ),
 )
+
+
 def agg_count_distinct(spark, sf):
     flag = F.when(F.col("res_total_est") > 0, F.col("prin_city"))
     return (
@@ -86,6 +93,8 @@ def agg_count_distinct(spark, sf):
         "sh",
     ),
 )
+
+
 def agg_mean_median(spark, sf):
     u, keys = settle(fx.composed(spark, sf)), ["metro_id", "year"]
     means = u.groupBy(*keys).agg(
@@ -105,6 +114,8 @@ def agg_mean_median(spark, sf):
         "ty",
     ),
 )
+
+
 def agg_conditional(spark, sf):
     city = F.col("prin_city")
     return (
@@ -128,6 +139,8 @@ def agg_conditional(spark, sf):
         "f2",
     ),
 )
+
+
 def agg_threshold_flag(spark, sf):
     base = fx.units(spark, sf).filter(F.col("year") == "2000")
     return qualifying_groups(base, "metro_id", fx.ELIGIBILITY)
@@ -141,6 +154,8 @@ def agg_threshold_flag(spark, sf):
         "f1",
     ),
 )
+
+
 def agg_pick_by_kind(spark, sf):
     totals = fx.unit_counts(spark, sf).groupBy("unit_id", "year", "type").agg(F.sum("est").alias("t"))
     pick = lambda kind: F.max(F.when(F.col("type") == kind, F.col("t")))
@@ -156,6 +171,8 @@ def agg_pick_by_kind(spark, sf):
         "f2",
     ),
 )
+
+
 def agg_scalar_unique(spark, sf):
     return (
         fx.units(spark, sf)
@@ -175,6 +192,8 @@ def agg_scalar_unique(spark, sf):
         "f7",
     ),
 )
+
+
 def agg_weighted_mean(spark, sf):
     return (
         fx.persons(spark, sf)
@@ -202,6 +221,8 @@ def weighted_median_sql(source: str, keys: str, x: str, w: str) -> str:
     "agg_weighted_median",
     with_ctes(f"select met_id, yr, {r6('wmed')} as med_hh_inc from {weighted_median_sql('f7', 'met_id, yr', 'hhincome', 'hhwt')}", "f7"),
 )
+
+
 def agg_weighted_median(spark, sf):
     med = order.weighted_medians(fx.persons(spark, sf), ["met_id", "yr"], "hhincome", "hhwt", "med_hh_inc")
     return med.withColumn("med_hh_inc", rounded("med_hh_inc"))
@@ -214,6 +235,8 @@ def agg_weighted_median(spark, sf):
         "f7",
     ),
 )
+
+
 def agg_weighted_indicator(spark, sf):
     p = fx.persons(spark, sf).withColumn("bpl", F.nullif("bpl", F.lit(5)))
     abroad = ~F.coalesce(F.col("bpl").between(1, 99), F.lit(False))
@@ -233,6 +256,8 @@ grid as (select bw.*, i, low - 3 * bw + i * (high - low + 6 * bw) / 63 as gx fro
 select grid.type, cast(i as bigint) as i, round(max(gx), 2) as grid_x, {r6("1e5 * sum(n * exp(-0.5e0 * pow((gx - (low + (slot + 0.5e0) * (high - low) / 512)) / bw, 2))) / (max(n_all) * max(bw) * sqrt(2 * pi()))")} as density_100k
 from grid join bins on grid.type = bins.type group by 1, 2""",
 )
+
+
 def agg_density_profile(spark, sf):
     o = fx.table(spark, sf, "orders").select(
         F.when(F.col("o_orderstatus") == "O", "pow").otherwise("res").alias("type"), "o_totalprice"
@@ -252,6 +277,8 @@ def agg_density_profile(spark, sf):
         "ty",
     ),
 )
+
+
 def win_share_of_total(spark, sf):
     counts = fx.typed(spark, sf).groupBy("year", "pm_cat", "am_cat").agg(F.count(F.lit(1)).alias("n"))
     out = reshape.shares_of_total(counts, ["year", "pm_cat"], "n", spread=["am_cat"])
@@ -261,17 +288,6 @@ def win_share_of_total(spark, sf):
 _RACE = "case when race = 1 and hispan = 0 then 'NL White' when race = 2 and hispan = 0 then 'NL Black' when race between 4 and 6 and hispan = 0 then 'NL Asian/PI' when hispan between 1 and 4 then 'Latino' else 'NL Other' end"
 
 
-def race_eth():
-    race, none = F.col("race"), F.col("hispan") == 0
-    return (
-        F.when((race == 1) & none, "NL White")
-        .when((race == 2) & none, "NL Black")
-        .when(race.between(4, 6) & none, "NL Asian/PI")
-        .when(F.col("hispan").between(1, 4), "Latino")
-        .otherwise("NL Other")
-    )
-
-
 @query(
     "win_ratio_to_reference",
     with_ctes(
@@ -280,6 +296,8 @@ def race_eth():
         "f7",
     ),
 )
+
+
 def win_ratio_to_reference(spark, sf):
     means = (
         fx.persons(spark, sf)
@@ -299,6 +317,8 @@ def win_ratio_to_reference(spark, sf):
         "f2",
     ),
 )
+
+
 def win_rank_avg_ties(spark, sf):
     u = settle(fx.units(spark, sf).select("unit_id", "year", "res_total_est", "pow_total_est"))
     u = order.add_rank(u, ["year"], "res_total_est", "up")
@@ -314,6 +334,8 @@ def win_rank_avg_ties(spark, sf):
         "ty",
     ),
 )
+
+
 def win_rank_extremes(spark, sf):
     t = settle(fx.typed(spark, sf).select("metro_id", "unit_id", "year", "chg_nhw"))
     ranked = order.add_rank(t, ["metro_id"], "chg_nhw", "rank", descending=True)
@@ -329,6 +351,8 @@ def win_rank_extremes(spark, sf):
         "f2",
     ),
 )
+
+
 def win_top_n_ties(spark, sf):
     u = settle(fx.units(spark, sf).select("metro_id", "unit_id", "year", "res_total_est"))
     overall = order.top_with_ties(u, 50, "res_total_est")
@@ -346,6 +370,8 @@ def win_top_n_ties(spark, sf):
         "f2",
     ),
 )
+
+
 def win_fill_down(spark, sf):
     known = F.when(
         (F.col("year") == "2006-2010 ACS") | (F.col("unit_id") % 4 == 0), F.concat("metro_name", "year")
@@ -361,6 +387,8 @@ def win_fill_down(spark, sf):
         "ty",
     ),
 )
+
+
 def win_zscore(spark, sf):
     t = settle(fx.typed(spark, sf).select("unit_id", "year", "chg_nhw", "res_total_est"))
     return reshape.across(reshape.zscores(t, ["chg_nhw", "res_total_est"]), ["chg_nhw", "res_total_est"], rounded)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins, reshape
+from ..plans.analyses import AGE_BANDS, LANGUAGE_BANDS, POVERTY_BANDS, band_of
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
@@ -33,6 +34,8 @@ b as (select case when n_nationkey <> 7 then n_nationkey end as metro_id, n_name
     "jn_natural_left",
     f"with {_KEYED} select a.unit_id, a.metro_id, a.c_acctbal, b.metro_name from a left join b on a.metro_id is not distinct from b.metro_id",
 )
+
+
 def jn_natural_left(spark, sf):
     return joins.natural_join(_keyed(spark, sf), _metros(spark, sf), "left")
 
@@ -41,6 +44,8 @@ def jn_natural_left(spark, sf):
     "jn_natural_inner",
     f"with {_KEYED} select a.unit_id, a.metro_id, a.c_acctbal, b.metro_name from a join b on a.metro_id is not distinct from b.metro_id",
 )
+
+
 def jn_natural_inner(spark, sf):
     return joins.natural_join(_keyed(spark, sf), _metros(spark, sf), "inner")
 
@@ -53,35 +58,13 @@ def jn_natural_inner(spark, sf):
         "f4",
     ),
 )
+
+
 def jn_renamed_key(spark, sf):
     u = fx.units(spark, sf).filter(F.col("year") == "2000").select("unit_id", "year", "res_total_est")
     return joins.renamed_key_join(u, fx.crosswalk(spark, sf), {"unit_id": "from_id"}, "left")
 
 
-# Detailed label -> coarse band, per dimension.
-AGE_BANDS = {
-    "16_24": ["16 and 17 years", "18 to 20 years", "18 to 24 years", "21 to 24 years"],
-    "25_44": ["25 to 34 years", "25 to 44 years", "35 to 44 years"],
-    "45_64": ["45 to 59 years", "60 to 64 years"],
-    "65_or_older": ["65 to 74 years", "75 years and over"],
-}
-LANGUAGE_BANDS = {"eng": ["Speak only English"], "span": ["Spanish"]}
-POVERTY_BANDS = {
-    "below_100_pct_pov": ["Below 100 percent of the poverty level"],
-    "100_149_pct_pov": ["100 to 149 percent of the poverty level"],
-    "150_pct_plus_pov": ["At or above 150 percent of the poverty level"],
-}
-
-
-def band_of(column: str, bands: dict[str, list[str]], other: str | None = None):
-    """Coarse band of a detailed label; unlisted labels become ``other``."""
-    out = None
-    for name, labels in bands.items():
-        hit = F.col(column).isin(*labels)
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit(other))
-
-
 def dimension_tables(spark, sf):
     """One wide table per dimension: age, sex, language, poverty."""
     d = fx.dimensions(spark, sf)
@@ -141,6 +124,8 @@ def agg_collapse_categories(spark, sf):
         "ty",
     ),
 )
+
+
 def jn_right_grid(spark, sf):
     t = fx.typed(spark, sf)
     keys = ["year", "pm_cat", "am_cat"]
@@ -155,6 +140,8 @@ def jn_right_grid(spark, sf):
         "f1",
     ),
 )
+
+
 def jn_cross_grid(spark, sf):
     return joins.category_grid(fx.unit_counts(spark, sf), ["year", "type", "grp", "state"])
 
@@ -163,6 +150,8 @@ def jn_cross_grid(spark, sf):
     "jn_semi",
     with_ctes("select unit_id, metro_id, x, y from f6 where unit_id in (select unit_id from ty where pm_cat = 'Multiethnic')", "f6", "ty"),
 )
+
+
 def jn_semi(spark, sf):
     mixed = fx.typed(spark, sf).filter(F.col("pm_cat") == "Multiethnic")
     return joins.natural_join(fx.points(spark, sf), mixed.select("unit_id").distinct(), "left_semi")
@@ -180,6 +169,8 @@ def jn_in_lists(spark, sf):
         "f2",
     ),
 )
+
+
 def jn_anti_qa(spark, sf):
     u = fx.units(spark, sf)
     last = u.filter((F.col("year") == "2012-2016 ACS") & (F.col("res_total_est") > 0))
@@ -199,6 +190,8 @@ def _home(spark, sf):
         "f8",
     ),
 )
+
+
 def jn_origin_dest(spark, sf):
     f = fx.flows(spark, sf).select("res_id", "pow_id", "total_est")
     return joins.join_both_ends(f, _home(spark, sf), "id")

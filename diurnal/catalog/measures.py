@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nulls
-from ..functions.composition import (
-    GROUPS,
-    TYPES_7,
-    day_night_flag,
-    entropy,
-    segregation_level,
-    type9,
-)
+from ..functions.composition import GROUPS, TYPES_7, segregation_level, type9
 from ..functions.nulls import rounded
-from ..functions.text import cross_label, earning_bounds, metro_slug, parse_number
 from ..operators import joins, order, reshape, segregation
 from ..operators.spatial import spatial_indices
+from ..plans.analyses import (
+    DIVERSITY,
+    EARN_BANDS,
+    EARN_SHARES,
+    add_day_night_flags,
+    earnings_profile,
+    metro_layers,
+    multidim_diversity,
+    od_flows,
+    person_panel,
+    with_entropy,
+)
 from ..session import settle
 from . import fixtures as fx
 from .fixtures import entropy_sql, r6, with_ctes
-from .grouping import _RACE, race_eth, weighted_median_sql
+from .grouping import _RACE, weighted_median_sql
 from .joining import DIMENSION_SQL, all_dimensions
 from .registry import query
 from .strings import BRACKET_SQL
@@ -29,12 +33,6 @@ METRO = ["metro_id", "metro_name", "year"]
 PAIRS = {f"dis_{g}_nhw": (f"trt_tot_{g}", "trt_tot_nhw") for g in ("nhb", "h", "nha")}
 SIDES = {"Residence": "res", "Workplace": "pow"}
 MINORITIES = {"Black-White": "nhb", "Latinx-White": "h", "Asian-White": "nha"}
-DIVERSITY = {
-    "age": ["tot_age_16_24", "tot_age_25_44", "tot_age_45_64", "tot_age_65_or_older"],
-    "sex": ["tot_sex_male", "tot_sex_female"],
-    "lang": ["tot_lang_eng", "tot_lang_span", "tot_lang_oth"],
-    "inc": ["tot_below_100_pct_pov", "tot_100_149_pct_pov", "tot_150_pct_plus_pov"],
-}
 # Raster settings for the fixture plane: cell side, kernel radius and decay.
 CELL, RADIUS, BETA = 0.25, 1.0, 4.0
 
@@ -66,6 +64,8 @@ _SHARES = [f"trt_shr_{g}_{s}" for s in ("pm", "am") for g in GROUPS]
     "msr_shares",
     with_ctes("select unit_id, year, " + ", ".join(f"{r6(c)} as {c}" for c in _SHARES) + " from sh", "sh"),
 )
+
+
 def msr_shares(spark, sf):
     return _rounded_all(fx.composed(spark, sf).select("unit_id", "year", *_SHARES), _SHARES)
 
@@ -77,6 +77,8 @@ _CHANGES = [f"chg_{g}" for g in GROUPS]
     "msr_intraday_change",
     with_ctes("select unit_id, year, " + ", ".join(f"{r6(c)} as {c}" for c in _CHANGES) + " from sh", "sh"),
 )
+
+
 def msr_intraday_change(spark, sf):
     return _rounded_all(fx.composed(spark, sf).select("unit_id", "year", *_CHANGES), _CHANGES)
 
@@ -107,21 +109,6 @@ def msr_typology9(spark, sf):
     return typed9(spark, sf).select("unit_id", "year", "pm_cat", "am_cat")
 
 
-def add_day_night_flags(df):
-    """Segregated / multiethnic flags by night and day and their crosses."""
-    df = df.withColumns(
-        {
-            f"{name}_{side}": day_night_flag(f"{side}_cat", part, word, side)
-            for side in ("am", "pm")
-            for name, part, word in [
-                ("predom", "Predominantly", "Segregated"),
-                ("mult", "Multiethnic", "Multiethnic"),
-            ]
-        }
-    )
-    return df.withColumns({f"{n}_pm_am": cross_label(f"{n}_pm", f"{n}_am", ", ") for n in ("predom", "mult")})
-
-
 def _flag_sql(side: str, time: str, part: str, word: str) -> str:
     return f"case when contains({side}_cat, '{part}') then '{word} {time}' else 'Not {word} {time}' end"
 
@@ -134,6 +121,8 @@ _MULT_SQL = f"{_flag_sql('pm', 'Nighttime', 'Multiethnic', 'Multiethnic')} || ',
     "msr_day_night_crosses",
     with_ctes(f"with {_TY9} select unit_id, year, {_PREDOM_SQL} as predom_pm_am, {_MULT_SQL} as mult_pm_am from ty9", "ty"),
 )
+
+
 def msr_day_night_crosses(spark, sf):
     return add_day_night_flags(typed9(spark, sf)).select("unit_id", "year", "predom_pm_am", "mult_pm_am")
 
@@ -171,6 +160,8 @@ def _snake(label: str) -> str:
         "ty",
     ),
 )
+
+
 def msr_change_wide(spark, sf):
     counts = fx.typed(spark, sf).groupBy("year", "pm_cat", "am_cat").agg(F.count(F.lit(1)).alias("n"))
     shares = reshape.shares_of_total(counts, ["year", "pm_cat"], "n", spread=["am_cat"])
@@ -191,6 +182,8 @@ _LEVEL = "case when d >= 0.8e0 then 'Extreme Segregation' when d >= 0.6e0 then '
         "ty",
     ),
 )
+
+
 def msr_change_by_seg_level(spark, sf):
     keys = ["metro_id", "year"]
     pair = {"dis_nhb_nhw": PAIRS["dis_nhb_nhw"]}
@@ -206,19 +199,13 @@ def msr_change_by_seg_level(spark, sf):
     "msr_mean_composition",
     with_ctes("select year, am_cat, " + ", ".join(f"{r6(f'avg(trt_shr_{g}_am)')} as {g}" for g in GROUPS) + " from ty group by 1, 2", "ty"),
 )
+
+
 def msr_mean_composition(spark, sf):
     means = [rounded(F.avg(f"trt_shr_{g}_am")).alias(g) for g in GROUPS]
     return fx.typed(spark, sf).groupBy("year", "am_cat").agg(*means)
 
 
-def with_entropy(units):
-    """Residual shares clamped at 0, then race/ethnicity diversity by day and by night."""
-    units = reshape.across(units, ["trt_shr_nho_am", "trt_shr_nho_pm"], nulls.at_least_zero)
-    return units.withColumns(
-        {f"race_eth_div_{s}": entropy([f"trt_shr_{g}_{s}" for g in GROUPS]) for s in ("am", "pm")}
-    )
-
-
 def _entropy_cols(source: str) -> str:
     clamp = ", ".join(f"greatest(trt_shr_nho_{s}, 0e0) as trt_shr_nho_{s}" for s in ("am", "pm"))
     cols = ", ".join(f"{entropy_sql([f'trt_shr_{g}_{s}' for g in GROUPS])} as race_eth_div_{s}" for s in ("am", "pm"))
@@ -229,32 +216,15 @@ def _entropy_cols(source: str) -> str:
     "msr_entropy",
     with_ctes(f"select unit_id, year, {r6('race_eth_div_pm')} as race_eth_div_pm, {r6('race_eth_div_am')} as race_eth_div_am from {_entropy_cols('ty')}", "ty"),
 )
+
+
 def msr_entropy(spark, sf):
     cols = ["race_eth_div_pm", "race_eth_div_am"]
     return _rounded_all(with_entropy(fx.typed(spark, sf)).select("unit_id", "year", *cols), cols)
 
 
 def multidim(spark, sf):
-    """Normalized diversity by dimension at night and by day, and the change, per area."""
-    d = all_dimensions(spark, sf)
-    workers = F.col("tot_sex_male") + F.col("tot_sex_female")
-    d = d.withColumns(
-        {
-            f"{name}_div": entropy([nulls.ratio(c, workers) for c in parts]) / F.ln(F.lit(float(len(parts)))) * 100
-            for name, parts in DIVERSITY.items()
-        }
-    )
-    pick = lambda kind, c: F.max(F.when(F.col("type") == kind, F.col(c)))
-    both = (
-        d.groupBy("unit_id")
-        .agg(
-            *[pick(k, f"{n}_div").alias(f"{k}_{n}_div") for n in DIVERSITY for k in ("res", "pow")],
-            F.count_distinct("type").alias("_kinds"),
-        )
-        .filter(F.col("_kinds") == 2)
-        .drop("_kinds")
-    )
-    return both.withColumns({f"chg_{n}_div": F.col(f"pow_{n}_div") - F.col(f"res_{n}_div") for n in DIVERSITY})
+    return multidim_diversity(all_dimensions(spark, sf))
 
 
 def _multidim_sql() -> str:
@@ -277,6 +247,8 @@ _MD_COLS = [f"{k}_{n}_div" for n in DIVERSITY for k in ("res", "pow", "chg")]
     "msr_multidim_diversity",
     with_ctes(f"with {MULTIDIM_SQL} select unit_id, " + ", ".join(f"{r6(c)} as {c}" for c in _MD_COLS) + " from md", "f10"),
 )
+
+
 def msr_multidim_diversity(spark, sf):
     return _rounded_all(multidim(spark, sf).select("unit_id", *_MD_COLS), _MD_COLS)
 
@@ -295,6 +267,8 @@ def _dis_join_sql() -> str:
         "f2",
     ),
 )
+
+
 def msr_dissimilarity_window(spark, sf):
     u = segregation.add_dissimilarity(with_totals(spark, sf), ["metro_id", "year"], PAIRS, ["unit_id"])
     return _rounded_all(u.select("unit_id", "metro_id", "year", *PAIRS), list(PAIRS))
@@ -321,6 +295,8 @@ def msr_dissimilarity_summary(spark, sf):
     "msr_segregation_trend",
     with_ctes(f"select seg, type, year, cast(count(*) as bigint) as n, {r6('sum(dis * metro_group) / sum(metro_group)')} as mean from ({_SUMMARY_SQL}) group by 1, 2, 3", "el"),
 )
+
+
 def msr_segregation_trend(spark, sf):
     return (
         segregation_summary(spark, sf)
@@ -404,6 +380,8 @@ _ISO = {"spat_iso_nhood": "minority", "spat_iso_nhb_nhood": "nhb", "spat_iso_nha
     "msr_spatial_isolation",
     with_ctes(f"with {SURFACE_SQL} select metro_id, year, " + ", ".join(f"{r6(_spat_iso(g))} as {n}" for n, g in _ISO.items()) + " from env group by 1, 2", "ty", "f6"),
 )
+
+
 def msr_spatial_isolation(spark, sf):
     return _rounded_all(spatial(spark, sf).select("metro_id", "year", *_ISO), list(_ISO))
 
@@ -469,6 +447,8 @@ _PANEL_ROUND = [
     "msr_metro_summary",
     with_ctes(f"with {panel_sql()} select * replace (" + ", ".join(f"{r6(c)} as {c}" for c in _PANEL_ROUND) + ") from panel", "el", "f6"),
 )
+
+
 def msr_metro_summary(spark, sf):
     return _rounded_all(metro_panel(spark, sf), _PANEL_ROUND)
 
@@ -477,6 +457,8 @@ def msr_metro_summary(spark, sf):
     "msr_metro_eligibility",
     with_ctes("select metro_id, year, cast(count(*) as bigint) as n_units, sum(res_total_est) as workers from el group by 1, 2", "el"),
 )
+
+
 def msr_metro_eligibility(spark, sf):
     return (
         fx.eligible(spark, sf)
@@ -495,6 +477,8 @@ def msr_metro_eligibility(spark, sf):
         "ty",
     ),
 )
+
+
 def msr_rank_change(spark, sf):
     last = with_entropy(fx.typed(spark, sf)).filter(F.col("year") == "2012-2016 ACS")
     metros = last.groupBy("metro_id", "metro_name").agg(
@@ -526,6 +510,8 @@ _COUNTS = [f"{p}_{g}_est" for p in ("res", "pow") for g in ("total", *GROUPS)]
         "f4",
     ),
 )
+
+
 def msr_crosswalk_realloc(spark, sf):
     base = fx.units(spark, sf).filter(F.col("year") == "2000")
     moved = segregation.reallocate(base, fx.crosswalk(spark, sf), "unit_id", "from_id", "to_id", "weight", _COUNTS)
@@ -533,78 +519,21 @@ def msr_crosswalk_realloc(spark, sf):
     return joins.natural_join(moved, ids, "left", ["unit_id"])
 
 
-EARN_BANDS = ["0_24999", "25000_49999", "50000_74999", "75000_or_more"]
 _EARN_TOTAL = " + ".join(f"earn_{b}" for b in EARN_BANDS)
-_EARN_SHARES = [f"shr_earn_{b}" for b in EARN_BANDS]
-
-
-def add_earnings_diversity(wide):
-    """Total workers, shares by band and their diversity; a missing band makes them NULL."""
-    wide = wide.withColumn("tot_workers", sum((F.col(f"earn_{b}") for b in EARN_BANDS[1:]), F.col(f"earn_{EARN_BANDS[0]}")))
-    wide = wide.withColumns({f"shr_earn_{b}": nulls.ratio(f"earn_{b}", "tot_workers") for b in EARN_BANDS})
-    return wide.withColumn("earn_div", entropy(_EARN_SHARES))
-
-
-def earnings_profile(rows, ids):
-    """Workers by earnings band, wide, from labelled counts."""
-    used = rows.filter(~F.col("earnings_str").contains("Total")).select(
-        *ids, earning_bounds("earnings_str")["band"].alias("band"), parse_number("value").alias("value")
-    )
-    wide = reshape.widen(
-        used.groupBy(*ids, "band").agg(nulls.sum_or_zero("value").alias("total")),
-        ids,
-        "band",
-        EARN_BANDS,
-        ["total"],
-        template="earn_{level}",
-    )
-    return add_earnings_diversity(wide)
-
-
 @query(
     "msr_earnings_profile",
     with_ctes(
         f"""with {BRACKET_SQL}, w as (select unit_id, type, {", ".join(f"sum(case when band = '{b}' then value end) as earn_{b}" for b in EARN_BANDS)} from br group by 1, 2),
  s as (select *, {_EARN_TOTAL} as tot_workers, {", ".join(f"earn_{b} / nullif({_EARN_TOTAL}, 0) as shr_earn_{b}" for b in EARN_BANDS)} from w)
- select * replace ({", ".join(f"{r6(c)} as {c}" for c in _EARN_SHARES)}), {r6(entropy_sql(_EARN_SHARES))} as earn_div from s""",
+ select * replace ({", ".join(f"{r6(c)} as {c}" for c in EARN_SHARES)}), {r6(entropy_sql(EARN_SHARES))} as earn_div from s""",
         "f9",
     ),
 )
+
+
 def msr_earnings_profile(spark, sf):
     out = earnings_profile(fx.earnings(spark, sf), ["unit_id", "type"])
-    return _rounded_all(out, [*_EARN_SHARES, "earn_div"])
-
-
-# Survey year of the microdata -> period label.
-MICRODATA_PERIODS = {2000: "2000", 2010: "2006-2010 ACS", 2016: "2012-2016 ACS"}
-
-
-def person_panel(persons, keep=None):
-    """Metro by period by group panel of weighted estimates, shares and ratios to white.
-
-    ``keep`` is an optional condition on the income, for codes that mean 'not applicable'.
-    """
-    keys, race = ["met_id", "year"], "race_eth"
-    yr = F.col("yr")
-    first, *rest = MICRODATA_PERIODS.items()
-    year = F.when(yr == first[0], first[1])
-    for code, label in rest:
-        year = year.when(yr == code, label)
-    p = persons.filter(F.col("met_id") != 0).withColumns({race: race_eth(), "year": year})
-    abroad = ~F.coalesce(F.col("bpl").between(1, 99), F.lit(False))
-    sums = p.groupBy(*keys, race).agg(
-        F.sum("perwt").cast("bigint").alias("tot_pop"),
-        nulls.weight_where(abroad, "perwt").cast("bigint").alias("tot_for_born"),
-        nulls.weighted_avg("occscore", "perwt").alias("mean_occ_inc_score"),
-        nulls.weighted_avg("sei", "perwt").alias("mean_sei"),
-    )
-    incomes = p if keep is None else p.filter(keep)
-    med = order.weighted_medians(incomes, [*keys, race], "hhincome", "hhwt", "med_hh_inc")
-    est = joins.natural_join(sums, med, "left", [*keys, race])
-    est = reshape.shares_of_total(est, keys, "tot_pop", "pop_shr", "_all", spread=[race]).drop("_all")
-    est = est.withColumn("shr_for_born", nulls.ratio("tot_for_born", "tot_pop"))
-    ratios = {"inc_ratio": "med_hh_inc", "occ_score_ratio": "mean_occ_inc_score", "sei_ratio": "mean_sei"}
-    return reshape.ratio_to_reference(est, keys, race, "NL White", ratios)
+    return _rounded_all(out, [*EARN_SHARES, "earn_div"])
 
 
 _PUMS_ROUND = ["med_hh_inc", "mean_occ_inc_score", "mean_sei", "pop_shr", "shr_for_born", "inc_ratio", "occ_score_ratio", "sei_ratio"]
@@ -627,30 +556,10 @@ def _vs_white(c: str) -> str:
         "f7",
     ),
 )
-def msr_pums_panel(spark, sf):
-    return _rounded_all(person_panel(fx.persons(spark, sf)), _PUMS_ROUND)
-
-
-# Worker group columns of the flow tables and their labels.
-FLOW_LABELS = {
-    "nhw_est": "Workers who are Non-Hispanic Whites",
-    "oth_est": "Workers who are not Non-Hispanic Whites",
-}
 
 
-def od_flows(flows, ends, home_types, work_types, key="id", least=1.0):
-    """Flows inside one area set, long by worker group, with both ends' attributes.
-
-    ``ends`` lists the places of the metro (id, x, y): both ends must be in it. ``home_types``
-    and ``work_types`` carry the types of each end.
-    """
-    inside = joins.join_both_ends(flows, ends, key, how="inner")
-    typed = joins.attach(inside, home_types, [f"res_{key}"], [f"pow_{key}"])
-    typed = joins.attach(typed, work_types, [f"pow_{key}"], [f"res_{key}"], "inner")
-    ids = [c for c in typed.columns if c not in (*FLOW_LABELS, "total_est")]
-    long = typed.unpivot(ids, list(FLOW_LABELS), "name", "value").filter(F.col("value") >= least)
-    label = F.when(F.col("name") == "nhw_est", FLOW_LABELS["nhw_est"]).otherwise(FLOW_LABELS["oth_est"])
-    return long.withColumn("est_type", label)
+def msr_pums_panel(spark, sf):
+    return _rounded_all(person_panel(fx.persons(spark, sf)), _PUMS_ROUND)
 
 
 @query(
@@ -666,6 +575,8 @@ def od_flows(flows, ends, home_types, work_types, key="id", least=1.0):
         "ty",
     ),
 )
+
+
 def msr_od_flows(spark, sf):
     ends = fx.points(spark, sf).filter(F.col("metro_id") < 5).select(F.col("unit_id").alias("id"), "x", "y")
     last = fx.typed(spark, sf).filter(F.col("year") == "2012-2016 ACS")
@@ -674,26 +585,6 @@ def msr_od_flows(spark, sf):
     return od_flows(fx.flows(spark, sf), ends, home, work)
 
 
-def metro_layers(units, top, base="2000", last="2012-2016 ACS"):
-    """Flags, slug and largest principal place for every area of the largest metros.
-
-    One table keyed by metro; writing it partitioned by slug gives one layer per metro.
-    """
-    totals = units.filter(F.col("year") == last).groupBy("metro_id").agg(nulls.sum_or_zero("trt_tot_pop").alias("metro_pop"))
-    largest = order.top_with_ties(totals, top, "metro_pop").select("metro_id")
-    rows = joins.keep_matching(units.filter(F.col("year").isin(base, last)), largest, ["metro_id"], ["unit_id"])
-    rows = settle(rows)
-    rows = add_day_night_flags(rows).withColumn("slug", metro_slug("metro_name"))
-    by_place = (
-        rows.filter(F.col("prin_city")).groupBy("metro_id", "place_name").agg(nulls.sum_or_zero("trt_tot_pop").alias("place_pop"))
-    )
-    main = order.top_with_ties(by_place, 1, "place_pop", ["metro_id"], ["place_name"]).select(
-        "metro_id", "place_name", F.lit(True).alias("in_largest_place")
-    )
-    marked = joins.attach(rows, main, ["metro_id", "place_name"], ["unit_id"])
-    return marked.withColumn("in_largest_place", F.coalesce("in_largest_place", F.lit(False)))
-
-
 @query(
     "msr_metro_layers",
     with_ctes(
@@ -706,6 +597,8 @@ def metro_layers(units, top, base="2000", last="2012-2016 ACS"):
         "ty",
     ),
 )
+
+
 def msr_metro_layers(spark, sf):
     u = settle(typed9(spark, sf)).withColumns(
         {

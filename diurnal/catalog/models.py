@@ -9,10 +9,11 @@ from ..functions.nulls import rounded
 from ..functions.text import cross_label, split_piece
 from ..operators import cells, joins, regression, reshape
 from ..operators.regression import Spec
+from ..plans.analyses import with_entropy
 from ..session import settle
 from . import fixtures as fx
 from .fixtures import r6, with_ctes
-from .measures import MULTIDIM_SQL, metro_panel, multidim, panel_sql, with_entropy
+from .measures import MULTIDIM_SQL, metro_panel, multidim, panel_sql
 from .registry import query
 
 OUTCOMES = [f"chg_{g}" for g in GROUPS]
