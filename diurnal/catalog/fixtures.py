@@ -185,18 +185,15 @@ def persons(spark: SparkSession, sf: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
     """f8: home to work flows."""
-    lines = (
-        table(spark, sf, "lineitem")
-        .groupBy("l_orderkey", "l_suppkey")
-        .agg(F.sum("l_quantity").alias("qty"))
-    )
     o = table(spark, sf, "orders")
     first = F.col("o_orderpriority") == "1-URGENT"
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("qty"))), F.lit(0.0))
+    qty = F.col("l_quantity")
+    part = lambda c: F.coalesce(F.sum(F.when(c, qty)), F.lit(0.0))
     return (
-        lines.join(o, lines.l_orderkey == o.o_orderkey)
+        table(spark, sf, "lineitem")
+        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("res_id"), F.col("l_suppkey").alias("pow_id"))
-        .agg(F.sum("qty").alias("total_est"), part(first).alias("nhw_est"), part(~first).alias("oth_est"))
+        .agg(F.sum(qty).alias("total_est"), part(first).alias("nhw_est"), part(~first).alias("oth_est"))
     )
 
 
@@ -239,10 +236,11 @@ def dimensions(spark: SparkSession, sf: str) -> DataFrame:
     line, flag, part = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_partkey") % 3
     age = F.element_at(F.array(*[F.lit(a) for a in ages]), F.least(line, F.lit(7)))
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    rows = (
+    return (
         table(spark, sf, "lineitem")
-        .groupBy(
-            "l_orderkey",
+        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            F.col("o_custkey").alias("unit_id"),
             _side(F.col("l_linestatus")).alias("type"),
             age.alias("age"),
             F.when(F.col("l_suppkey") % 2 == 0, "Male").otherwise("Female").alias("sex"),
@@ -254,11 +252,8 @@ def dimensions(spark: SparkSession, sf: str) -> DataFrame:
             .when(part == 1, "100 to 149 percent of the poverty level")
             .otherwise("At or above 150 percent of the poverty level")
             .alias("pov_status"),
+            F.col("l_quantity").alias("value"),
         )
-        .agg(F.sum("l_quantity").alias("value"))
-    )
-    return rows.join(o, rows.l_orderkey == o.o_orderkey).select(
-        F.col("o_custkey").alias("unit_id"), "type", "age", "sex", "lang", "pov_status", "value"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, reshape
 from ..plans.analyses import AGE_BANDS, LANGUAGE_BANDS, POVERTY_BANDS, band_of
+from ..session import settle
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
@@ -67,7 +68,7 @@ def jn_renamed_key(spark, sf):
 
 def dimension_tables(spark, sf):
     """One wide table per dimension: age, sex, language, poverty."""
-    d = fx.dimensions(spark, sf)
+    d = settle(fx.dimensions(spark, sf))
     ids = ["unit_id", "type"]
 
     def wide(band, levels, prefix):
