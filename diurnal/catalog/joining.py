@@ -20,14 +20,14 @@ def _keyed(spark, sf):
 
 
 def _metros(spark, sf):
-    """Metro names, one entry standing for the missing id."""
-    n = fx.table(spark, sf, "nation")
-    key = F.when(F.col("n_nationkey") != 7, F.col("n_nationkey"))
-    return n.filter(F.col("n_nationkey") < 20).select(key.alias("metro_id"), F.col("n_name").alias("metro_name"))
+    """Metro names, one entry standing for the missing id and some ids matching nothing."""
+    n, k = fx.table(spark, sf, "nation"), F.col("n_nationkey")
+    key = F.when(k == 7, None).when(k >= 20, k + 100).otherwise(k)
+    return n.select(key.alias("metro_id"), F.col("n_name").alias("metro_name"))
 
 
 _KEYED = """a as (select c_custkey as unit_id, case when c_custkey % 11 <> 0 then c_nationkey end as metro_id, c_acctbal from customer),
-b as (select case when n_nationkey <> 7 then n_nationkey end as metro_id, n_name as metro_name from nation where n_nationkey < 20)
+b as (select case when n_nationkey = 7 then null when n_nationkey >= 20 then n_nationkey + 100 else n_nationkey end as metro_id, n_name as metro_name from nation)
 """
 
 

@@ -565,9 +565,9 @@ def msr_pums_panel(spark, sf):
 @query(
     "msr_od_flows",
     with_ctes(
-        """with ends as (select unit_id as id, x, y from f6 where metro_id < 5), last as (select unit_id, pm_cat, am_cat from ty where year = '2012-2016 ACS'),
- j as (select res_id, pow_id, h.x as res_x, h.y as res_y, w.x as pow_x, w.y as pow_y, t.pm_cat, t.am_cat, concat(c.pm_cat, ' (PM)') as cat, nhw_est, oth_est
-  from f8 join ends h on res_id = h.id join ends w on pow_id = w.id left join last t on res_id = t.unit_id join last c on pow_id = c.unit_id)
+        """with ends as (select unit_id as id, metro_id, x, y from f6), last as (select unit_id, pm_cat, am_cat from ty where year = '2012-2016 ACS'),
+ j as (select res_id, pow_id, h.metro_id as res_metro_id, w.metro_id as pow_metro_id, h.x as res_x, h.y as res_y, w.x as pow_x, w.y as pow_y, t.pm_cat, t.am_cat, concat(c.pm_cat, ' (PM)') as cat, nhw_est, oth_est
+  from f8 join ends h on res_id = h.id join ends w on pow_id = w.id and w.metro_id = h.metro_id left join last t on res_id = t.unit_id join last c on pow_id = c.unit_id)
  select * exclude (nhw_est, oth_est), 'nhw_est' as name, nhw_est as value, 'Workers who are Non-Hispanic Whites' as est_type from j where nhw_est >= 1
  union all select * exclude (nhw_est, oth_est), 'oth_est', oth_est, 'Workers who are not Non-Hispanic Whites' from j where oth_est >= 1""",
         "f6",
@@ -578,7 +578,7 @@ def msr_pums_panel(spark, sf):
 
 
 def msr_od_flows(spark, sf):
-    ends = fx.points(spark, sf).filter(F.col("metro_id") < 5).select(F.col("unit_id").alias("id"), "x", "y")
+    ends = fx.points(spark, sf).withColumnRenamed("unit_id", "id")
     last = fx.typed(spark, sf).filter(F.col("year") == "2012-2016 ACS")
     home = last.select(F.col("unit_id").alias("res_id"), "pm_cat", "am_cat")
     work = last.select(F.col("unit_id").alias("pow_id"), F.concat("pm_cat", F.lit(" (PM)")).alias("cat"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.composition import GROUPS, TYPES_7
+from ..functions.composition import GROUPS, PERIODS, TYPES_7
 from ..functions.nulls import at_least_zero, ratio, rounded
 from ..functions.text import cross_label, keep_label, percent_label, split_piece
 from ..operators import reshape
 from ..operators.order import ordered_levels
 from ..operators.segregation import reallocate
+from ..session import settle
 from . import fixtures as fx
 from .fixtures import r6, with_ctes
 from .registry import query
@@ -169,19 +170,19 @@ TOTAL_CODES = {
         "trt_tot_nhw": ["res_nhw_est", "pow_nhw_est"],
         "trt_tot_h_nha": ["res_h_est", "res_nha_est", "pow_h_est", "pow_nha_est"],
     }
-    for period in ("2000", "2012-2016 ACS")
+    for period in PERIODS
 }
 
 
 @query(
     "prj_code_totals",
     with_ctes(
-        "select unit_id, year, res_total_est + pow_total_est as trt_tot_pop, res_nhw_est + pow_nhw_est as trt_tot_nhw, res_h_est + res_nha_est + pow_h_est + pow_nha_est as trt_tot_h_nha from f2 where year in ('2000', '2012-2016 ACS')",
+        "select unit_id, year, res_total_est + pow_total_est as trt_tot_pop, res_nhw_est + pow_nhw_est as trt_tot_nhw, res_h_est + res_nha_est + pow_h_est + pow_nha_est as trt_tot_h_nha from f2",
         "f2",
     ),
 )
 def prj_code_totals(spark, sf):
-    u = fx.units(spark, sf)
+    u = settle(fx.units(spark, sf))
     parts = [
         u.filter(F.col("year") == period).select("unit_id", *reshape.code_totals(codes, period))
         for period, codes in TOTAL_CODES.items()

@@ -65,41 +65,63 @@ def dissimilarity_summary(
 ) -> DataFrame:
     """D, members and population per period, metro, pair of groups and side of the day.
 
-    ``sides`` maps a label to a count prefix, ``minorities`` a label to a group. The wide
-    counts become one row per (area, side, pair), so all pairs share two aggregations.
+    ``sides`` maps a label to a count prefix, ``minorities`` a label to a group. Areas missing a
+    count of a pair are left out of that pair. All pairs are computed side by side in two
+    aggregations of the wide rows, and become rows only in the small result.
     """
-    rows = F.array(
+    keys = ["year", metro, "metro_name"]
+    combos = [(seg, side, f"{p}_{g}_est", f"{p}_{majority}_est", f"{p}_total_est")
+              for side, p in sides.items() for seg, g in minorities.items()]
+
+    def used(i: int) -> Column:
+        _, _, a, b, _ = combos[i]
+        return F.col(a).isNotNull() & F.col(b).isNotNull()
+
+    by_unit = units.groupBy(*keys, unit).agg(
         *[
-            F.struct(
-                F.lit(label).alias("seg"),
-                F.lit(side).alias("type"),
-                F.col(f"{p}_{g}_est").cast("double").alias("a"),
-                F.col(f"{p}_{majority}_est").cast("double").alias("b"),
-                F.col(f"{p}_total_est").cast("double").alias("pop"),
+            c
+            for i, (_, _, a, b, pop) in enumerate(combos)
+            for c in (
+                F.max(F.when(used(i), 1).otherwise(0)).alias(f"n{i}"),
+                F.sum(F.when(used(i), F.col(a))).alias(f"a{i}"),
+                F.sum(F.when(used(i), F.col(b))).alias(f"b{i}"),
+                F.sum(F.when(used(i), F.col(pop))).alias(f"p{i}"),
+                F.max(F.when(used(i) & F.col(pop).isNull(), 1).otherwise(0)).alias(f"q{i}"),
             )
-            for side, p in sides.items()
-            for label, g in minorities.items()
         ]
     )
-    keys = ["year", metro, "metro_name", "seg", "type"]
-    long = units.select("year", metro, "metro_name", unit, F.inline(rows)).filter(
-        F.col("a").isNotNull() & F.col("b").isNotNull()
-    )
     sums = settle(
-        long.groupBy(*keys).agg(
-            F.count_distinct(unit).alias("metro_n"),
-            strict_sum("a").alias("metro_group"),
-            strict_sum("b").alias("_b"),
-            strict_sum("pop").alias("metro_pop"),
+        by_unit.groupBy(*keys).agg(
+            *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nab" for i in range(len(combos))],
+            *[F.when(F.max(f"q{i}") == 0, F.sum(f"p{i}")).alias(f"p{i}") for i in range(len(combos))],
         )
     )
-    gap = F.abs(ratio("a", "metro_group") - ratio("b", "_b"))
-    d = (
-        attach(long, sums, keys, [unit])
-        .groupBy(*keys)
-        .agg((0.5 * strict_sum(gap)).alias("dis"))
+    counts = sorted({c for combo in combos for c in combo[2:4]})
+    joined = attach(units.select(*keys, unit, *counts), sums, keys, [unit])
+
+    def index(i: int) -> Column:
+        _, _, a, b, _ = combos[i]
+        gap = F.abs(ratio(a, f"a{i}") - ratio(b, f"b{i}"))
+        return F.when(
+            F.count_if(used(i)) == F.count(F.when(used(i), gap)), 0.5 * F.sum(F.when(used(i), gap))
+        ).alias(f"d{i}")
+
+    d = joined.groupBy(*keys).agg(*[index(i) for i in range(len(combos))])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(seg).alias("seg"),
+                F.lit(side).alias("type"),
+                F.col(f"n{i}").alias("metro_n"),
+                F.col(f"a{i}").alias("metro_group"),
+                F.col(f"p{i}").alias("metro_pop"),
+                F.col(f"d{i}").alias("dis"),
+            )
+            for i, (seg, side, *_) in enumerate(combos)
+        ]
     )
-    return natural_join(sums.drop("_b"), d, "left", keys)
+    wide = natural_join(sums, d, "left", keys)
+    return wide.select(*keys, F.inline(rows)).filter(F.col("metro_n") > 0)
 
 
 def information_index(counts: Sequence[str]) -> Column:

@@ -181,12 +181,15 @@ def od_flows(
     key: str = "id",
     least: float = 1.0,
 ) -> DataFrame:
-    """Flows inside one area set, long by worker group, with both ends' attributes.
+    """Flows whose two ends lie in the same metro, long by worker group, with both ends' attributes.
 
-    ``ends`` lists the places of the metro (id, x, y): both ends must be in it. ``home_types``
-    and ``work_types`` carry the types of each end.
+    ``ends`` has one row per place: its id, its ``metro_id`` and whatever else to attach (say
+    coordinates); leave only one metro's places in it for the flows of that metro.
+    ``home_types`` and ``work_types`` carry the types of each end; flows to places without a
+    work type are dropped, as are values below ``least``.
     """
     inside = joins.join_both_ends(flows, ends, key, how="inner")
+    inside = inside.filter(F.col("res_metro_id") == F.col("pow_metro_id"))
     typed = joins.attach(inside, home_types, [f"res_{key}"], [f"pow_{key}"])
     typed = joins.attach(typed, work_types, [f"pow_{key}"], [f"res_{key}"], "inner")
     ids = [c for c in typed.columns if c not in (*FLOW_LABELS, "total_est")]
