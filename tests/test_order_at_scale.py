@@ -28,7 +28,7 @@ def test_quantiles(no_broadcast, skewed, bins):
 
 def test_ranks(no_broadcast, skewed):
     g, x, _, df = skewed
-    got = {r["i"]: r["r"] for r in order.add_rank(df, ["g"], "x", "r", spread=["i"]).select("i", "r").collect()}
+    got = {r["i"]: r["r"] for r in order.add_rank(df, ["g"], "x", "r").select("i", "r").collect()}
     for k in np.unique(g):
         v = x[g == k]
         want = [(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v]
