@@ -1,5 +1,9 @@
-"""Run named queries against their SQL: python tests/run_catalog.py SF_DIR [name part ...]"""
+"""Run named queries against their SQL: python tests/run_catalog.py SF_DIR [name part ...]
 
+With NO_BROADCAST=1 nothing counts as small, so the plans for large tables are used.
+"""
+
+import os
 import sys
 import time
 
@@ -14,6 +18,8 @@ if __name__ == "__main__":
     sf, parts = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("NO_BROADCAST"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = connect(sf)
     oracles, bad = e.oracle_sql(), 0
     for name, f in e.queries().items():
