@@ -4,8 +4,9 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_point
+from diurnal import catalog
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,8 @@ def test_query_without_broadcast(name, no_broadcast, sf, con):
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+    assert set(QUERIES) <= set(entry_point.queries())
 
 
 def test_entry(spark):
