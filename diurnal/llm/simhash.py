@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import pieces, utf8, write_once
 from .components import components
 
-#: Cut nodes of the trie's top: at least this many fingerprints each, and at most so many nodes.
-NODE_LEAST, NODES_MOST = 8192, 2048
+#: Cut nodes of the trie's top hold about this many fingerprints; there are at least
+#: ``NODES_LEAST`` (for parallel work) and at most about ``NODES_MOST`` of them.
+NODE_SIZE, NODES_LEAST, NODES_MOST = 65536, 32, 2048
 #: A node with at most this many fingerprints is a leaf in a task's walk.
 LEAF = 8
 #: Node pairs walked at once in a task; more are put off, which bounds its memory.
@@ -198,14 +199,14 @@ def cut_nodes(bits: DataFrame, total: int, budget: int) -> tuple[list[tuple[int,
     """The trie's top: nodes (depth, first bits) and surviving node pairs (a, b, differing bits).
 
     Counts of the first 16 bits (65,536 rows at most) decide where to cut: a node is split
-    until it holds at most ``max(NODE_LEAST, total / NODES_MOST)`` fingerprints. Both lists are
-    bounded by ``NODES_MOST``, not by the data.
+    until it holds at most ``NODE_SIZE`` fingerprints, or fewer or more to keep to the bounds on
+    the number of nodes. Both lists are bounded by ``NODES_MOST``, not by the data.
     """
     head = F.shiftrightunsigned("bits", 48).cast("int").alias("head")
     counts = np.zeros(1 << 16, np.int64)
     for r in bits.groupBy(head).count().collect():
         counts[r["head"]] = r["count"]
-    most = max(NODE_LEAST, total // NODES_MOST)
+    most = max(1, min(NODE_SIZE, total // NODES_LEAST), total // NODES_MOST)
     sums = np.concatenate([[0], np.cumsum(counts)])
 
     def size(depth: int, path: int) -> int:
