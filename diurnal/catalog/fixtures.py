@@ -270,18 +270,32 @@ def metro_squares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def place_diamonds(spark: SparkSession, sf: str) -> DataFrame:
-    """A diamond with half width .3525 in the middle of every metro square."""
+    """Two parts per metro square: a diamond with a diamond hole in the middle, and a small square."""
     n = table(spark, sf, "nation")
     x = (F.col("n_nationkey") % 5).cast("double") + 0.5
     y = F.floor(F.col("n_nationkey") / 5).cast("double") + 0.5
-    h = 0.3525
+    diamond = lambda h: ring((x - h, y), (x, y - h), (x + h, y), (x, y + h))
+    a, b = 0.401, 0.481
     return n.select(
         F.concat(F.lit("Place "), F.col("n_name")).alias("place_name"),
         F.when(F.col("n_nationkey") % 2 == 0, "Y").otherwise("N").alias("prin_flag"),
-        F.array(ring((x - h, y), (x, y - h), (x + h, y), (x, y + h))).alias("rings"),
+        F.array(
+            diamond(0.3525), F.reverse(diamond(0.1525)), ring((x + a, y + a), (x + b, y + a), (x + b, y + b), (x + a, y + b))
+        ).alias("rings"),
     )
 
 
+def parcels(spark: SparkSession, sf: str) -> DataFrame:
+    """Area k as the unit square with lower-left corner (k % 100, k / 100); even ones have a hole."""
+    c = table(spark, sf, "customer")
+    x = (F.col("c_custkey") % 100).cast("double")
+    y = F.floor(F.col("c_custkey") / 100).cast("double")
+    outer = ring((x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1))
+    hole = ring((x + 0.25, y + 0.25), (x + 0.25, y + 0.75), (x + 0.75, y + 0.75), (x + 0.75, y + 0.25))
+    rings = F.when(F.col("c_custkey") % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    return c.select("c_custkey", "c_nationkey", F.col("c_name").alias("label"), rings.alias("rings"))
+
+
 def unit_triangles(spark: SparkSession, sf: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     return points(spark, sf).select(

@@ -377,7 +377,8 @@ def win_fill_down(spark, sf):
         (F.col("year") == "2006-2010 ACS") | (F.col("unit_id") % 4 == 0), F.concat("metro_name", "year")
     )
     u = settle(fx.units(spark, sf).select("unit_id", "year", known.alias("known")))
-    return order.fill_down(u, ["unit_id"], "year", [*PERIODS[1:], PERIODS[0]], ["known"])
+    place = F.array_position(F.lit([*PERIODS[1:], PERIODS[0]]), F.col("year"))
+    return order.fill_down(u, ["unit_id"], [place], ["known"])
 
 
 @query(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, reshape
 from ..plans.analyses import AGE_BANDS, LANGUAGE_BANDS, POVERTY_BANDS, band_of
-from ..session import settle
 from . import fixtures as fx
 from .fixtures import with_ctes
 from .registry import query
@@ -66,24 +65,18 @@ def jn_renamed_key(spark, sf):
     return joins.renamed_key_join(u, fx.crosswalk(spark, sf), {"unit_id": "from_id"}, "left")
 
 
-def dimension_tables(spark, sf):
-    """One wide table per dimension: age, sex, language, poverty."""
-    d = settle(fx.dimensions(spark, sf))
-    ids = ["unit_id", "type"]
-
-    def wide(band, levels, prefix):
-        return reshape.widen_sum(d.withColumn("band", band), ids, "band", levels, "value", prefix)
-
+def _dimensions():
+    """Names, levels and prefix of each dimension: age, sex, language, poverty."""
     return [
-        wide(band_of("age", AGE_BANDS), list(AGE_BANDS), "tot_age_"),
-        wide(F.lower("sex"), ["male", "female"], "tot_sex_"),
-        wide(band_of("lang", LANGUAGE_BANDS, "oth"), ["eng", "span", "oth"], "tot_lang_"),
-        wide(band_of("pov_status", POVERTY_BANDS), list(POVERTY_BANDS), "tot_"),
+        (band_of("age", AGE_BANDS), list(AGE_BANDS), "tot_age_"),
+        (F.lower("sex"), ["male", "female"], "tot_sex_"),
+        (band_of("lang", LANGUAGE_BANDS, "oth"), ["eng", "span", "oth"], "tot_lang_"),
+        (band_of("pov_status", POVERTY_BANDS), list(POVERTY_BANDS), "tot_"),
     ]
 
 
 def all_dimensions(spark, sf):
-    return joins.join_all(dimension_tables(spark, sf), ["unit_id", "type"])
+    return reshape.widen_sums(fx.dimensions(spark, sf), ["unit_id", "type"], _dimensions(), "value")
 
 
 def _wide_sql(band: str, levels: list[str], prefix: str) -> str:
@@ -114,7 +107,9 @@ def jn_nway_wide(spark, sf):
 
 @query("agg_collapse_categories", with_ctes(f"with {DIMENSION_SQL} select * from d_age", "f10"))
 def agg_collapse_categories(spark, sf):
-    return dimension_tables(spark, sf)[0]
+    names, levels, prefix = _dimensions()[0]
+    d = fx.dimensions(spark, sf).withColumn("band", names)
+    return reshape.widen_sum(d, ["unit_id", "type"], "band", levels, "value", prefix)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls
 from ..functions.composition import GROUPS, TYPES_7, segregation_level, type9
 from ..functions.nulls import rounded
+from ..functions.text import parse_tract_label
 from ..operators import joins, order, reshape, segregation
 from ..operators.spatial import spatial_indices
 from ..plans.analyses import (
@@ -21,8 +22,11 @@ from ..plans.analyses import (
     person_panel,
     with_entropy,
 )
+from ..plans.builds import flow_build
 from ..session import settle
+from ..sources import extracts
 from . import fixtures as fx
+from .files import write_flow_files
 from .fixtures import entropy_sql, r6, with_ctes
 from .grouping import _RACE, weighted_median_sql
 from .joining import DIMENSION_SQL, all_dimensions
@@ -386,6 +390,31 @@ def msr_spatial_isolation(spark, sf):
     return _rounded_all(spatial(spark, sf).select("metro_id", "year", *_ISO), list(_ISO))
 
 
+# One location per raster cell (the fixture's points lie on a lattice of that width), so the
+# indices over areas, without any raster, are the same.
+FINE_CELL, FINE_RADIUS, FINE_BETA = 0.005, 0.1, 30.0
+_AREAS_SQL = f"""ar as (select metro_id, year, unit_id, x, y, {", ".join(f"res_{g}_est as {g}" for g in _H_GROUPS)}, {_MINORITY} as minority from (select ty.*, x, y from ty join f6 on ty.unit_id = f6.unit_id)),
+pr as (select p.metro_id, p.year, p.unit_id, q.unit_id as other, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from ar p join ar q on p.metro_id = q.metro_id and p.year = q.year),
+env as (select ar.*, {", ".join(f"e_{g}" for g in [*_H_GROUPS, "minority"])} from ar join (select pr.year, pr.unit_id, {", ".join(f"sum(q.{g} * exp(-{FINE_BETA}e0 * d)) as e_{g}" for g in [*_H_GROUPS, "minority"])}
+  from pr join ar q on pr.year = q.year and pr.other = q.unit_id where d <= {FINE_RADIUS}e0 + 1e-9 group by 1, 2) using (year, unit_id))
+"""
+
+
+@query(
+    "msr_spatial_areas",
+    with_ctes(
+        f"with {_AREAS_SQL}, iso as (select metro_id, year, " + ", ".join(f"{r6(_spat_iso(g))} as {n}" for n, g in _ISO.items())
+        + f" from env group by 1, 2) select iso.*, {r6('h')} as spat_multi_theil_nhood from iso join ({_SPAT_H}) using (metro_id, year)",
+        "ty",
+        "f6",
+    ),
+)
+def msr_spatial_areas(spark, sf):
+    """The spatial indices on a fine raster, checked against sums over pairs of areas."""
+    s = spatial_indices(located(spark, sf), ["metro_id", "year"], "x", "y", FINE_CELL, FINE_RADIUS, FINE_BETA)
+    return _rounded_all(s, [*_ISO, "spat_multi_theil_nhood"])
+
+
 def metro_panel(spark, sf, spatially: bool = True, metro_medians: bool = True):
     """The full metro panel: one aggregation, exact medians, spatial indices, D on all areas."""
     keys = ["metro_id", "metro_name", "year"]
@@ -486,7 +515,7 @@ def msr_rank_change(spark, sf):
         F.avg("race_eth_div_am").alias("avg_div_whood"),
         F.avg("race_eth_div_pm").alias("avg_div_nhood"),
     )
-    top = settle(order.top_with_ties(settle(metros, always=True), 10, "tot_pop"), always=True)
+    top = settle(order.top_with_ties(settle(metros), 10, "tot_pop"))
     for w in ("whood", "nhood"):
         top = order.add_rank(top, [], f"avg_div_{w}", f"{w}_div_rank", descending=True)
     return top.select(
@@ -585,6 +614,37 @@ def msr_od_flows(spark, sf):
     return od_flows(fx.flows(spark, sf), ends, home, work)
 
 
+@query(
+    "msr_flow_build",
+    with_ctes(
+        """with ok as (select * from f5 where trt_string not like 'Tract 999999%'),
+ ends as (select 'G' || cast(f6.unit_id as varchar) as GISJOIN, trt_string, metro_id, x, y, f6.unit_id from f6 join ok on f6.unit_id = ok.unit_id),
+ last as (select unit_id, pm_cat, am_cat from ty where year = '2012-2016 ACS'),
+ fl as (select h.trt_string as rl, w.trt_string as pl, nhw_est, oth_est from f8 join ok h on res_id = h.unit_id join ok w on pow_id = w.unit_id),
+ j as (select h.GISJOIN as res_GISJOIN, w.GISJOIN as pow_GISJOIN, h.metro_id as res_metro_id, w.metro_id as pow_metro_id, h.x as res_x, h.y as res_y, w.x as pow_x, w.y as pow_y, t.pm_cat, t.am_cat, concat(c.pm_cat, ' (PM)') as cat, nhw_est, oth_est
+  from fl join ends h on rl = h.trt_string join ends w on pl = w.trt_string and w.metro_id = h.metro_id left join (select * from last join ends using (unit_id)) t on rl = t.trt_string join (select * from last join ends using (unit_id)) c on pl = c.trt_string)
+ select * exclude (nhw_est, oth_est), 'nhw_est' as name, nhw_est as value, 'Workers who are Non-Hispanic Whites' as est_type from j where nhw_est >= 1
+ union all select * exclude (nhw_est, oth_est), 'oth_est', oth_est, 'Workers who are not Non-Hispanic Whites' from j where oth_est >= 1""",
+        "f5",
+        "f6",
+        "f8",
+        "ty",
+    ),
+)
+def msr_flow_build(spark, sf):
+    """Headerless flow files with two label columns, through to typed flows inside metros."""
+    labels = settle(fx.labels(spark, sf).filter(~F.col("trt_string").startswith("Tract 999999")))
+    path = write_flow_files(spark, fx.flows(spark, sf), labels)
+    schema = "res_tract_str string, pow_tract_str string, total_est double, nhw_est double, oth_est double"
+    raw = extracts.read_extracts(spark, path, schema, F.lit(6), header=False).drop("file")
+    gisjoin = F.concat(F.lit("G"), F.col("unit_id").cast("string")).alias("GISJOIN")
+    points = joins.natural_join(fx.points(spark, sf), labels, "inner", ["unit_id"])
+    parsed = points.select(gisjoin, "metro_id", parse_tract_label("trt_string").alias("p"))
+    tracts = parsed.select("GISJOIN", "metro_id", "p.tractfp", "p.countylsad", "p.state")
+    last = fx.typed(spark, sf).filter(F.col("year") == "2012-2016 ACS")
+    return flow_build(raw, tracts, points.select(gisjoin, "x", "y"), last.select(gisjoin, "pm_cat", "am_cat"))
+
+
 @query(
     "msr_metro_layers",
     with_ctes(

@@ -27,7 +27,17 @@ GROUP_LABELS = {
 }
 BASE_TYPE, BASE_PERIOD = "Multiethnic", "2000"
 
-_LONG = "lo as (" + " union all ".join(f"select '{c}' as outcome, unit_id, prin_city, pm_cat, year, {c} as v from el" for c in OUTCOMES) + ")"
+# outcome -> it is unknown where this divides the area's number; each outcome is a model of its own
+UNKNOWN = {"chg_nha": 11, "chg_h": 13, "res_total_est": 7}
+
+
+def modelled(spark, sf):
+    """Eligible areas, single outcomes unknown here and there."""
+    u = fx.eligible(spark, sf)
+    return u.withColumns({c: F.when(F.col("unit_id") % d != 0, F.col(c)) for c, d in UNKNOWN.items()})
+
+
+_LONG = "lo as (" + " union all ".join(f"select '{c}' as outcome, unit_id, metro_id, prin_city, pm_cat, year, {c} as v from el" + (f" where unit_id % {UNKNOWN[c]} <> 0" if c in UNKNOWN else "") for c in OUTCOMES) + ")"
 
 
 def _cells_sql(cell: str) -> str:
@@ -52,7 +62,7 @@ _COEF_SQL = f"""select mc.outcome, {_TERM.replace('pm_cat =', 'mc.pm_cat =').rep
 )
 def mdl_ols_factor_interaction(spark, sf):
     out = cells.interaction_coefficients(
-        fx.eligible(spark, sf), OUTCOMES, "pm_cat", "year", BASE_TYPE, BASE_PERIOD
+        modelled(spark, sf), OUTCOMES, "pm_cat", "year", BASE_TYPE, BASE_PERIOD
     )
     return out.withColumn("estimate", rounded("estimate"))
 
@@ -70,7 +80,7 @@ def mdl_ols_factor_interaction(spark, sf):
 )
 def mdl_cluster_se(spark, sf):
     out = cells.interaction_cluster_se(
-        fx.eligible(spark, sf), OUTCOMES, "pm_cat", "year", BASE_TYPE, BASE_PERIOD, "unit_id"
+        modelled(spark, sf), OUTCOMES, "pm_cat", "year", BASE_TYPE, BASE_PERIOD, "unit_id"
     )
     return reshape.across(out, ["estimate", "se"], rounded)
 
@@ -97,13 +107,13 @@ def _margins_sql(cell: str, where: str = "true") -> str:
 
 @query("mdl_margins", with_ctes(_margins_sql("pm_cat, year"), "el"))
 def mdl_margins(spark, sf):
-    return readable_margins(cells.margins(fx.eligible(spark, sf), OUTCOMES, ["pm_cat", "year"], "unit_id"))
+    return readable_margins(cells.margins(modelled(spark, sf), OUTCOMES, ["pm_cat", "year"], "unit_id"))
 
 
 @query("mdl_margins_city_sub", with_ctes(_margins_sql("prin_city, pm_cat, year"), "el"))
 def mdl_margins_city_sub(spark, sf):
     keys = ["prin_city", "pm_cat", "year"]
-    return readable_margins(cells.margins(fx.eligible(spark, sf), OUTCOMES, keys, "unit_id"))
+    return readable_margins(cells.margins(modelled(spark, sf), OUTCOMES, keys, "unit_id"))
 
 
 # Type families shown together.
@@ -118,7 +128,7 @@ FAMILY = ["Predominantly Black", "Predominantly Latinx", "Predominantly Asian"]
     ),
 )
 def mdl_margins_subsets(spark, sf):
-    m = cells.margins(fx.eligible(spark, sf), OUTCOMES, ["pm_cat", "year"], "unit_id")
+    m = cells.margins(modelled(spark, sf), OUTCOMES, ["pm_cat", "year"], "unit_id")
     return readable_margins(
         m.filter(F.col("pm_cat").isin(*FAMILY) & F.col("year").isin("2000", "2012-2016 ACS"))
     )
@@ -127,12 +137,12 @@ def mdl_margins_subsets(spark, sf):
 @query(
     "mdl_glm_gaussian_predict",
     with_ctes(
-        f"select pm_cat, 'Neighborhood' as name, {r6('avg(res_total_est)')} as value from el group by 1 union all select pm_cat, 'Workhood', {r6('avg(pow_total_est)')} from el group by 1",
+        f"select pm_cat, 'Neighborhood' as name, {r6('avg(case when unit_id % 7 <> 0 then res_total_est end)')} as value from el group by 1 union all select pm_cat, 'Workhood', {r6('avg(pow_total_est)')} from el group by 1",
         "el",
     ),
 )
 def mdl_glm_gaussian_predict(spark, sf):
-    means = cells.cell_means(fx.eligible(spark, sf), ["res_total_est", "pow_total_est"], ["pm_cat"])
+    means = cells.cell_means(modelled(spark, sf), ["res_total_est", "pow_total_est"], ["pm_cat"])
     name = F.when(F.col("outcome") == "res_total_est", "Neighborhood").otherwise("Workhood")
     return means.select("pm_cat", name.alias("name"), rounded("mean").alias("value"))
 
@@ -217,7 +227,7 @@ def _round_fit(df, columns=("estimate", "se", "t", "r2")):
     ),
 )
 def mdl_fe_ols(spark, sf):
-    u = settle(_with_logs(fx.eligible(spark, sf)).select("metro_id", "chg_nhb", "chg_nhw", *_FE_TERMS), always=True)
+    u = settle(_with_logs(fx.eligible(spark, sf)).select("metro_id", "chg_nhb", "chg_nhw", *_FE_TERMS))
     fits = [regression.fit(u, Spec(y, _FE_TERMS, "metro_id")) for y in ("chg_nhb", "chg_nhw")]
     return _round_fit(reshape.stack(*fits).select("model", "outcome", "term", "estimate"), ["estimate"])
 
@@ -249,7 +259,7 @@ def mdl_wls_fe(spark, sf):
 
 def _small_panel(spark, sf):
     """Metro panel with period dummies, written once since several models read it."""
-    panel = settle(metro_panel(spark, sf, spatially=False, metro_medians=False), always=True)
+    panel = settle(metro_panel(spark, sf, spatially=False, metro_medians=False))
     return regression.period_dummies(panel, "year", PERIODS)
 
 
@@ -344,8 +354,8 @@ def mdl_fe_ols_multidim(spark, sf):
         }
     )
     outcomes = ["chg_race_eth_div", "chg_nhb", "chg_nhw", "chg_h", "chg_nha"]
-    t = settle(t.select("metro_id", *outcomes, *_MD_X, "trt_tot_pop_1k", "log_aland_mi2"), always=True)
-    t = settle(reshape.zscores(t, ["chg_race_eth_div", *_MD_X]), always=True)
+    t = settle(t.select("metro_id", *outcomes, *_MD_X, "trt_tot_pop_1k", "log_aland_mi2"))
+    t = settle(reshape.zscores(t, ["chg_race_eth_div", *_MD_X]))
     x = [*_MD_X, "trt_tot_pop_1k", "log_aland_mi2"]
     return _round_fit(reshape.stack(*[regression.fit(t, Spec(y, x, "metro_id")) for y in outcomes]))
 
@@ -353,13 +363,32 @@ def mdl_fe_ols_multidim(spark, sf):
 @query("mdl_ols_metro_dummies")
 def mdl_ols_metro_dummies(spark, sf):
     """Margins of type by period with metro effects, unweighted and weighted by workers."""
-    u = settle(
-        fx.eligible(spark, sf).select("metro_id", "pm_cat", "year", "res_total_est", *OUTCOMES), always=True
-    )
+    u = settle(modelled(spark, sf).select("metro_id", "pm_cat", "year", "pow_total_est", *OUTCOMES))
     out = []
-    for weight, model in [(None, "fe"), ("res_total_est", "wls")]:
+    for weight, model in [(None, "fe"), ("pow_total_est", "wls")]:
         m = regression.category_margins(
             u, OUTCOMES, ["pm_cat", "year"], [BASE_TYPE, BASE_PERIOD], "metro_id", weight
         )
         out.append(m.withColumn("model", F.lit(model)))
-    return reshape.across(reshape.stack(*out), ["pred"], rounded)
+    return reshape.across(reshape.stack(*out), _MARGIN, rounded)
+
+
+_MARGIN = ["pred", "se", "lower", "upper"]
+# Closed form for two cells: x marks the second one. Per outcome: b from within-group moments; the
+# margins are the mean group level and that plus b; scores u per group; q the mean share of x in a group.
+_TWO_SQL = f"""with {_LONG}, d as (select outcome, metro_id as g, case when pm_cat = '{BASE_TYPE}' then 0e0 else 1e0 end as x, v from lo),
+ gr as (select outcome, g, count(*) as n, sum(x) as sx, avg(x) as mx, avg(v) as mv, sum(x * v) - sum(x) * sum(v) / count(*) as xy, sum(x * x) - sum(x) * sum(x) / count(*) as xx from d group by all),
+ fit as (select outcome, sum(xy) / sum(xx) as b, sum(xx) as sxx, avg(mx) as q, sum(n) as nobs, count(*) as m from gr group by outcome),
+ sc as (select outcome, sum(u * u) as meat, avg(level) as level from (select gr.outcome, mv - b * mx as level, xy - b * xx as u from gr join fit using (outcome)) group by outcome),
+ mg as (select outcome, c.cell, level + c.x * b as pred, sqrt((m / (m - 1e0)) * ((nobs - 1e0) / (nobs - (m + 1))) * meat) / sxx * abs(c.x - q) as se
+  from fit join sc using (outcome), (values ('base', 0e0), ('other', 1e0)) c(cell, x))
+ select outcome, cell, {r6('pred')} as pred, {r6('se')} as se, {r6('pred - 1.959964e0 * se')} as lower, {r6('pred + 1.959964e0 * se')} as upper from mg"""
+
+
+@query("mdl_fe_margins_two", with_ctes(_TWO_SQL, "el"))
+def mdl_fe_margins_two(spark, sf):
+    """Margins of the base type and of all others with metro effects and errors by metro."""
+    cell = F.when(F.col("pm_cat") == BASE_TYPE, "base").otherwise("other")
+    u = modelled(spark, sf).select("metro_id", cell.alias("cell"), *OUTCOMES)
+    m = regression.category_margins(u, OUTCOMES, ["cell"], ["base"], "metro_id")
+    return reshape.across(m, _MARGIN, rounded)

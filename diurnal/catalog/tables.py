@@ -10,6 +10,13 @@ from ..functions.text import cross_label, keep_label, percent_label, split_piece
 from ..operators import reshape
 from ..operators.order import ordered_levels
 from ..operators.segregation import reallocate
+from ..plans.builds import (
+    INDICATOR_COUNTS,
+    INDICATOR_SHARES,
+    INDICATOR_YEARS,
+    indicator_codes,
+    tract_indicators,
+)
 from ..session import settle
 from . import fixtures as fx
 from .fixtures import r6, with_ctes
@@ -163,6 +170,28 @@ def prj_indicators(spark, sf):
     )
 
 
+def _coded(unit: str, i: int) -> str:
+    """An invented count for the ``i``-th source column, as SQL."""
+    return f"(({unit} * {7 * i + 3}) % 1009) * 1e0"
+
+
+_SHARE_SQL = ", ".join(f"{r6('(' + ' + '.join(parts) + f') / nullif({whole}, 0)')} as {name}" for name, (parts, whole) in INDICATOR_SHARES.items())
+_COUNT_SQL = ", ".join(f"{r6(f'{c} / {unit:g}e0')} as {name}" for name, (c, unit) in INDICATOR_COUNTS.items())
+
+
+@query(
+    "prj_tract_indicators",
+    "with coded as (select c_custkey as unit_id, " + ", ".join(f"{_coded('c_custkey', i)} as {c}" for i, c in enumerate(indicator_codes()))
+    + f" from customer) select unit_id, {_COUNT_SQL}, {_SHARE_SQL}, " + ", ".join(f"{c} - {year} as {name}" for name, (c, year) in INDICATOR_YEARS.items()) + " from coded",
+)
+def prj_tract_indicators(spark, sf):
+    """The twelve tract indicators from coded columns."""
+    codes = [F.expr(_coded("c_custkey", i)).alias(c) for i, c in enumerate(indicator_codes())]
+    coded = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("unit_id"), *codes)
+    t = tract_indicators(coded, ["unit_id"])
+    return reshape.across(t, [*INDICATOR_COUNTS, *INDICATOR_SHARES], rounded)
+
+
 # Which source columns make up each tract total, per period.
 TOTAL_CODES = {
     period: {

@@ -32,13 +32,15 @@ def cluster_cells(
     """Row count and sum of each outcome per (outcome, cluster, cell).
 
     This is the only shuffle of the full table: all outcomes are summed side by side and
-    turned into rows afterwards. Rows with any missing model variable are left out.
+    turned into rows afterwards. Each outcome is a model of its own: rows count where that
+    outcome and all cell columns are known.
     """
-    used = df.dropna(subset=[*outcomes, *cells])
+    used = df.dropna(subset=list(cells))
     sums = used.groupBy(cluster, *cells).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"_s_{c}") for c in outcomes]
+        *[F.count(c).alias(f"_n_{c}") for c in outcomes], *[F.sum(c).alias(f"_s_{c}") for c in outcomes]
     )
-    return _long(sums, [cluster, *cells, "n"], {c: {"s": f"_s_{c}"} for c in outcomes})
+    long = _long(sums, [cluster, *cells], {c: {"n": f"_n_{c}", "s": f"_s_{c}"} for c in outcomes})
+    return long.filter(F.col("n") > 0)
 
 
 def _model_size(by_cluster: DataFrame, cells: Sequence[str], cluster: str) -> DataFrame:
@@ -63,36 +65,42 @@ def margins(
 ) -> DataFrame:
     """Predicted outcome per cell with a cluster-robust standard error and interval.
 
-    The sum of squared cluster residual sums in a cell expands to sums over clusters, so the
-    cell mean is not joined back to the rows.
+    The (few) cell means are attached to the rows per cluster and cell, so that the squares are those of
+    residual sums; an expansion into sums of squares would lose digits.
     """
     by_cluster = settle(cluster_cells(df, outcomes, cells, cluster))
-    n, s = F.col("n"), F.col("s")
-    stats = by_cluster.groupBy("outcome", *cells).agg(
-        F.sum(n).alias("n"),
-        F.sum(s).alias("s"),
-        F.sum(s * s).alias("ss"),
-        F.sum(n * s).alias("ns"),
-        F.sum(n * n).alias("nn"),
-    )
-    pred = F.col("s") / F.col("n")
-    meat = F.col("ss") - 2 * pred * F.col("ns") + pred * pred * F.col("nn")
-    se = F.sqrt(F.col("factor") * F.greatest(meat, F.lit(0.0))) / F.col("n")
+    means = by_cluster.groupBy("outcome", *cells).agg(
+        F.sum("n").alias("n_cell"), (F.sum("s") / F.sum("n")).alias("pred")
+    )
+    residual = F.col("s") - F.col("n") * F.col("pred")
+    stats = (
+        attach(by_cluster, means, ["outcome", *cells], [cluster], "inner")
+        .groupBy("outcome", *cells)
+        .agg(
+            F.max("n_cell").alias("n"),
+            F.max("pred").alias("pred"),
+            F.sum(residual * residual).alias("meat"),
+        )
+    )
+    se = F.sqrt(F.col("factor") * F.col("meat")) / F.col("n")
     size = _model_size(by_cluster, cells, cluster).select("outcome", "factor")
     return (
         natural_join(stats, size, "left", ["outcome"])
-        .select("outcome", *cells, F.col("n"), pred.alias("pred"), se.alias("se"))
+        .select("outcome", *cells, F.col("n"), F.col("pred"), se.alias("se"))
         .withColumns({"lower": F.col("pred") - z * F.col("se"), "upper": F.col("pred") + z * F.col("se")})
     )
 
 
 def cell_means(df: DataFrame, outcomes: Sequence[str], cells: Sequence[str]) -> DataFrame:
-    """Mean of each outcome per cell, all outcomes in one aggregation."""
-    used = df.dropna(subset=[*outcomes, *cells])
-    means = used.groupBy(*cells).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m_{c}") for c in outcomes]
+    """Mean of each outcome per cell, all outcomes in one aggregation.
+
+    An outcome's mean is over the rows where it is known; a cell without any is left out.
+    """
+    means = df.dropna(subset=list(cells)).groupBy(*cells).agg(
+        *[F.count(c).alias(f"_n_{c}") for c in outcomes], *[F.avg(c).alias(f"_m_{c}") for c in outcomes]
     )
-    return _long(means, [*cells, "n"], {c: {"mean": f"_m_{c}"} for c in outcomes})
+    long = _long(means, cells, {c: {"n": f"_n_{c}", "mean": f"_m_{c}"} for c in outcomes})
+    return long.filter(F.col("n") > 0)
 
 
 def _term(a: str, b: str, base_a: str, base_b: str) -> Column:

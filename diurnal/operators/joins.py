@@ -1,7 +1,7 @@
 """Joins in which NULL keys match each other and hot keys are spread out.
 
-No join here carries a broadcast hint. Catalyst broadcasts a side whose size it knows to
-be below ``spark.sql.autoBroadcastJoinThreshold``; anything larger is shuffled.
+A side is broadcast only if its size in memory, counted when it was written, is within
+``spark.sql.autoBroadcastJoinThreshold``; anything larger is shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import estimated_bytes, fits_broadcast, settle
+from ..session import broadcast_limit, measured, settle
 
 _SALT = "_salt"
-COPIES_BYTES = 4 << 30  # size limit for all salted copies of a table
+SALTS = 64  # parts of a key's rows where the table of groups is not broadcast
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -50,12 +50,6 @@ def renamed_key_join(
     return joined if how in ("left_semi", "left_anti") else joined.drop(*theirs.values())
 
 
-def _salt_count(rows: DataFrame, table: DataFrame) -> int:
-    """One salt per shuffle partition, within a limit on the size of all copies together."""
-    wanted = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 512)
-    return max(2, min(wanted, COPIES_BYTES // max(1, estimated_bytes(table))))
-
-
 def attach(
     rows: DataFrame,
     table: DataFrame,
@@ -66,28 +60,32 @@ def attach(
 ) -> DataFrame:
     """Join a table of groups to many rows per group.
 
-    The table is settled, so its true size is known. If it may be broadcast, the rows are not
-    shuffled at all. Otherwise the rows of one key are spread over many tasks by a hash of the
+    The table is written and measured. If it may be broadcast, the rows are not
+    shuffled at all. Otherwise the rows of one key are spread over ``SALTS`` tasks by a hash of the
     ``spread`` columns, with one copy of the table per salt, so a key holding a third of all
-    rows does not sit in one task. The salt is a hash, not a random number: a recomputed task
+    rows does not sit in one task, however large the table is. The salt is a hash, not a random number: a recomputed task
     gives the same rows. ``where`` is a further condition of the match.
 
     For a table about as large as the rows use ``natural_join``, which is left to the
     skew handling of adaptive execution.
     """
-    table = settle(table)
-    if fits_broadcast(table):
-        return natural_join(rows, table, how, keys, where)
-    salts = _salt_count(rows, table)
-    salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    table, size = measured(table)
+    if size <= broadcast_limit(rows.sparkSession):
+        return natural_join(rows, F.broadcast(table), how, keys, where)
+    salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     copies = table.withColumn(
-        _SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+        _SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )
-    return natural_join(salted, copies, how, [*keys, _SALT], where).drop(_SALT)
+    # the hint keeps Catalyst from broadcasting by the size of the compressed files
+    return natural_join(salted, copies.hint("merge"), how, [*keys, _SALT], where).drop(_SALT)
 
 
 def join_all(tables: Sequence[DataFrame], on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join several tables on one set of identifiers, which is shuffled once per table."""
+    """Join several tables on one set of identifiers, NULL ids matching NULL ids.
+
+    For tables with one row per id that are all made from one source, ``reshape.widen_sums`` gives the
+    same result in one shuffle.
+    """
     return reduce(lambda a, b: natural_join(a, b, how, on), tables)
 
 
@@ -106,13 +104,16 @@ def unmatched_counts(rows: DataFrame, table: DataFrame, key: str, report: Sequen
 def category_grid(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every combination of the labels found in category columns.
 
-    One aggregation collects the distinct labels of each column (partial sets per task, a
-    handful of labels each) and explodes them, so no Cartesian join takes place.
+    The distinct labels of each column are aggregated apart (the category columns have a
+    handful of labels each) and set beside the rows so far as one array, which is exploded. Between
+    columns the rows are dealt out anew, so the product is not made in one task.
     """
-    sets = df.agg(*[F.collect_set(F.struct(c)).alias(c) for c in columns])
-    for c in columns:
-        sets = sets.withColumn(c, F.explode(c))
-    return sets.select(*[F.col(c)[c].alias(c) for c in columns])
+    grid = df.select(columns[0]).distinct()
+    for c in columns[1:]:
+        labels = df.select(F.struct(c).alias(c)).distinct().agg(F.collect_list(c).alias(c))
+        grid = grid.repartition(*grid.columns).withColumn(c, labels.scalar()).withColumn(c, F.explode(c))
+        grid = grid.withColumn(c, F.col(c)[c])
+    return grid
 
 
 def complete_grid(
@@ -140,7 +141,7 @@ def join_both_ends(
     Each end is spread by the id of the other end: one big work place does not gather all
     of its flows in one task.
     """
-    places = settle(places)
+    places = settle(places)  # read once for each end
     ends = {origin: destination, destination: origin}
     for here, there in ends.items():
         flows = attach(flows, prefixed(places, here), [here + key], [there + key], how)

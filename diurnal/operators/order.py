@@ -1,22 +1,25 @@
 """Ranks, quantiles and running totals that never gather a whole group in one task.
 
 A window over a group sorts that group in a single task. The operators here first fold
-equal values (with partial aggregation), cut each group into bins at approximate
-quantiles, and run windows only inside a bin and over the bins. Results are exact: the
-sketch decides where the cuts are, not what is counted.
+equal values (with partial aggregation), cut the folded rows into ranges of (group, value) of
+about ``BIN_ROWS`` rows, and run windows only inside a range and over the ranges. The number
+of ranges grows with the rows, so a window is bounded whatever a group holds. Results are
+exact: sampling decides where the cuts are, not what is counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast, settle
+from ..session import settle
 from .joins import attach, natural_join
 
-BINS = 64
+BIN_ROWS = 200_000  # folded rows of one range, about
 _ALL = "_all"
 
 
@@ -27,12 +30,71 @@ def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df.withColumn(_ALL, F.lit(1)), [_ALL]
 
 
+def _before(c: str, w) -> Column:
+    return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _ranges(
+    df: DataFrame, keys: Sequence[str], by: Sequence[str], weight: str | None, bin_rows: int = BIN_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Folded rows with the ``_bin`` they lie in, and one row per (keys, ``_bin``) with totals.
+
+    The second table has the known rows and weights in the bin (``_n``, ``_w``), those of the
+    group before it (``_n_start``, ``_w_start``), and of the whole group (``_n_all``, ``_w_all``,
+    ``_n_null``). Its windows see one row per range of a group.
+    """
+    value = by[0]
+    tally = settle(
+        df.groupBy(*keys, *by)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_w", F.col("_n") * (F.col(weight) if weight else F.lit(1)))
+    )
+    parts = -(-tally.count() // bin_rows)
+    if parts > 1:
+        dealt = tally.repartitionByRange(parts, *keys, *by)
+        binned = settle(dealt.withColumn("_bin", F.spark_partition_id()))
+    else:
+        binned = tally.withColumn("_bin", F.lit(0))
+    known = F.col(value).isNotNull()
+    totals = binned.groupBy(*keys, "_bin").agg(
+        F.sum(F.when(known, F.col("_n"))).alias("_n"),
+        F.sum(F.when(known, F.col("_w"))).alias("_w"),
+        F.sum(F.when(~known, F.col("_n")).otherwise(0)).alias("_null"),
+    )
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_bin")
+    return binned.filter(known), totals.select(
+        *keys,
+        "_bin",
+        "_n",
+        "_w",
+        _before("_n", earlier).alias("_n_start"),
+        _before("_w", earlier).alias("_w_start"),
+        F.sum("_n").over(group).alias("_n_all"),
+        F.sum("_w").over(group).alias("_w_all"),
+        F.sum("_null").over(group).alias("_n_null"),
+    )
+
+
+def _inside(known: DataFrame, totals: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows of the ranges in ``totals`` with what lies before them in their group."""
+    own = totals.drop("_n", "_w")
+    out = natural_join(known, own, "inner", [*keys, "_bin"])
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy(*by)
+    return out.withColumns(
+        {
+            "_n_before": F.col("_n_start") + _before("_n", in_bin),
+            "_w_before": F.col("_w_start") + _before("_w", in_bin),
+        }
+    ).drop("_bin", "_n_start", "_w_start")
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     weight: str | None = None,
-    bins: int = BINS,
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """One row per (keys, value, weight) with what lies before it in its group.
 
@@ -40,59 +102,11 @@ def running_totals(
     value and a smaller weight), ``_n_all`` rows in the group, the same for the weights as
     ``_w``, ``_w_before``, ``_w_all``, and ``_n_null`` rows of the group without a value. A group
     in which no row has a value is left out.
-
-    The folded rows are settled, since they are read several times. If they turn out to be
-    below the broadcast threshold, one window per group is the cheapest plan; otherwise the
-    groups are binned.
     """
     df, keys = _with_key(df, keys)
     by = [value] if weight is None else [value, weight]
-    tally = settle(
-        df.groupBy(*keys, *by)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_w", F.col("_n") * (F.col(weight) if weight else F.lit(1)))
-    )
-    known = tally.filter(F.col(value).isNotNull())
-    totals = tally.groupBy(*keys).agg(
-        F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))).alias("_n_all"),
-        F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_w_all"),
-        F.sum(F.when(F.col(value).isNull(), F.col("_n")).otherwise(0)).alias("_n_null"),
-    )
-    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    if fits_broadcast(tally):
-        smaller = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        out = known.withColumns({"_n_before": before("_n", smaller), "_w_before": before("_w", smaller)})
-        return natural_join(out, totals, "inner", keys).drop(_ALL)
-
-    cuts = [i / bins for i in range(1, bins)]
-    marks = known.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(16 * bins)).alias("_marks")
-    )
-    marks = natural_join(marks, totals, "inner", keys)
-    binned = (
-        attach(known, marks, keys, by)
-        .withColumn("_bin", F.size(F.filter("_marks", lambda m: m <= F.col(value))))
-        .drop("_marks")
-    )
-    earlier_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
-        .select(
-            *keys,
-            "_bin",
-            before("_n", earlier_bins).alias("_n_start"),
-            before("_w", earlier_bins).alias("_w_start"),
-        )
-    )
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    out = natural_join(binned, offsets, "inner", [*keys, "_bin"]).withColumns(
-        {
-            "_n_before": F.col("_n_start") + before("_n", in_bin),
-            "_w_before": F.col("_w_start") + before("_w", in_bin),
-        }
-    )
-    return out.drop("_bin", "_n_start", "_w_start", _ALL)
+    known, totals = _ranges(df, keys, by, weight, bin_rows)
+    return _inside(known, totals, keys, by).drop(_ALL)
 
 
 def average_ranks(
@@ -127,9 +141,15 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles, one column per entry of ``probs``.
 
-    With ``strict`` a NULL in the group makes its quantiles NULL.
+    With ``strict`` a NULL in the group makes its quantiles NULL. Only the ranges that hold a
+    wanted position are sorted. A group in which no row has a value is left out.
     """
-    t = running_totals(df, keys, value, **options)
+    df, all_keys = _with_key(df, keys)
+    known, totals = _ranges(df, all_keys, [value], None, **options)
+    h = {p: (F.col("_n_all") - 1) * F.lit(p) for p in probs.values()}
+    ends = [f(x) for x in h.values() for f in (F.floor, F.ceil)]
+    holds = [(F.col("_n_start") <= e) & (e < F.col("_n_start") + F.col("_n")) for e in ends]
+    t = _inside(known, totals.filter(reduce(or_, holds)), all_keys, [value])
     unknown = F.max("_n_null") > 0 if strict else F.lit(False)
 
     def at(position: Column) -> Column:
@@ -137,9 +157,8 @@ def quantiles(
         return F.max(F.when(inside, F.col(value).cast("double")))
 
     def quantile(p: float) -> Column:
-        h = (F.col("_n_all") - 1) * F.lit(p)
-        low, high = at(F.floor(h)), at(F.ceil(h))
-        return F.when(~unknown, low + (high - low) * F.max(h - F.floor(h)))
+        low, high = at(F.floor(h[p])), at(F.ceil(h[p]))
+        return F.when(~unknown, low + (high - low) * F.max(h[p] - F.floor(h[p])))
 
     return t.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in probs.items()])
 
@@ -220,24 +239,25 @@ def top_with_ties(
 
 
 def fill_down(
-    df: DataFrame, key: Sequence[str], period: str, periods: Sequence[str], columns: Sequence[str]
+    df: DataFrame, key: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]
 ) -> DataFrame:
-    """Fill NULLs of a key with its last known value in the order of ``periods``.
+    """Fill NULLs with the last known value above them among the rows of a key.
 
-    Known values are folded to one row per key and period first, so the window sees at most
-    ``len(periods)`` rows of a key however many rows the key has.
+    ``order`` gives the rows' order (put the period first, then what orders rows inside it);
+    rows before the first known value stay NULL, and rows equal in it are filled alike. Rows are
+    folded to one per key and place first, with the largest known value of equal rows. If places repeat little, a key's
+    places are as many as its rows: the operator is for keys (areas, places) with a bounded history.
     """
-    position = F.array_position(F.lit(list(periods)), F.col(period))
-    known = df.groupBy(*key, period).agg(*[F.max(c).alias(f"_{c}") for c in columns])
-    so_far = (
-        Window.partitionBy(*key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    placed = df.withColumn("_place", place)
+    known = placed.groupBy(*key, "_place").agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    so_far = Window.partitionBy(*key).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     carried = known.select(
-        *key, period, *[F.last(f"_{c}", ignorenulls=True).over(so_far).alias(f"_{c}") for c in columns]
+        *key, "_place", *[F.last(f"_{c}", ignorenulls=True).over(so_far).alias(f"_{c}") for c in columns]
     )
-    joined = natural_join(df, carried, "left", [*key, period])
+    joined = natural_join(placed, carried, "left", [*key, "_place"])
     return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(
-        *[f"_{c}" for c in columns]
+        "_place", *[f"_{c}" for c in columns]
     )
 
 

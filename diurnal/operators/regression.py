@@ -1,13 +1,15 @@
 """Least squares from distributed moment sums.
 
-The rows are read once: each absorbed group contributes its sums of products, with partial
-aggregation. Within-group (demeaned) moments follow from those sums, so no group mean is
-joined back to the rows and a dominant group is no problem. Only k x k matrices reach the
+A first aggregate gives the means of all variables, which are then subtracted: sums of products
+of centred values keep their digits however far the values lie from 0. Each absorbed group
+contributes its sums of products, with partial aggregation. Within-group moments follow from
+those sums, so no group mean is joined back to the rows and a dominant group is no problem. Only k x k matrices reach the
 driver, k being the number of regressors.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .joins import attach, natural_join
+from .cells import Z_95
 from .reshape import stack
 
 _FIT_SCHEMA = (
@@ -51,15 +53,20 @@ def period_dummies(df: DataFrame, column: str, levels: Sequence[str]) -> tuple[D
     )
 
 
-def _moments(df: DataFrame, spec: Spec) -> DataFrame:
-    """Sums per absorbed group: rows, weight, variables and products of variables."""
+def _used(df: DataFrame, spec: Spec) -> DataFrame:
+    """Rows with all of the model's variables known: ``grp``, ``w`` and ``v0`` (outcome), ``v1``, ..."""
     variables = [spec.outcome, *spec.regressors]
     needed = [*variables, *[c for c in (spec.absorb, spec.weight) if c]]
     v = [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(variables)]
     w = (F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)).alias("w")
     group = (F.col(spec.absorb) if spec.absorb else F.lit(0)).alias("grp")
-    x = df.dropna(subset=needed).select(group, w, *v)
-    m = len(variables)
+    return df.dropna(subset=needed).select(group, w, *v)
+
+
+def _moments(x: DataFrame, means: Sequence[float]) -> DataFrame:
+    """Sums per absorbed group: rows, weight, centred variables and products of these."""
+    m = len(means)
+    x = x.withColumns({f"v{i}": F.col(f"v{i}") - F.lit(mean) for i, mean in enumerate(means)})
     return x.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("w").alias("sw"),
@@ -92,71 +99,87 @@ def _independent(gram: np.ndarray) -> list[int]:
 def fit(df: DataFrame, spec: Spec) -> DataFrame:
     """Long coefficient table: model, term, estimate, se, t, n, within r2.
 
-    A regressor that depends on earlier ones gets a NULL estimate. Without ``absorb`` there is one group, so its mean is the intercept; the intercept row is
-    then part of the table.
+    A regressor that depends on earlier ones (one that is constant within the groups among
+    them) gets a NULL estimate. Where no degrees of freedom are left, or with one cluster, errors
+    and t are NULL; r2 is NULL if the outcome does not vary. Without ``absorb`` there is one
+    group, so its mean is the intercept; the intercept row is then part of the table.
     """
+    x = _used(df, spec)
     k = len(spec.regressors)
-    by_group = settle(_moments(df, spec))
+    first = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"v{i}") for i in range(k + 1)]).first()
+    if not first["n"]:
+        return df.sparkSession.createDataFrame([], _FIT_SCHEMA)
+    centre = [first[f"v{i}"] for i in range(k + 1)]
+    by_group = settle(_moments(x, centre))
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     row = by_group.agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("g"),
         *[F.sum(_within(i, j)).alias(f"c{i}_{j}") for i, j in pairs],
+        *[F.sum(f"p{i}_{i}").alias(f"t{i}") for i in range(k + 1)],
         *[F.sum(f"s{i}").alias(f"m{i}") for i in range(k + 1)],
         F.sum("sw").alias("sw"),
     ).first()
-    if not row["n"]:
-        return df.sparkSession.createDataFrame([], _FIT_SCHEMA)
     gram = np.empty((k + 1, k + 1))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = row[f"c{i}_{j}"] if row[f"c{i}_{j}"] is not None else np.nan
-    used = [0, *[j + 1 for j in _independent(gram[1:, 1:])]]
+    for i in range(k + 1):  # what is left of a variable that is constant within groups is rounding
+        if gram[i, i] <= 1e-13 * row[f"t{i}"]:
+            gram[i, :] = gram[:, i] = 0.0
+    used = [0, *[j + 1 for j in _independent(gram[1:, 1:]) if gram[j + 1, j + 1] > 0]]
     gram = gram[np.ix_(used, used)]
     left_out = [t for j, t in enumerate(spec.regressors) if j + 1 not in used]
     pick, k = used[1:], len(used) - 1
     bread = np.linalg.inv(gram[1:, 1:])
     beta = bread @ gram[1:, 0]
-    rss = gram[0, 0] - beta @ gram[1:, 0]
+    rss = max(gram[0, 0] - beta @ gram[1:, 0], 0.0)
     n, g = row["n"], row["g"]
+    unknown = np.full((k, k), np.nan)
 
     if spec.absorb and spec.vcov == "cluster":
-        scores = [
-            _within(i, 0) - sum(float(b) * _within(i, j) for b, j in zip(beta, pick)) for i in pick
-        ]
-        meat_row = (
-            by_group.select(*[s.alias(f"u{i}") for i, s in enumerate(scores)])
-            .agg(
-                *[
-                    F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}")
-                    for i in range(k)
-                    for j in range(i, k)
-                ]
+        cov = unknown
+        if k and g > 1 and n > k + 1:
+            scores = [
+                _within(i, 0) - sum(float(b) * _within(i, j) for b, j in zip(beta, pick)) for i in pick
+            ]
+            meat_row = (
+                by_group.select(*[s.alias(f"u{i}") for i, s in enumerate(scores)])
+                .agg(
+                    *[
+                        F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}")
+                        for i in range(k)
+                        for j in range(i, k)
+                    ]
+                )
+                .first()
             )
-            .first()
-        )
-        meat = np.empty((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                meat[i, j] = meat[j, i] = meat_row[f"m{i}_{j}"]
-        factor = g / (g - 1) * (n - 1) / (n - k - 1)
-        cov = factor * bread @ meat @ bread
+            meat = np.empty((k, k))
+            for i in range(k):
+                for j in range(i, k):
+                    meat[i, j] = meat[j, i] = meat_row[f"m{i}_{j}"]
+            cov = g / (g - 1) * (n - 1) / (n - k - 1) * bread @ meat @ bread
     else:
-        cov = rss / (n - k - g) * bread
+        cov = rss / (n - k - g) * bread if n > k + g else unknown
     se = np.sqrt(np.diag(cov))
 
     terms, est, err = [spec.regressors[j - 1] for j in pick], list(beta), list(se)
     if not spec.absorb:
-        means = np.array([row[f"m{i}"] for i in used]) / row["sw"]
+        means = np.array([centre[i] + row[f"m{i}"] / row["sw"] for i in used])
         terms.insert(0, "(Intercept)")
         est.insert(0, means[0] - beta @ means[1:])
-        err.insert(0, float(np.sqrt(rss / (n - k - 1) / row["sw"] + means[1:] @ cov @ means[1:])))
-    r2 = 1 - rss / gram[0, 0]
+        free = n > k + 1
+        err.insert(0, np.sqrt(rss / (n - k - 1) / row["sw"] + means[1:] @ cov @ means[1:]) if free else np.nan)
+    r2 = float(1 - rss / gram[0, 0]) if gram[0, 0] > 0 else None
     name = spec.name or spec.outcome
+
+    def known(value: float) -> float | None:
+        return float(value) if np.isfinite(value) else None
+
     rows = [
-        (name, spec.outcome, t, float(b), float(s), float(b / s), int(n), float(r2))
+        (name, spec.outcome, t, known(b), known(s), known(b / s) if s > 0 else None, int(n), r2)
         for t, b, s in zip(terms, est, err)
     ]
-    rows += [(name, spec.outcome, t, None, None, None, int(n), float(r2)) for t in left_out]
+    rows += [(name, spec.outcome, t, None, None, None, int(n), r2) for t in left_out]
     return df.sparkSession.createDataFrame(rows, _FIT_SCHEMA)
 
 
@@ -185,76 +208,110 @@ def category_margins(
     base: Sequence[str],
     absorb: str,
     weight: str | None = None,
+    z: float = Z_95,
 ) -> DataFrame:
     """Margins of ``outcome ~ category cells + absorbed effect``: cell effects at the average group.
 
     A cell's margin is its coefficient (the base cell's is 0) plus the mean over groups, with
-    equal weights, of each group's own level. Cells are disjoint, so the cross products of
-    their dummies follow from one small table of sums per (group, cell), for all outcomes at
-    once; it is paired with itself within a group only, at most cells x cells rows per group.
+    equal weights, of each group's own level; ``se``, ``lower`` and ``upper`` follow from errors
+    clustered by group. Every outcome is a model of its own, over the rows where it is known. Rows are folded
+    once to sums per (outcome, group, cell). The cells of a group, at most as many as there are
+    category combinations, are one array, from which cross products are summed over groups. Only
+    matrices of cells by cells reach the driver. A cell that depends on others has NULL results; with one
+    group or no degrees of freedom the errors are NULL.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    used = df.dropna(subset=[*outcomes, *cells, absorb, *([weight] if weight else [])])
-    sums = settle(
-        used.groupBy(F.col(absorb).alias("grp"), F.struct(*cells).alias("cell")).agg(
-            F.sum(w).alias("n"), *[F.sum(w * F.col(y)).alias(f"s_{y}") for y in outcomes]
-        ),
-        always=True,
+    used = df.dropna(subset=[*cells, absorb, *([weight] if weight else [])])
+    centre = used.agg(*[F.avg(F.col(y).cast("double")).alias(y) for y in outcomes]).first()
+    schema = ", ".join(
+        ["outcome string", *[f"`{c}` string" for c in cells], "pred double, se double, lower double, upper double"]
     )
-    whole = sums.groupBy("grp").agg(
-        F.sum("n").alias("n_all"), *[F.sum(f"s_{y}").alias(f"a_{y}") for y in outcomes]
+    known = [y for y in outcomes if centre[y] is not None]
+    if not known:
+        return df.sparkSession.createDataFrame([], schema)
+    label = F.to_json(F.array(*[F.col(c).cast("string") for c in cells]))
+    sums = used.groupBy(F.col(absorb).alias("grp"), label.alias("cell")).agg(
+        *[F.count(y).alias(f"k_{y}") for y in known],
+        *[F.sum(F.when(F.col(y).isNotNull(), w)).alias(f"n_{y}") for y in known],
+        *[F.sum(w * (F.col(y) - F.lit(centre[y]))).alias(f"s_{y}") for y in known],
     )
-    rows = attach(sums, whole, ["grp"], ["cell"])
-    part = F.col("n") / F.col("n_all")
-    moments = rows.groupBy("cell").agg(
-        F.sum("n").alias("n"), *[F.sum(F.col(f"s_{y}") - part * F.col(f"a_{y}")).alias(y) for y in outcomes]
+    parts = F.array(
+        *[
+            F.struct(F.lit(y).alias("outcome"), F.col(f"k_{y}").alias("k"), F.col(f"n_{y}").alias("n"), F.col(f"s_{y}").alias("s"))
+            for y in known
+        ]
     )
-    other = sums.select("grp", F.col("cell").alias("cell2"), F.col("n").alias("n2"))
-    products = (
-        attach(rows, other, ["grp"], ["cell"])
-        .groupBy("cell", "cell2")
-        .agg(F.sum(part * F.col("n2")).alias("p"))
+    long = sums.select("grp", "cell", F.inline(parts)).filter((F.col("k") > 0) & (F.col("n") > 0))
+    whole = lambda field: F.aggregate("own", F.lit(0.0), lambda a, x: a + x[field])
+    groups = settle(
+        long.groupBy("outcome", "grp")
+        .agg(F.collect_list(F.struct("cell", "k", F.col("n").cast("double").alias("n"), "s")).alias("own"))
+        .withColumns({"n_all": whole("n"), "s_all": whole("s")})
     )
-    first = tuple(base)
-    known = {tuple(r["cell"]): r for r in moments.collect()}
-    names = sorted(c for c in known if c != first)
-    at = {c: i for i, c in enumerate(names)}
-    gram = np.diag([float(known[c]["n"]) for c in names]) if names else np.zeros((0, 0))
-    for r in products.collect():
-        a, b = tuple(r["cell"]), tuple(r["cell2"])
-        if a in at and b in at:
-            gram[at[a], at[b]] -= r["p"]
-    keep = _independent(gram)
-    beta = {}
-    for y in outcomes:
-        right = np.array([known[names[j]][y] for j in keep])
-        solved = np.linalg.solve(gram[np.ix_(keep, keep)], right) if keep else []
-        beta[y] = {names[j]: float(b) for j, b in zip(keep, solved)}
-
-    schema = ", ".join([*[f"`{c}` string" for c in cells], *[f"`{y}` double" for y in outcomes]])
-    table = df.sparkSession.createDataFrame(
-        [(*[str(v) for v in c], *[beta[y].get(c) for y in outcomes]) for c in names], schema
-    ).select(
-        *cells, F.struct(*[F.col(c).cast(used.schema[c].dataType) for c in cells]).alias("cell"), *outcomes
+    c = groups.select("outcome", "n_all", "s_all", "own", F.inline("own"))
+    part = F.col("n") / F.col("n_all")
+    single = c.groupBy("outcome", "cell").agg(
+        F.sum("k").alias("k"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("s") - part * F.col("s_all")).alias("r"),
+        F.sum(part).alias("q"),
     )
-    levels = (
-        natural_join(sums, table.drop(*cells), "left", ["cell"])
-        .groupBy("grp")
-        .agg(
-            *[
-                (F.sum(F.col(f"s_{y}") - F.coalesce(y, F.lit(0.0)) * F.col("n")) / F.sum("n")).alias(y)
-                for y in outcomes
-            ]
-        )
-        .agg(*[F.avg(y).alias(y) for y in outcomes])
-        .first()
+    other = F.transform("own", lambda x: F.struct(x["cell"].alias("cell2"), x["n"].alias("n2")))
+    products = (
+        c.select("outcome", "cell", part.alias("part"), F.inline(other))
+        .groupBy("outcome", "cell", "cell2")
+        .agg(F.sum(F.col("part") * F.col("n2")).alias("p"))
     )
-    out = [(y, *[str(v) for v in first], levels[y]) for y in outcomes]
-    out += [
-        (y, *[str(v) for v in c], beta[y][c] + levels[y] if c in beta[y] else None)
-        for y in outcomes
-        for c in names
-    ]
-    return df.sparkSession.createDataFrame(
-        out, ", ".join(["outcome string", *[f"`{c}` string" for c in cells], "pred double"])
+    size = groups.groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("g"), F.avg(F.col("s_all") / F.col("n_all")).alias("level")
     )
+    rows = {(r["outcome"], r["cell"]): r for r in single.collect()}
+    cross = {(r["outcome"], r["cell"], r["cell2"]): r["p"] for r in products.collect()}
+    sizes = {r["outcome"]: r for r in size.collect()}
+    first = json.dumps([str(b) for b in base], separators=(",", ":"), ensure_ascii=False)
+    solved = {}
+    for y in known:
+        names = sorted(cell for o, cell in rows if o == y and cell != first)
+        gram = np.array(
+            [[(rows[y, a]["n"] if a == b else 0.0) - cross.get((y, a, b), 0.0) for b in names] for a in names]
+        ).reshape(len(names), len(names))
+        keep = [j for j in _independent(gram) if gram[j, j] > 1e-13 * rows[y, names[j]]["n"]]
+        names = [names[j] for j in keep]
+        bread = np.linalg.inv(gram[np.ix_(keep, keep)])
+        solved[y] = names, bread, bread @ np.array([rows[y, a]["r"] for a in names])
+
+    # scores: residual sums of a group's cells, which add up to 0 over the group
+    betas = {f"{y}|{a}": float(b) for y, (names, _, beta) in solved.items() for a, b in zip(names, beta)}
+    table = F.create_map(*[F.lit(x) for pair in (betas or {"": 0.0}).items() for x in pair])
+    beta_of = lambda cell: F.coalesce(F.try_element_at(table, F.concat("outcome", F.lit("|"), cell)), F.lit(0.0))
+    fitted = groups.withColumn("own", F.transform("own", lambda x: F.struct(x["cell"].alias("cell"), x["n"].alias("n"), (x["s"] - beta_of(x["cell"]) * x["n"]).alias("e"))))
+    level = F.aggregate("own", F.lit(0.0), lambda a, x: a + x["e"]) / F.col("n_all")
+    scores = fitted.withColumn("level", level).withColumn("own", F.transform("own", lambda x: F.struct(x["cell"].alias("cell"), (x["e"] - F.col("level") * x["n"]).alias("u"))))
+    second = F.transform("own", lambda x: F.struct(x["cell"].alias("cell2"), x["u"].alias("u2")))
+    meat = {
+        (r["outcome"], r["cell"], r["cell2"]): r["m"]
+        for r in scores.select("outcome", "own", F.inline("own"))
+        .select("outcome", "cell", "u", F.inline(second))
+        .groupBy("outcome", "cell", "cell2")
+        .agg(F.sum(F.col("u") * F.col("u2")).alias("m"))
+        .collect()
+    }
+    out = []
+    for y in known:
+        names, bread, beta = solved[y]
+        g, n = sizes[y]["g"], sum(r["k"] for (o, _), r in rows.items() if o == y)
+        q = np.array([rows[y, a]["q"] for a in names]) / g
+        middle = np.array([[meat.get((y, a, b), 0.0) for b in names] for a in names]).reshape(len(names), len(names))
+        left = n - (len(names) + g)
+        factor = g / (g - 1) * (n - 1) / left if g > 1 and left > 0 else None
+        average = centre[y] + sizes[y]["level"] - float(q @ beta)
+        for cell in sorted(cell for o, cell in rows if o == y):
+            if cell != first and cell not in names:
+                out.append((y, *json.loads(cell), None, None, None, None))
+                continue
+            at = -q + (np.array([float(a == cell) for a in names]))
+            pred = average + (float(beta[names.index(cell)]) if cell in names else 0.0)
+            se = None if factor is None else float(np.sqrt(max(factor * at @ bread @ middle @ bread @ at, 0.0)))
+            bounds = (None, None) if se is None else (pred - z * se, pred + z * se)
+            out.append((y, *json.loads(cell), pred, se, *bounds))
+    return df.sparkSession.createDataFrame(out, schema)

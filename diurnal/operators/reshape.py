@@ -84,6 +84,24 @@ def widen_sum(
     return df.groupBy(*ids).agg(*[cell(level) for level in levels])
 
 
+def widen_sums(
+    df: DataFrame, ids: Sequence[str], dimensions: Sequence[tuple[Column, Sequence[str], str]], measure: str
+) -> DataFrame:
+    """Several :func:`widen_sum` of one table side by side, in one aggregation.
+
+    ``dimensions`` holds (names, levels, prefix) of each. Equals joining the wide tables on
+    ``ids``, since every id of the table is in each of them, without shuffling any of them.
+    """
+    named = df.withColumns({f"_d{k}": names for k, (names, _, _) in enumerate(dimensions)})
+    cells = []
+    for k, (_, levels, prefix) in enumerate(dimensions):
+        for level in levels:
+            inside = F.col(f"_d{k}") == level
+            whole = F.count_if(inside) == F.count(F.when(inside, F.col(measure)))
+            cells.append(F.when(whole, F.sum(F.when(inside, F.col(measure)))).alias(prefix + level))
+    return named.groupBy(*ids).agg(*cells)
+
+
 def expand_nested(df: DataFrame, ids: Sequence[str], nested: str) -> DataFrame:
     """Rows of a nested table column (array of structs)."""
     return df.select(*ids, F.inline(nested))

@@ -14,8 +14,6 @@ from ..functions.shapes import bounding_box, covers, edges
 from .joins import attach, natural_join
 from .order import quantiles
 
-MAX_REACH = 200  # cells from the centre; more means the raster is too fine for the radius
-
 
 def _cell_span(low: Column, high: Column, size: float) -> Column:
     return F.explode(
@@ -35,20 +33,40 @@ def points_in_polygons(
 ) -> DataFrame:
     """Left join of points to the polygons that contain them, boundaries included.
 
-    Polygons are listed under every grid cell their box touches and points under their one
+    Polygons are listed under the grid cells they touch and points under their one
     cell, which makes the search an equi-join; the exact test is part of the join condition. A
-    point is in one cell, so this is one left join and every point comes out once per hit, or
-    once without. Points of a crowded cell are spread by id.
+    cell that no edge touches lies wholly inside a polygon (no test is needed) or outside (it is
+    not listed); the others carry only the edges that meet their row of the grid, which
+    decide how often a ray along the row crosses the outline. A point is in one cell, so this is one
+    left join and every point comes out once per hit, or once without. Points of a crowded
+    cell are spread by id.
     """
-    shapes = (
+    low, high = F.col("_cy") * cell, (F.col("_cy") + 1) * cell
+    in_row = F.filter(
+        "_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
+    )
+    rows = (
         polygons.withColumn("_box", bounding_box(rings))
         .select(
             *attributes,
             edges(rings).alias("_edges"),
             "_box",
-            _cell_span(F.col("_box.xmin"), F.col("_box.xmax"), cell).alias("_cx"),
+            _cell_span(F.col("_box.ymin"), F.col("_box.ymax"), cell).alias("_cy"),
+        )
+        .select(*attributes, "_box", "_cy", in_row.alias("_edges"))
+    )
+    left, right = F.col("_cx") * cell, (F.col("_cx") + 1) * cell
+    touched = F.exists(
+        "_edges", lambda e: (F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["x1"], e["x2"]) <= right)
+    )
+    middle = covers("_edges", (F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell)
+    shapes = (
+        rows.select("*", _cell_span(F.col("_box.xmin"), F.col("_box.xmax"), cell).alias("_cx"))
+        .withColumn("_whole", ~touched)
+        .filter(~F.col("_whole") | middle)
+        .select(
+            *attributes, "_cx", "_cy", "_whole", F.when(~F.col("_whole"), F.col("_edges")).alias("_edges")
         )
-        .select("*", _cell_span(F.col("_box.ymin"), F.col("_box.ymax"), cell).alias("_cy"))
     )
     located = points.withColumns(
         {
@@ -56,12 +74,9 @@ def points_in_polygons(
             "_cy": F.floor(F.col(y) / cell).cast("bigint"),
         }
     )
-    in_box = F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax")) & F.col(y).between(
-        F.col("_box.ymin"), F.col("_box.ymax")
-    )
-    inside = in_box & covers("_edges", x, y)
+    inside = F.col("_whole") | covers("_edges", x, y)
     return attach(located, shapes, ["_cx", "_cy"], [point_id], "left", inside).drop(
-        "_cx", "_cy", "_edges", "_box"
+        "_cx", "_cy", "_edges", "_whole"
     )
 
 
@@ -106,22 +121,38 @@ def population_surface(
     )
 
 
-def _spread_out(surface: DataFrame, cell: float, radius: float, beta: float) -> DataFrame:
+def _spread_out(
+    surface: DataFrame, keys: Sequence[str], cell: float, radius: float, beta: float
+) -> DataFrame:
     """Each raster cell repeated for the cells within the radius, with the kernel weight.
 
-    The number of copies depends on radius / cell only, never on the data.
+    Columns added: ``to_cx``, ``to_cy``, ``dist``, ``phi``. The raster is grouped into blocks as wide
+    as the radius. A cell goes to those of the nine blocks around it that are occupied, and only
+    there to the cells within the radius: the number of copies depends on radius / cell, and empty land gets none.
     """
     reach = math.floor(radius / cell)
-    if reach > MAX_REACH:
-        raise ValueError(f"radius spans {reach} cells; use a coarser raster")
-    steps = F.explode(F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint")))
-    far = F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double")) * cell
+    side = max(reach, 1)
+    block = lambda c: F.floor(F.col(c) / side).cast("bigint")
+    step = F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint")))
+    occupied = surface.select(*keys, block("cx").alias("_bx"), block("cy").alias("_by")).distinct()
+    near = surface.withColumn("_bx", step).withColumn("_by", step)
+    near = near.withColumns({"_bx": F.col("_bx") + block("cx"), "_by": F.col("_by") + block("cy")})
+    near = natural_join(near, occupied, "left_semi", [*keys, "_bx", "_by"])
+
+    def inside(c: str, b: str) -> tuple[Column, Column]:
+        return F.greatest(F.col(c) - reach, F.col(b) * side), F.least(F.col(c) + reach, F.col(b) * side + side - 1)
+
+    (x0, x1), (y0, y1) = inside("cx", "_bx"), inside("cy", "_by")
+    dx, dy = F.col("to_cx") - F.col("cx"), F.col("to_cy") - F.col("cy")
+    far = F.sqrt((dx * dx + dy * dy).cast("double")) * cell
     return (
-        surface.withColumn("dx", steps)
-        .withColumn("dy", steps)
+        near.filter((x0 <= x1) & (y0 <= y1))
+        .withColumn("to_cx", F.explode(F.sequence(x0, x1)))
+        .withColumn("to_cy", F.explode(F.sequence(y0, y1)))
         .withColumn("dist", far)
         .filter(F.col("dist") <= radius)
         .withColumn("phi", F.exp(-beta * F.col("dist")))
+        .drop("_bx", "_by")
     )
 
 
@@ -129,15 +160,7 @@ def kernel_neighbours(
     surface: DataFrame, keys: Sequence[str], cell: float, radius: float, beta: float
 ) -> DataFrame:
     """Occupied cells within the radius of each occupied cell of a group, with distance and weight."""
-    out = _spread_out(surface.select(*keys, "cx", "cy"), cell, radius, beta).select(
-        *keys,
-        "cx",
-        "cy",
-        (F.col("cx") + F.col("dx")).alias("to_cx"),
-        (F.col("cy") + F.col("dy")).alias("to_cy"),
-        "dist",
-        "phi",
-    )
+    out = _spread_out(surface.select(*keys, "cx", "cy"), keys, cell, radius, beta)
     occupied = surface.select(*keys, F.col("cx").alias("to_cx"), F.col("cy").alias("to_cy"))
     return natural_join(out, occupied, "left_semi", [*keys, "to_cx", "to_cy"])
 
@@ -156,10 +179,10 @@ def local_environment(
     partial aggregation. No pair of areas is formed, and a metro holding a third of the areas
     is spread over as many tasks as it has cells.
     """
-    sent = _spread_out(surface, cell, radius, beta).select(
+    sent = _spread_out(surface, keys, cell, radius, beta).select(
         *keys,
-        (F.col("cx") + F.col("dx")).alias("cx"),
-        (F.col("cy") + F.col("dy")).alias("cy"),
+        F.col("to_cx").alias("cx"),
+        F.col("to_cy").alias("cy"),
         *[(F.col(c) * F.col("phi")).alias(f"env_{c}") for c in counts],
     )
     env = sent.groupBy(*keys, "cx", "cy").agg(*[F.sum(f"env_{c}").alias(f"env_{c}") for c in counts])

@@ -1,11 +1,13 @@
-"""Session settings, the shared scratch folder, and size-checked small tables."""
+"""Session settings, the shared scratch folder, and measured tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_scratch: dict[str, str] = {}
 
@@ -39,27 +41,48 @@ def scratch_dir(spark: SparkSession, name: str = "table") -> str:
     return f"{base}/diurnal/{name}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate: file sizes for a settled table, rough upper bounds else."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _row_bytes(schema: T.StructType) -> Column:
+    """Bytes of a row in memory: eight per field, and the contents of those that vary."""
+    size = F.lit(16 + 8 * len(schema.fields))
+    for field in schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            # their JSON is about half as large as nested rows of eight-byte fields
+            size = size + 2 * F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+    return size.cast("long")
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the size estimate is within the broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
+def settle(df: DataFrame) -> DataFrame:
+    """Write a derived table once and read it back.
+
+    Writing computes a table that is read several times once, and cuts lineage: a lost executor
+    re-reads the files instead of repeating an aggregation.
+    """
+    return measured(df)[0]
 
 
-def settle(df: DataFrame, always: bool = False) -> DataFrame:
-    """Write a derived table once and read it back, so that its true size is known.
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """A settled table with its size in memory in bytes, counted while it is written.
 
-    A table whose estimate is already small is returned as it is, unless ``always`` (for one
-    that several later steps read). Otherwise the estimate comes from the (large) input of an aggregation, and only the written
-    files tell Catalyst whether the table may be broadcast. Writing also cuts lineage:
-    a lost executor re-reads the files instead of repeating the aggregation.
+    Catalyst's estimates cannot bound a table above a generator (it inherits its input's
+    size, however many rows it makes), and file sizes are those of compressed data.
     """
-    if not always and fits_broadcast(df):
-        return df
     path = scratch_dir(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    counted = df.observe(seen, F.sum(_row_bytes(df.schema)).alias("bytes"))
+    counted.write.parquet(path)
+    _delete_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["bytes"] or 0
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a written folder deleted when the driver ends; until then later steps may read it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Largest size in memory of a table that may be broadcast; negative for none."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

@@ -15,7 +15,7 @@ from diurnal.session import settle
 
 @pytest.fixture(scope="module")
 def typed(spark, sf):
-    return settle(fx.typed(spark, sf), always=True)
+    return settle(fx.typed(spark, sf))
 
 
 def extremes(df, expr):

@@ -123,3 +123,61 @@ def test_category_predictions(data):
 def test_stars(spark):
     df = spark.createDataFrame([(-4.0,), (2.7,), (2.0,), (1.0,), (None,)], "t double")
     assert [r[0] for r in df.select(regression.stars(df.t)).collect()] == ["***", "**", "*", "", ""]
+
+
+def test_shifted_variables_change_nothing(data):
+    df = data[-1]
+    for shift in (1e6, 1e8):
+        moved = df.withColumns({"x1": df.x1 + shift, "y": df.y - 3 * shift})
+        for absorb in ("g", None):
+            spec = Spec("y", ["x1", "x2", "x3"], absorb)
+            a = {r["term"]: r for r in regression.fit(df, spec).collect()}
+            b = {r["term"]: r for r in regression.fit(moved, spec).collect()}
+            for t in ("x1", "x2", "x3"):
+                assert (b[t]["estimate"], b[t]["se"]) == pytest.approx((a[t]["estimate"], a[t]["se"]), rel=1e-6)
+
+
+def test_nothing_to_estimate_is_null(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (1, 1.0, 4.0, 5.0), (2, 7.0, 1.0, 2.0), (2, 7.0, 5.0, 9.0)], "g int, c double, x double, y double")
+    constant = regression.fit(df, Spec("y", ["c"], "g")).first()
+    assert (constant["estimate"], constant["se"], constant["t"]) == (None, None, None)
+    one = regression.fit(df.filter("g = 1"), Spec("y", ["x"], "g")).first()
+    assert one["estimate"] == pytest.approx(1.0) and one["se"] is None
+    exact = regression.fit(df.filter("g = 1"), Spec("y", ["x"])).collect()
+    assert [r["se"] for r in exact] == [None, None] and [r["t"] for r in exact] == [None, None]
+
+
+def test_unknown_outcomes_do_not_touch_other_models(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 1.0), ("a", 2, 3.0, None), ("a", 3, 8.0, 2.0), ("b", 1, 2.0, 5.0), ("b", 4, 4.0, 7.0)], "c string, u int, y1 double, y2 double")
+    got = {(r["outcome"], r["c"]): (r["n"], r["pred"]) for r in cells.margins(df, ["y1", "y2"], ["c"], "u").collect()}
+    assert got == {("y1", "a"): (3, 4.0), ("y2", "a"): (2, 1.5), ("y1", "b"): (2, 3.0), ("y2", "b"): (2, 6.0)}
+    means = {(r["outcome"], r["c"]): r["mean"] for r in cells.cell_means(df, ["y1", "y2"], ["c"]).collect()}
+    assert means == {("y1", "a"): 4.0, ("y2", "a"): 1.5, ("y1", "b"): 3.0, ("y2", "b"): 6.0}
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_margins_with_group_effects_and_their_errors(data, weight):
+    g, _, w, cat, per, _, y, df = data
+    known = np.arange(len(y)) % 9 != 0
+    rows = df.withColumn("z", df.y)
+    got = {}
+    for r in regression.category_margins(rows, ["y", "z"], ["cat", "per"], ["c0", "p0"], "g", weight).collect():
+        got[r["outcome"], r["cat"], r["per"]] = r
+    wt = w if weight else np.ones_like(w)
+    names = sorted({(a, b) for a, b in zip(cat, per)})
+    C = np.array([[(a, b) == n for n in names[1:]] for a, b in zip(cat, per)], float)
+    groups = np.unique(g)
+    X = np.c_[C, (g[:, None] == groups[None, :]).astype(float)]
+    A = np.linalg.inv((X * wt[:, None]).T @ X)
+    b = A @ (X * wt[:, None]).T @ y
+    u = (y - X @ b) * wt
+    S = np.array([(X[g == k] * u[g == k][:, None]).sum(0) for k in groups])
+    G, n, K = len(groups), len(y), X.shape[1]
+    V = A @ (S.T @ S) @ A * G / (G - 1) * (n - 1) / (n - K)
+    assert known.any()
+    for i, (a, p) in enumerate(names):
+        at = np.r_[[float(j == i - 1) for j in range(len(names) - 1)], np.full(G, 1 / G)]
+        r = got["y", f"c{a}", f"p{p}"]
+        se = np.sqrt(at @ V @ at)
+        assert (r["pred"], r["se"]) == pytest.approx((at @ b, se))
+        assert (r["lower"], r["upper"]) == pytest.approx((at @ b - 1.959964 * se, at @ b + 1.959964 * se))

@@ -112,10 +112,17 @@ def test_weighted_median_edges(spark):
 def test_fill_down_with_a_hot_key(spark):
     data = [("k", "p1", "a"), ("k", "p1", "a")] + [("k", "p2", None)] * 50 + [("m", "p2", None)]
     df = spark.createDataFrame(data, "k string, p string, v string")
-    got = order.fill_down(df, ["k"], "p", ["p1", "p2"], ["v"])
+    got = order.fill_down(df, ["k"], ["p"], ["v"])
     assert got.groupBy("k", "v").count().orderBy("k").collect() == [("k", "a", 52), ("m", None, 1)]
 
 
+def test_fill_down_follows_the_order_of_rows(spark):
+    data = [("k", "p1", 1, None), ("k", "p1", 2, "a"), ("k", "p1", 3, None), ("k", "p2", 1, "b"), ("k", "p2", 2, None)]
+    df = spark.createDataFrame(data, "k string, p string, side int, v string")
+    got = order.fill_down(df, ["k"], ["p", "side"], ["v"]).orderBy("p", "side").collect()
+    assert [r["v"] for r in got] == [None, "a", "a", "b", "b"]
+
+
 def test_crosswalk_many_to_many(spark):
     counts = spark.createDataFrame(
         [("2000", "a", 10.0), ("2000", "a", 2.0), ("2000", "b", None), ("2000", "c", 8.0)], "year string, u string, x double"

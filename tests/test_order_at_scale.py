@@ -1,4 +1,4 @@
-"""The binned plans against NumPy, with most rows in one group and many equal values."""
+"""The plans by ranges against NumPy, with most rows in one group and many equal values."""
 
 import numpy as np
 import pytest
@@ -18,17 +18,17 @@ def skewed(spark):
     return g, x, w, spark.createDataFrame(rows, "i int, g int, x double, w int").repartition(8)
 
 
-@pytest.mark.parametrize("bins", [4, 64])
-def test_quantiles(no_broadcast, skewed, bins):
+@pytest.mark.parametrize("bin_rows", [100, 2000, 10**6])
+def test_quantiles(no_broadcast, skewed, bin_rows):
     g, x, _, df = skewed
-    got = {r["g"]: (r["a"], r["b"]) for r in order.quantiles(df, ["g"], "x", {"a": 0.25, "b": 0.5}, bins=bins).collect()}
+    got = {r["g"]: (r["a"], r["b"]) for r in order.quantiles(df, ["g"], "x", {"a": 0.25, "b": 0.5}, bin_rows=bin_rows).collect()}
     for k in np.unique(g):
         assert got[k] == pytest.approx(tuple(np.quantile(x[g == k], [0.25, 0.5])))
 
 
 def test_ranks(no_broadcast, skewed):
     g, x, _, df = skewed
-    got = {r["i"]: r["r"] for r in order.add_rank(df, ["g"], "x", "r").select("i", "r").collect()}
+    got = {r["i"]: r["r"] for r in order.add_rank(df, ["g"], "x", "r", bin_rows=300).select("i", "r").collect()}
     for k in np.unique(g):
         v = x[g == k]
         want = [(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v]
@@ -37,7 +37,7 @@ def test_ranks(no_broadcast, skewed):
 
 def test_weighted_medians(no_broadcast, skewed):
     g, x, w, df = skewed
-    got = {r["g"]: r["m"] for r in order.weighted_medians(df, ["g"], "x", "w", "m", bins=8).collect()}
+    got = {r["g"]: r["m"] for r in order.weighted_medians(df, ["g"], "x", "w", "m", bin_rows=300).collect()}
     for k in np.unique(g):
         v, u = x[g == k], w[g == k]
         o = np.lexsort((u, v))
@@ -46,11 +46,14 @@ def test_weighted_medians(no_broadcast, skewed):
         assert got[k] == pytest.approx(float(np.interp(u.sum() / 2, c, v)))
 
 
-def test_no_group_sits_in_one_window(no_broadcast, skewed):
-    """The row-level window of the binned plan is partitioned by bin as well."""
-    _, _, _, df = skewed
-    t = order.running_totals(df, ["g"], "x", bins=16)
+def test_windows_stay_bounded_with_one_group_of_most_rows(spark):
+    """Nine tenths of the rows in one group, all values different: no window holds much more than a range."""
+    df = spark.range(40_000).selectExpr("if(id % 10 = 0, id % 7, -1) as g", "hash(id) as x")
+    known, totals = order._ranges(df, ["g"], ["x"], None, 1000)
+    assert known.groupBy("g", "_bin").count().agg(F.max("count")).first()[0] <= 3000
+    t = order.running_totals(df, ["g"], "x", bin_rows=1000)
     plan = t._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line and "_n_before" in line]
     assert windows and all("_bin" in line for line in windows)
-    assert t.agg(F.sum("_n")).first()[0] == 6000
+    assert t.agg(F.sum("_n")).first()[0] == 40_000
+    assert t.groupBy("g").agg((F.max("_n_before") + 1 == F.max("_n_all")).alias("ok")).filter("not ok").count() == 0

@@ -6,12 +6,12 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
+from diurnal import catalog
 from diurnal.catalog import fixtures as fx
 from diurnal.operators import joins, order
-from diurnal.session import scratch_dir, settle
+from diurnal.session import measured, scratch_dir, settle
 
-QUERIES = entry_point.queries()
+QUERIES = catalog.QUERIES
 CHECKED = [
     "jn_point_in_polygon",
     "jn_origin_dest",
@@ -46,17 +46,26 @@ def test_scan_reads_only_needed_columns(spark, sf):
 
 
 def test_filters_reach_the_scan(spark, sf):
-    u = settle(fx.units(spark, sf), always=True)
+    u = settle(fx.units(spark, sf))
     text = plan(u.filter((F.col("year") == "2000") & (F.col("res_total_est") > 0)).select("unit_id"))
     assert "EqualTo(year,2000)" in text and "GreaterThan(res_total_est,0.0)" in text
 
 
 def test_top_n_per_group_is_cut_before_the_shuffle(spark, sf):
-    u = settle(fx.units(spark, sf), always=True)
+    u = settle(fx.units(spark, sf))
     text = plan(order.top_with_ties(u, 3, "res_total_est", ["metro_id"], ["unit_id"]))
     assert re.search(r"WindowGroupLimit .*Partial", text)
 
 
+def test_tables_above_a_generator_are_measured(spark):
+    """Three million rows that Catalyst takes for a few bytes."""
+    rows = spark.range(10).withColumn("k", F.col("id"))
+    table = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(400_000))).cast("bigint").alias("k"), F.lit("x" * 50).alias("v"))
+    assert measured(table)[1] > 400_000 * 50
+    text = plan(joins.attach(rows, table, ["k"], ["id"]))
+    assert "_salt" in text and "BroadcastHashJoin" not in text
+
+
 def test_attach_salts_only_large_tables(spark, sf, no_broadcast):
     rows = fx.table(spark, sf, "customer")
     table = fx.table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
@@ -65,6 +74,12 @@ def test_attach_salts_only_large_tables(spark, sf, no_broadcast):
     assert "_salt" not in plan(joins.attach(rows, table, ["c_nationkey"], ["c_custkey"]))
 
 
+def test_wide_dimensions_take_one_shuffle(no_broadcast, sf):
+    text = plan(QUERIES["jn_nway_wide"](no_broadcast, sf))
+    joins_of_the_fixture = 2  # line items with their orders
+    assert text.count("Exchange hashpartitioning") <= joins_of_the_fixture + 1
+
+
 def test_settled_files_go_to_the_shared_folder(spark):
     def session(folder, master):
         conf = SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default)

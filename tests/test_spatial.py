@@ -104,9 +104,34 @@ def test_steep_kernel_gives_plain_indices_of_the_raster(town):
     assert {r["m"]: r["spat_multi_theil_nhood"] for r in far} == pytest.approx(want)
 
 
-def test_too_fine_a_raster_is_refused(town):
-    with pytest.raises(ValueError, match="coarser"):
-        spatial.spatial_indices(town[2], ["m"], "x", "y", 0.0001, 1.0, 1.0)
+def test_a_raster_may_be_as_fine_as_it_likes(spark):
+    """A reach of hundreds of cells: sums over pairs of places, since each has a cell of its own."""
+    rng = np.random.default_rng(8)
+    xy, c = (rng.integers(0, 900, (12, 2)) + 0.5) / 1000, rng.integers(1, 30, (12, 5)).astype(float)
+    cols = [f"res_{g}_est" for g in ("nhw", "nhb", "h", "nha", "nho")]
+    rows = [(1, *map(float, xy[i]), *map(float, c[i])) for i in range(12)]
+    df = spark.createDataFrame(rows, "m int, x double, y double, " + ", ".join(f"{k} double" for k in cols))
+    got = spatial.spatial_indices(df, ["m"], "x", "y", 0.001, 0.3, 2.0).first()
+    h, iso = brute(xy, c, 0.001, 0.3, 2.0)
+    assert (got["spat_multi_theil_nhood"], got["spat_iso_nhood"]) == pytest.approx((h, iso))
+
+
+def test_fine_cells_are_not_broadcast_and_carry_few_edges(spark):
+    """Two polygons on a fine grid are many cells: measured, not estimated."""
+    shapes = layer(spark, [("ring", [SQUARE, HOLE]), ("small", [SMALL])])
+    rng = np.random.default_rng(9)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-1, 6, (500, 2)))]
+    df = spark.createDataFrame(pts, "id int, x double, y double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        found = spatial.points_in_polygons(df, "x", "y", shapes, ["name"], 0.01, "id")
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["id"], r["name"]) for r in found.filter("name is not null").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ring = {i for i, x, y in pts if 0 <= x <= 4 and 0 <= y <= 4 and not (1 < x < 3 and 1 < y < 3)}
+    small = {i for i, x, y in pts if 3 <= x <= 5 and 3 <= y <= 5}
+    assert got == {(i, "ring") for i in ring} | {(i, "small") for i in small}
 
 
 def test_density_integrates_to_one(spark):
