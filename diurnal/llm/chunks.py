@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 
 class ChunkTable:
     """Results of ``segment`` by chunk, in two generations of ``capacity`` entries each.
@@ -12,7 +14,7 @@ class ChunkTable:
     over without a new segmentation. Frequent chunks therefore stay, and memory is bounded
     by the capacity however many different chunks a task meets. Chunks longer than
     ``longest`` are segmented at each occurrence and never kept. ``segment`` takes a list of
-    chunks and returns a list of results.
+    chunks and returns a list of results, none of which is None.
     """
 
     def __init__(self, segment: Callable[[list], list], capacity: int = 120_000, longest: int = 160):
@@ -24,16 +26,116 @@ class ChunkTable:
         """One result per chunk, in order."""
         if len(self.young) > self.capacity:
             self.old, self.young = self.young, {}
-        missing = set(chunks).difference(self.young)
-        long = []
-        if missing:
-            found = {c: self.old[c] for c in missing if c in self.old}
-            self.young.update(found)
-            new = [c for c in missing if c not in found]
-            if new:
-                self.young.update(zip(new, self.segment(new), strict=True))
-                long = [c for c in new if len(c) > self.longest]
-        out = list(map(self.young.__getitem__, chunks))
-        for c in long:
-            del self.young[c]
+        young, old = self.young, self.old
+        missing = set(chunks).difference(young)
+        new = list(missing)
+        if old and missing:
+            known = missing & old.keys()
+            young.update(zip(known, map(old.__getitem__, known), strict=True))
+            new = list(missing - known)
+        if new:
+            young.update(zip(new, self.segment(new), strict=True))
+        out = list(map(young.__getitem__, chunks))
+        for c in new:
+            if len(c) > self.longest:
+                del young[c]
         return out
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+#: Chunks up to this many bytes are compared as four words of eight bytes; longer ones count as distinct.
+_WIDE = 32
+
+
+def distinct_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than ASCII white space: ``starts``, ``ends``, ``number``, ``first``, ``keys``.
+
+    ``first`` has one occurrence of each distinct chunk, and ``number`` tells for each chunk
+    which of these it equals, so that results for the distinct ones can be laid out by position.
+    ``keys`` has five words for each distinct chunk: a hash, by which they are sorted, and the
+    chunk's bytes, zero-padded; equality is always decided on the bytes. The hash of a
+    chunk longer than ``_WIDE`` bytes is 0, and each occurrence stands for itself.
+    """
+    padded = np.frombuffer(data + bytes(_WIDE + 8), np.uint8)
+    blank = np.concatenate([[True], _BLANK[padded[: len(data)]], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    length = ends - starts
+    at_any = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 7,), (1,))
+    keys = np.zeros((_WIDE // 8 + 1, len(starts)), np.uint64)
+    h = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(_WIDE // 8):  # the k-th eight bytes of those that have them
+        own = slice(None) if not k else np.flatnonzero(length > 8 * k)
+        left = np.minimum(length[own] - 8 * k, 8).astype(np.uint64) * np.uint64(8)
+        w = at_any[starts[own] + 8 * k] & (~np.uint64(0) >> (np.uint64(64) - left))
+        keys[k + 1][own] = w
+        w = (w ^ h[own]) * np.uint64(0xBF58476D1CE4E5B9)
+        h[own] = w ^ (w >> np.uint64(29))
+    long = np.flatnonzero(length > _WIDE)
+    h |= np.uint64(1)
+    h[long], keys[1, long] = 0, long
+    keys[0] = h
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    differs = np.zeros(max(len(order) - 1, 0), bool)
+    for k in range(1, len(keys)):
+        w = keys[k][order]
+        differs |= w[1:] != w[:-1]
+    if (differs & ~new[1:]).any():  # different chunks of one hash (or long ones): order them by all words
+        order = np.lexsort(keys[::-1])
+        ranked = keys[:, order]
+        new[1:] = (ranked[:, 1:] != ranked[:, :-1]).any(0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return starts, ends, number, order[new], keys[:, order[new]]
+
+
+class FlatTable:
+    """Ids of distinct chunks in arrays: sorted keys, and for each where its ids lie.
+
+    When a look-up would leave more than ``capacity`` entries, those it did not use are dropped.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.keys, self.sizes, self.ids = np.zeros((_WIDE // 8 + 1, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look_up(self, keys: np.ndarray, encode: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``begin`` and ``size`` of the ids of each key (sorted, distinct), and the array they lie in.
+
+        ``encode`` gets the numbers of the unknown keys and returns their ids.
+        """
+        n = keys.shape[1]
+        known = np.zeros(n, bool)
+        if self.keys.shape[1]:
+            at = np.minimum(np.searchsorted(self.keys[0], keys[0]), self.keys.shape[1] - 1)
+            known = (self.keys[:, at] == keys).all(0) & (keys[0] > 0)
+        new = np.flatnonzero(~known)
+        found = encode(new) if len(new) else []
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(self.sizes) - self.sizes
+        begin, size = np.empty(n, np.int64), np.empty(n, np.int64)
+        if known.any():
+            begin[known], size[known] = begins[at[known]], self.sizes[at[known]]
+        begin[new], size[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self._keep(keys, known, begin, size, begins, ids)
+        return begin, size, ids
+
+    def _keep(self, keys, known, begin, size, begins, ids) -> None:
+        lasting = ~known & (keys[0] > 0)
+        old, old_begin, old_size = self.keys, begins, self.sizes
+        if old.shape[1] + lasting.sum() > self.capacity:
+            old, old_begin, old_size, lasting = old[:, :0], begins[:0], self.sizes[:0], keys[0] > 0
+        every = np.concatenate([old, keys[:, lasting]], 1)
+        begin, size = np.concatenate([old_begin, begin[lasting]]), np.concatenate([old_size, size[lasting]])
+        order = np.argsort(every[0], kind="stable")
+        single = np.ones(len(order), bool)
+        single[1:] = every[0][order][1:] != every[0][order][:-1]  # of two with one hash the first stays
+        order = order[single]
+        self.keys, self.sizes, begin = every[:, order], size[order], begin[order]
+        places = np.repeat(begin - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(self.sizes.sum())
+        self.ids = ids[places]

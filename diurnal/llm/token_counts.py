@@ -1,11 +1,14 @@
 """Exact token counts at every prefix by dynamic programming (operator 6).
 
-The tokenizer's word pattern never spans ASCII white space, and its normaliser acts on each
-side of it alone, so ``count(prefix k) = count(prefix k-1) + count(chunk k)`` over the
-white-space-delimited chunks of a text: a running sum gives the exact count at every chunk
-end. Inside a chunk the counts at every code point are held once per distinct chunk. Budget
-and truncation questions are answered from these arrays by binary search, without encoding
-the text again. Tasks keep a bounded table of distinct chunks; nothing is shuffled.
+The tokenizer's words never span ASCII white space, and its normaliser acts on each side of it
+alone, so ``count(prefix k) = count(prefix k-1) + count(chunk k)`` over the chunks between
+white space: a running sum gives the exact count at every chunk end. Inside a chunk the counts
+at every code point come from encoding the chunk's own prefixes. Budget and truncation
+questions are answered from these arrays by binary search, without encoding the text again.
+
+Tasks keep bounded tables of distinct chunks, and below these of distinct words: chunks of ASCII
+and Latin letters (``_OTHER`` finds what does not belong) are cut into words here, and many new
+words go to the library as one text. Nothing is shuffled.
 
 Null texts count as empty: no bytes, no tokens. Repeated rows give repeated results, an empty
 table an empty one. Only the id and text columns are read.
@@ -24,12 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, FlatTable, distinct_chunks
 from .common import BLANKS, pieces, utf8
 
 #: Chunks of more code points are only cut at their ends.
 CUT_INSIDE = 256
-
+#: Bytes of texts whose chunks are looked up together, about.
+TOGETHER = 1 << 19
+#: Stands between the ids of chunks; no token has this id.
+_GAP = np.uint32(0xFFFFFFFF)
+
+# After lower-casing, chunks without _OTHER consist of digits, signs, and letters that
+# lower-case one to one and are in composed form already.
+_OTHER = re.compile("[^\n!-~À-ÖØ-öø-įı-ſ]|<\\|(?:start|end)oftext\\|>")
+_WORD = re.compile("[a-zß-öø-ſ]+|\n|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 _CHUNK = re.compile(rb"[^%b]+" % BLANKS)
 
 
@@ -38,7 +49,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """A task's tokenizer with tables of its chunks' ids and inner prefix counts."""
+    """A task's tokenizer with tables of the ids of words and of other pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,24 +58,96 @@ class Encoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ids = ChunkTable(self._ids)
-        self.counts = ChunkTable(lambda chunks: [len(x) // 4 for x in self._ids(chunks)])
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        # each word's last id, and no other, stands for a token with the word-end mark
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.words = ChunkTable(self._ids_of_words, capacity=200_000)
+        self.chunks = FlatTable(capacity=400_000)
 
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._encode([c.decode() for c in chunks])]
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Words as one text, whose ids are cut after each word's last one."""
+        if "\n" in words:  # it was dropped from the table with an old generation
+            at = words.index("\n")
+            rest = words[:at] + words[at + 1 :]
+            out = self._ids_of_words(rest) if rest else []
+            return [*out[:at], _GAP.tobytes(), *out[at:]]
+        ids = np.array(self._encode([" ".join(words)])[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._ids_alone(words)
+        return _slices(ids.tobytes(), stops)
+
+    def _ids_alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._encode(texts)]
+
+    def _ids_of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        joined = b"\n".join(chunks).decode()
+        if _OTHER.search(joined):
+            texts = joined.split("\n")
+            other = [i for i, t in enumerate(texts) if _OTHER.search(t)]
+            apart = set(other)
+            usual = [t for i, t in enumerate(texts) if i not in apart]
+            usual = iter(self._ids_of_lines("\n".join(usual)) if usual else ())
+            alone = iter(self._ids_alone([texts[i] for i in other]))
+            return [next(alone) if i in apart else next(usual) for i in range(len(texts))]
+        return self._ids_of_lines(joined)
+
+    def _ids_of_lines(self, text: str) -> list[bytes]:
+        """Ids of chunks, one a line, through the table of words."""
+        ids = np.frombuffer(b"".join(self.words.results(_WORD.findall(text.lower() + "\n"))), "<u4")
+        gaps = np.flatnonzero(ids == _GAP)
+        return _slices(ids.tobytes(), gaps, skip=1)
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text all ids (uint32) and the token counts after each chunk, 0 before the first."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < TOGETHER):
+                size += len(texts[to]) + 1
+                to += 1
+            yield from self._encode_together(texts[at:to])
+            at = to
+
+    def _encode_together(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct chunks are looked up once, and their ids laid out by position."""
+        data = b"\n".join(texts)
+        starts, ends, number, first, keys = distinct_chunks(data)
+
+        def encode(new: np.ndarray) -> list[bytes]:
+            at = first[new]
+            return self._ids_of_chunks([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        begin, size, flat = self.chunks.look_up(keys, encode)
+        counts = size[number]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(begin[number] - after[:-1], counts)
+        places += np.arange(after[-1])
+        ids = flat[places]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        chunk_at = np.searchsorted(starts, bounds)
+        for a, b in zip(chunk_at[:-1].tolist(), chunk_at[1:].tolist(), strict=True):
+            yield ids[after[a] : after[b]], after[a : b + 1] - after[a]
 
     def encode(self, text: bytes) -> bytes:
         """All ids of a text as little-endian uint32."""
-        return b"".join(self.ids.results(text.split()))
+        return next(self.encode_all([text]))[0].tobytes()
 
     def prefix_counts(self, text: bytes) -> np.ndarray:
-        """Token counts after each chunk, beginning with 0 before the first."""
-        counts = self.counts.results(text.split())
-        out = np.zeros(len(counts) + 1, np.int64)
-        np.cumsum(counts, out=out[1:])
+        return next(self.encode_all([text]))[1]
+
+    @staticmethod
+    def ends_of(text: bytes) -> list[int]:
+        """Code points up to each chunk's end, beginning with 0: the places of ``prefix_counts``."""
+        at, last, out = 0, 0, [0]
+        for m in _CHUNK.finditer(text):
+            at += m.start() - last + len(m[0].decode())
+            last = m.end()
+            out.append(at)
         return out
 
     def inside(self, chunk: str) -> np.ndarray:
@@ -88,6 +171,15 @@ class Encoder:
         return before + int(np.flatnonzero(self.inside(chunk) <= budget - counts[k])[-1])
 
 
+def _slices(data: bytes, stops: np.ndarray, skip: int = 0) -> list[bytes]:
+    """Ids up to each stop; ``skip`` ids after it are left out."""
+    out, at = [], 0
+    for stop in (stops * 4).tolist():
+        out.append(data[at:stop])
+        at = stop + 4 * skip
+    return out
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -105,11 +197,9 @@ def token_counts(docs: DataFrame, limit: int = 2048, tokenizer: str | None = Non
         for batch in pieces(batches):
             texts = utf8(batch.column(1))
             rows = []
-            for t in texts:
-                counts = e.prefix_counts(t)
+            for t, (_, counts) in zip(texts, e.encode_all(texts), strict=True):
                 rows.append((len(t), int(counts[-1]), e.fitting(t, counts, limit)))
-            n_bytes, n_tokens, fits = zip(*rows, strict=True)
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_tokens, fits))]
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_bytes", "n_tokens", "fit_chars"])
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -126,20 +216,11 @@ def prefix_table(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e, kinds = encoder(path), pa.list_(pa.int64())
         for batch in pieces(batches):
             texts = utf8(batch.column(1))
-            ends, counts = [], []
-            for t in texts:
-                at, last, own = 0, 0, [0]
-                for m in _CHUNK.finditer(t):
-                    at += m.start() - last + len(m[0].decode())
-                    last = m.end()
-                    own.append(at)
-                ends.append(own)
-                counts.append(e.prefix_counts(t).tolist())
-            kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, kinds), pa.array(counts, kinds)], names=["key", "ends", "tokens"])
+            arrays = [pa.array([e.ends_of(t) for t in texts], kinds), pa.array([e.prefix_counts(t).tolist() for t in texts], kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["key", "ends", "tokens"])
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = picked.schema["key"].dataType.simpleString()

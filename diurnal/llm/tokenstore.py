@@ -139,9 +139,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             )
 
         for batch in pieces(batches):
-            for k, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for k, (own, _) in zip(batch.column(0).to_pylist(), e.encode_all(utf8(batch.column(1))), strict=True):
                 times, last = (times + 1, last) if k == last else (0, k)
-                ids = np.append(np.frombuffer(e.encode(t), "<u4"), np.uint32(end_id))
+                ids = np.append(own, np.uint32(end_id))
                 keys.append(k)
                 occurrences.append(times)
                 lengths.append(len(ids))

@@ -1,6 +1,7 @@
 """SentencePiece, token counts and the token store against the libraries."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -88,9 +89,24 @@ def test_longest_fitting_prefix(tokenizer, budget):
     e = token_counts.encoder(token_counts.default_tokenizer())
     count = lambda s: len(tokenizer.encode(s, add_special_tokens=False).ids)
     for text in ("", "unbelievable things happened, weren't they?  end", "naïve café  déjà-vu\n\tΣΊΣΥΦΟΣ", " lead and trail "):
-        data = text.encode()
-        fit = e.fitting(data, e.prefix_counts(data), budget)
-        assert fit == max(i for i in range(len(text) + 1) if count(text[:i]) <= budget)
+        fit = e.fitting(text.encode(), e.prefix_counts(text.encode()), budget)
+        assert fit == max(i for i in range(len(text) + 1) if count(text[:i]) <= budget), (text, budget)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_and_pieces_equal_the_library(tokenizer, seed):
+    """Random texts over awkward characters, cut here or by the library."""
+    rng = random.Random(seed)
+    latin = "abzABZ019'\"!?.,-_<|>[]{}`~@ \t\n\r\x0b\x0c" + "".join(map(chr, range(0xC0, 0x180)))
+    wide = latin + "İ\u0301\u0327  ­Σςσ漢字😀\x00\x1c\x7fªº²½"
+    bits = ["'s", "'re", "'LL", "don't", "<|endoftext|>", "<|startoftext|", " ", "İ"]
+    e = token_counts.encoder(token_counts.default_tokenizer())
+    for alphabet in (latin, wide):
+        for _ in range(300):
+            text = "".join(rng.choice(bits) if rng.random() < 0.15 else rng.choice(alphabet) for _ in range(rng.randrange(40)))
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == want, text
+            assert e.prefix_counts(text.encode())[-1] == len(want)
 
 
 def test_prefix_table(odd, tokenizer):
