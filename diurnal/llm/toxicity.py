@@ -4,7 +4,7 @@ A bounded, deterministic sample of labelled texts is turned into TF-IDF vectors
 terms that tell the labels apart (chi-square on document frequencies), and indexed: each
 term's posting list is cut into blocks of ``BLOCK`` examples with the block's largest weight
 kept beside it. For a text, blocks are visited in the order of their upper bounds
-``sum(query weight x block maximum)``; a block is skipped only when its bound is below the
+``sum(query weight x block maximum)``, some at once; blocks are skipped only when their bounds are below the
 k-th best cosine so far, so the neighbours are those of an exhaustive search. Votes are
 weighted by cosine and mapped to probabilities by bins of leave-one-out votes of the examples.
 
@@ -28,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, utf8
+from .simhash import fingerprint
 
-#: Examples per index block.
-BLOCK = 32
+#: Examples per index block, and blocks visited at once.
+BLOCK, AT_ONCE = 32, 16
+#: Least chi-square of a term: by chance one reaches it with a probability of about 1e-7, so
+#: hardly any among a hundred thousand candidates.
+CHI_LEAST = 28
 #: A text whose score is at least this is predicted toxic.
 THRESHOLD = 0.3
 #: ASCII bytes that are not letters become spaces.
@@ -58,7 +62,7 @@ class Neighbours:
     labels: np.ndarray
     terms: dict[bytes, int]
     idf: np.ndarray
-    postings: list[list[tuple[int, np.ndarray, np.ndarray]]] = field(default_factory=list)
+    postings: np.ndarray | None = None
     maxima: np.ndarray | None = None
     k: int = 15
     rest: float = 0.0
@@ -80,34 +84,38 @@ class Neighbours:
     def names(self) -> list[bytes]:
         return list(self.terms)
 
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks = -(-len(vectors) // BLOCK)
-        by_term: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.terms]
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Index the examples' vectors; returns them in the order of the index.
+
+        Examples with like terms stand together, which makes block maxima tell blocks apart.
+        ``postings`` has each term's weights by block and place in the block.
+        """
+        order = sorted(range(len(vectors)), key=lambda e: (vectors[e][0].tolist(), int(self.ids[e])))
+        self.ids, self.labels = self.ids[order], self.labels[order]
+        vectors = [vectors[e] for e in order]
+        self.postings = np.zeros((len(self.terms), -(-len(vectors) // BLOCK), BLOCK))
         for e, (at, w) in enumerate(vectors):
-            for t, x in zip(at, w, strict=True):
-                by_term[t].setdefault(e // BLOCK, []).append((e % BLOCK, x))
-        self.maxima = np.zeros((len(self.terms), blocks))
-        self.postings = []
-        for t, per in enumerate(by_term):
-            self.postings.append({b: (np.array([p for p, _ in rows]), np.array([x for _, x in rows])) for b, rows in per.items()})
-            for b, rows in per.items():
-                self.maxima[t, b] = max(x for _, x in rows)
+            self.postings[at, e // BLOCK, e % BLOCK] = w
+        self.maxima = self.postings.max(2)
+        return vectors
 
     def nearest(self, at: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the ``k`` nearest with a positive cosine."""
         bounds = w @ self.maxima[at]
-        best: list[tuple[float, int]] = []
-        slack = 1e-12
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == self.k and bounds[b] + slack < -best[-1][0]):
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        near, cosines = np.zeros(0, np.int64), np.zeros(0)
+        for i in range(0, len(order), AT_ONCE):
+            blocks = order[i : i + AT_ONCE]
+            if len(near) == self.k and bounds[blocks[0]] + 1e-9 < cosines[-1]:
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                if (found := self.postings[t].get(int(b))) is not None:
-                    scores[found[0]] += x * found[1]
-            new = [(-round(float(scores[p]), 12), int(b) * BLOCK + int(p)) for p in np.flatnonzero(scores > 0) if int(b) * BLOCK + p != leave]
-            best = sorted(best + new)[: self.k]
-        return np.array([e for _, e in best], np.int64), np.array([-s for s, _ in best])
+            scores = np.round(np.tensordot(w, self.postings[at[:, None], blocks], 1), 12)
+            e = blocks[:, None] * BLOCK + np.arange(BLOCK)
+            ok = (scores > 0) & (e != leave)
+            near, cosines = np.concatenate([near, e[ok]]), np.concatenate([cosines, scores[ok]])
+            best = np.lexsort((self.ids[near], -cosines))[: self.k]
+            near, cosines = near[best], cosines[best]
+        return near, cosines
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines * self.labels[near]).sum() / cosines.sum()) if len(near) else -1.0
@@ -180,19 +188,26 @@ def fit(
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     # the chosen rows are at most 2 x examples
-    sample = picked.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("key", "label", "text")
+    sample = picked.join(F.broadcast(chosen), "key").dropDuplicates(["key"])
     kind = picked.schema["key"].dataType.simpleString()
+    sample = sample.select("key", "label", "text").cache()
+    rows = _without_copies(sample, kind)
+    by_key = dict(rows)
+    kept = docs.sparkSession.createDataFrame([(i,) for i in by_key], f"key {kind}")
+    sample = sample.join(F.broadcast(kept), "key", "left_semi")
+    toxic = sum(by_key.values())
     counted = sample.mapInArrow(count, f"key {kind}, label int, term binary, tf long").cache()
     n1, n0 = toxic, len(rows) - toxic
     a, b = F.sum("label"), F.sum(1 - F.col("label"))
     found = counted.groupBy("term").agg(a.alias("a"), b.alias("b")).where("a + b >= 3")
     n = n1 + n0
     chi = n * F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), 2) / (n1 * n0 * (F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")))
-    top = found.where(F.col("a") + F.col("b") < n).withColumn("chi", chi).where("chi >= 15").orderBy(F.desc("chi"), "term").limit(max_terms).collect()
+    top = found.where(F.col("a") + F.col("b") < n).withColumn("chi", chi).where(F.col("chi") >= CHI_LEAST).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
     terms = {bytes(r["term"]): i for i, r in enumerate(top)}
     idf = np.array([np.log(n / (r["a"] + r["b"])) + 1 for r in top])
     own = counted.where(F.col("term").isin([bytes(t) for t in terms])).select("key", "term", "tf").collect() if terms else []
     counted.unpersist()
+    sample.unpersist()
     if not terms:
         return empty
     per: dict[int, dict[bytes, int]] = {}
@@ -201,7 +216,7 @@ def fit(
     ids = sorted(per)
     model = Neighbours(np.array(ids, np.int64), np.array([by_key[i] for i in ids], float), terms, idf, k=k)
     vectors = [model.vector(per[i]) for i in ids]
-    model.build(vectors)
+    vectors = model.build(vectors)
     none = [y for i, y in rows if i not in per]
     model.rest = (sum(none) + 0.5) / (len(none) + 1) if none else rest
     votes = np.array([model.vote(*model.nearest(*v, leave=e)) for e, v in enumerate(vectors)])
@@ -211,6 +226,28 @@ def fit(
     return model
 
 
+def _without_copies(sample: DataFrame, kind: str, bits: int = 8) -> list[tuple[int, int]]:
+    """Ids and labels of the (bounded) sample without near copies of earlier rows of the same label.
+
+    Copies of one text would pass its chance words off as telling.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            own = np.array([fingerprint(t) for t in utf8(batch.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["key", "label", "bits"])
+
+    rows = sorted(tuple(r) for r in sample.mapInArrow(prints, f"key {kind}, label int, bits long").collect())
+    values = np.array([r[2] for r in rows], np.int64).view(np.uint64)
+    labels = np.array([r[1] for r in rows])
+    kept: list[int] = []
+    for i in range(len(rows)):
+        near = np.bitwise_count(values[kept] ^ values[i]) <= bits
+        if not (near & (labels[kept] == labels[i])).any():
+            kept.append(i)
+    return [(rows[i][0], rows[i][1]) for i in kept]
+
+
 def score(docs: DataFrame, model: Neighbours, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``score``, ``predicted``, and evidence: ``neighbours``, ``cosines`` per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters

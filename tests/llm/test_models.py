@@ -178,12 +178,12 @@ def test_nearest_examples_equal_exhaustive_search():
     model = toxicity.Neighbours(np.arange(500), rng.integers(0, 2, 500).astype(float), terms, rng.uniform(1, 4, 40), k=7)
     counts = [{f"t{i}".encode(): int(rng.integers(1, 5)) for i in rng.choice(40, rng.integers(1, 6), False)} for _ in range(500)]
     vectors = [model.vector(c) for c in counts]
-    model.build(vectors)
+    vectors = model.build(vectors)
     dense = np.zeros((500, 40))
     for e, (at, w) in enumerate(vectors):
         dense[e, at] = w
     for q in range(0, 500, 9):
         near, cosines = model.nearest(*vectors[q])
         scores = np.round(dense @ dense[q], 12)
-        want = sorted(np.flatnonzero(scores > 0), key=lambda e: (-scores[e], e))[:7]
+        want = sorted(np.flatnonzero(scores > 0), key=lambda e: (-scores[e], model.ids[e]))[:7]
         assert near.tolist() == want and np.allclose(cosines, scores[want])
