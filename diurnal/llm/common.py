@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diurnal.session import scratch_dir
@@ -47,6 +47,23 @@ def crc_remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def sample_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hash of ``key``; groups are few.
+
+    Counts of the groups first give a hash below which about 2 n rows of each lie, so that
+    the ordering sees no more than these, however large a group is.
+    """
+    counts = {r[group]: r["count"] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    hashed = rows.withColumn("_hash", F.xxhash64(key))
+    below = F.lit(False)
+    for value, count in counts.items():
+        top = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * n / count)))
+        below = below | ((F.col(group) == value) & (F.col("_hash") <= F.lit(top)))
+    order = Window.partitionBy(group).orderBy("_hash", key)
+    near = hashed.where(below).withColumn("_place", F.row_number().over(order))
+    return near.where(F.col("_place") <= n).drop("_hash", "_place")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8 bytes, null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import pieces, sample_by_hash, utf8
 
 #: Bytes of a window, training windows of a document, and windows computed at once.
 WINDOW, SPREAD, AT_ONCE = 96, 6, 4096
@@ -193,8 +193,7 @@ def fit(docs: DataFrame, per_lang: int = 150, key: str = "doc_id", text: str = "
     """
     labelled = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     slim = labelled.where(F.length(text) >= WINDOW).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = slim.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).select("key", "lang").distinct()
+    chosen = sample_by_hash(slim.distinct(), "lang", "key", per_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

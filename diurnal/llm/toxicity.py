@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8
+from .common import pieces, sample_by_hash, utf8
 from .simhash import fingerprint
 
 #: Examples per index block, and blocks visited at once.
@@ -168,8 +168,7 @@ def fit(
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     known = known.groupBy("key").agg(F.max("label").alias("label"))
     there = docs.select(F.col(key).alias("key")).distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = known.join(there, "key", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= examples).drop("rank")
+    chosen = sample_by_hash(known.join(there, "key", "left_semi"), "label", "key", examples)
     rows = [(r["key"], r["label"]) for r in chosen.collect()]
     by_key = dict(rows)
     toxic = sum(by_key.values())
