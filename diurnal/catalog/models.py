@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.composition import GROUPS, PERIODS
 from ..functions.nulls import rounded
+from ..functions.shapes import area, edges
 from ..functions.text import cross_label, split_piece
 from ..operators import cells, joins, regression, reshape
 from ..operators.regression import Spec
@@ -318,7 +319,7 @@ def mdl_coef_table(spark, sf):
     return _round_fit(regression.label_terms(fits, TERM_LABELS))
 
 
-_PANEL_X = ["log_pop", "met_shr_nha", "met_shr_nhb", "met_shr_h", "met_shr_nho", "met_shr_sub"]
+_PANEL_X = ["log_pop", "met_shr_nha", "met_shr_nhb", "met_shr_h", "met_shr_nho", "met_shr_sub", "met_shr_for_born"]
 
 
 @query("mdl_fe_ols_panel")
@@ -350,9 +351,10 @@ def mdl_fe_ols_multidim(spark, sf):
     t = t.withColumns(
         {
             "trt_tot_pop_1k": (F.col("res_total_est") + F.col("pow_total_est")) / 1000,
-            "log_aland_mi2": F.ln((1 + F.col("unit_id") % 97).cast("double")),
         }
     )
+    land = fx.parcels(spark, sf).select(F.col("c_custkey").alias("unit_id"), F.ln(area(edges("rings"))).alias("log_aland_mi2"))
+    t = joins.natural_join(t, land, "inner", ["unit_id"])
     outcomes = ["chg_race_eth_div", "chg_nhb", "chg_nhw", "chg_h", "chg_nha"]
     t = settle(t.select("metro_id", *outcomes, *_MD_X, "trt_tot_pop_1k", "log_aland_mi2"))
     t = settle(reshape.zscores(t, ["chg_race_eth_div", *_MD_X]))

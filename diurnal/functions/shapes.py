@@ -52,6 +52,11 @@ def _cross(e: Column) -> Column:
     return e["x1"] * e["y2"] - e["x2"] * e["y1"]
 
 
+def area(edge_list: ColumnLike) -> Column:
+    """Area inside the rings; holes count negatively by their opposite direction."""
+    return F.abs(_over_edges(as_col(edge_list), _cross)) / 2
+
+
 def centroid(edge_list: ColumnLike) -> Column:
     """Area centroid as a point; holes count negatively by their opposite direction."""
     e = as_col(edge_list)

@@ -215,6 +215,18 @@ def weighted_medians(
     return ends.select(*keys, F.when(F.col("_n_null") == 0, median).alias(out))
 
 
+def lowest_of_top(df: DataFrame, n: int, value: str, keys: Sequence[str]) -> DataFrame:
+    """The smallest of the ``n`` largest values of each group, as ``_cut``."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(value))
+    return (
+        df.filter(F.col(value).isNotNull())
+        .select(*keys, value, F.row_number().over(order).alias("_row"))
+        .filter(F.col("_row") <= n)
+        .groupBy(*keys)
+        .agg(F.min(value).alias("_cut"))
+    )
+
+
 def top_with_ties(
     df: DataFrame, n: int, value: str, keys: Sequence[str] = (), spread: Sequence[str] | None = None
 ) -> DataFrame:
@@ -226,14 +238,7 @@ def top_with_ties(
     if not keys:
         best = df.filter(F.col(value).isNotNull()).select(value).orderBy(F.desc(value)).limit(n)
         return df.filter(F.col(value) >= best.agg(F.min(value)).scalar())
-    order = Window.partitionBy(*keys).orderBy(F.desc(value))
-    cut = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys, value, F.row_number().over(order).alias("_row"))
-        .filter(F.col("_row") <= n)
-        .groupBy(*keys)
-        .agg(F.min(value).alias("_cut"))
-    )
+    cut = lowest_of_top(df, n, value, keys)
     marked = attach(df, cut, list(keys), spread or df.columns, "inner")
     return marked.filter(F.col(value) >= F.col("_cut")).drop("_cut")
 

@@ -181,3 +181,17 @@ def test_margins_with_group_effects_and_their_errors(data, weight):
         se = np.sqrt(at @ V @ at)
         assert (r["pred"], r["se"]) == pytest.approx((at @ b, se))
         assert (r["lower"], r["upper"]) == pytest.approx((at @ b - 1.959964 * se, at @ b + 1.959964 * se))
+
+
+def test_full_panel_model_equals_numpy(spark, sf):
+    from diurnal.catalog import models
+
+    panel, dummies = models._small_panel(spark, sf)
+    x = [*dummies, "avg_div_nhood", "multi_theil_nhood", *models._PANEL_X]
+    p = panel.dropna(subset=["avg_div_whood", "metro_id", *x]).toPandas()
+    centred = lambda c: (p[c].astype(float) - p.groupby("metro_id")[c].transform("mean")).to_numpy()
+    got = {r["term"]: r for r in regression.fit(panel, Spec("avg_div_whood", x, "metro_id")).collect()}
+    used = [t for t in x if got[t]["estimate"] is not None]
+    assert set(x) - set(used) <= {"met_shr_for_born"}  # a sum of two other shares in the fixture
+    b = np.linalg.lstsq(np.column_stack([centred(t) for t in used]), centred("avg_div_whood"), rcond=None)[0]
+    assert [got[t]["estimate"] for t in used] == pytest.approx(b, rel=1e-4, abs=1e-7)

@@ -53,14 +53,14 @@ def test_filters_reach_the_scan(spark, sf):
 
 def test_top_n_per_group_is_cut_before_the_shuffle(spark, sf):
     u = settle(fx.units(spark, sf))
-    text = plan(order.top_with_ties(u, 3, "res_total_est", ["metro_id"], ["unit_id"]))
+    text = plan(order.lowest_of_top(u, 3, "res_total_est", ["metro_id"]))
     assert re.search(r"WindowGroupLimit .*Partial", text)
 
 
 def test_tables_above_a_generator_are_measured(spark):
     """Three million rows that Catalyst takes for a few bytes."""
     rows = spark.range(10).withColumn("k", F.col("id"))
-    table = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(400_000))).cast("bigint").alias("k"), F.lit("x" * 50).alias("v"))
+    table = spark.range(1).select(F.expr("explode(sequence(0L, 400000L))").alias("k"), F.lit("x" * 50).alias("v"))
     assert measured(table)[1] > 400_000 * 50
     text = plan(joins.attach(rows, table, ["k"], ["id"]))
     assert "_salt" in text and "BroadcastHashJoin" not in text

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from diurnal.functions.shapes import CONUS_ALBERS, RINGS_TYPE, albers, centroid, edges
+from diurnal.functions.shapes import CONUS_ALBERS, RINGS_TYPE, albers, area, centroid, edges
 from diurnal.operators import segregation, spatial
 
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
@@ -39,6 +39,11 @@ def test_centroids(spark):
     assert got["ell"] == pytest.approx((5 / 6, 5 / 6)) and got["ring"] == pytest.approx((2.0, 2.0))
 
 
+def test_areas(spark):
+    df = layer(spark, [("ell", [ELL]), ("ring", [SQUARE, HOLE])])
+    assert {r["name"]: r["a"] for r in df.select("name", area(edges("rings")).alias("a")).collect()} == {"ell": 3.0, "ring": 12.0}
+
+
 def test_dissolve_drops_shared_edges(spark):
     a = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
     b = [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
