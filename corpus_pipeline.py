@@ -39,13 +39,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id.
 
-    Texts without words are no copies of each other; all of them stay.
+    Rows without id come first in that order; of rows with one id, the text's hash decides, and of a row
+    repeated with id and text one stays. Texts without words are one group.
     """
-    grouped = simhash.near_duplicates(docs)
-    has_words = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
-    kept = write_once(grouped.where(F.col("doc_id") == F.col("component")).select(F.col("doc_id").alias("kept")).distinct(), "kept")
-    marked = docs.join(kept, F.col("doc_id") == F.col("kept"), "left")
-    return marked.where(F.col("kept").isNotNull() | ~has_words | F.col("doc_id").isNull()).select(*_columns(docs))
+    mark = F.xxhash64("text")
+    keyed = docs.select(F.struct("doc_id", mark.alias("mark")).alias("key"), "text")
+    grouped = simhash.near_duplicates(keyed, key="key")
+    first = grouped.where(F.col("key") == F.col("component")).select("key.*").distinct()
+    kept = write_once(first.select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")), "kept")
+    whole = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id"), mark.alias("mark"))
+    own = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+    return own.dropDuplicates(["doc_id", "mark"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
