@@ -188,10 +188,13 @@ def od_flows(
     ``home_types`` and ``work_types`` carry the types of each end; flows to places without a
     work type are dropped, as are values below ``least``.
     """
-    inside = joins.join_both_ends(flows, ends, key, how="inner")
-    inside = inside.filter(F.col("res_metro_id") == F.col("pow_metro_id"))
-    typed = joins.attach(inside, home_types, [f"res_{key}"], [f"pow_{key}"])
-    typed = joins.attach(typed, work_types, [f"pow_{key}"], [f"res_{key}"], "inner")
+    home, work = f"res_{key}", f"pow_{key}"
+    # types join the places first, so that the flows meet one table per end
+    home_ends = joins.natural_join(joins.prefixed(ends, "res_"), home_types, "left", [home])
+    work_ends = joins.natural_join(joins.prefixed(ends, "pow_"), work_types, "inner", [work])
+    placed = joins.attach(flows, home_ends, [home], [work], "inner")
+    same_metro = F.col("res_metro_id") == F.col("pow_metro_id")
+    typed = joins.attach(placed, work_ends, [work], [home], "inner", same_metro)
     ids = [c for c in typed.columns if c not in (*FLOW_LABELS, "total_est")]
     long = typed.unpivot(ids, list(FLOW_LABELS), "name", "value").filter(F.col("value") >= least)
     label = F.when(F.col("name") == "nhw_est", FLOW_LABELS["nhw_est"]).otherwise(FLOW_LABELS["oth_est"])
