@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diurnal.llm import linededup, mixing, sentencepieces, simhash, toxicity
-from diurnal.llm.common import importable, table, write_once
+from diurnal.llm.common import prepare, table, write_once
 
 
 def _columns(docs: DataFrame) -> list:
@@ -24,6 +24,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
+    prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(_keyed(docs), model, key="row")
     return scored.where(F.col("predicted") == 0).select("row.*")
@@ -31,6 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them have; emptied ones stay."""
+    prepare(spark)
     cleaned = linededup.dedup_lines(_keyed(docs), key="row")
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.when(F.col("row.text").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars"))}
     return cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
@@ -42,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without id come first in that order; of rows with one id, the text's hash decides, and of a row
     repeated with id and text one stays. Texts without words are one group.
     """
+    prepare(spark)
     mark = F.xxhash64("text")
     keyed = docs.select(F.struct("doc_id", mark.alias("mark")).alias("key"), "text")
     grouped = simhash.near_duplicates(keyed, key="key")
@@ -59,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and the digests of its round trip."""
+    prepare(spark)
     trips = sentencepieces.round_trip(docs)
     digests = ["doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
     return trips.select(*digests)
@@ -78,7 +82,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    importable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = write_once(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -15,20 +15,27 @@ from diurnal.session import scratch_dir
 #: ASCII white space, the word and line separator of all operators: space and 0x09-0x0D.
 BLANKS = b" \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch sent to a task.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of one Arrow batch that a task hands back at once are cut near this many bytes.
 OUT_BYTES = 16 << 20
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package from where it lies.
+def prepare(spark: SparkSession) -> None:
+    """Set the session up for operators with Python workers.
 
-    On a cluster install it on the executors or pass it with ``--py-files``.
+    Workers on this machine may import this package from where it lies (on a cluster install it
+    on the executors or pass it with ``--py-files``). Texts are long rows, so Arrow batches
+    hold fewer of them, unless the session has a setting of its own.
     """
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from diurnal.session import scratch_dir
 
 from . import knnjoin, langid, linededup, mixing, sentencepieces, simhash, spanprints, token_counts, tokenstore, toxicity
-from .common import crc_remainder, importable, table
+from .common import crc_remainder, prepare, table
 
 
 def op1_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def _with_package(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        importable(spark)
+        prepare(spark)
         return query(spark, sf)
 
     return run

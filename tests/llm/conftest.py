@@ -1,11 +1,11 @@
 import pytest
 
-from diurnal.llm.common import importable
+from diurnal.llm.common import prepare
 
 
 @pytest.fixture(autouse=True)
 def _package_on_workers(spark):
-    importable(spark)
+    prepare(spark)
 
 
 #: Ids, texts, languages and sources with what trips operators: nulls, blanks, ties, repeats, other scripts.
