@@ -1,17 +1,21 @@
 """Toxicity by nearest labelled examples (operator 5).
 
-A bounded, deterministic sample of labelled texts is turned into TF-IDF vectors over the
-terms that tell the labels apart (chi-square on document frequencies), and indexed: each
-term's posting list is cut into blocks of ``BLOCK`` examples with the block's largest weight
-kept beside it. For a text, blocks are visited in the order of their upper bounds
-``sum(query weight x block maximum)``, some at once; blocks are skipped only when their bounds are below the
+A bounded, deterministic sample of labelled texts is turned into TF-IDF vectors over all
+their words, and indexed: each term's posting list is cut into blocks of ``BLOCK`` examples with
+the block's largest weight kept beside it. For a text, the blocks with the highest upper bounds
+``sum(query weight x block maximum)`` are visited first; others are skipped only when their bounds are below the
 k-th best cosine so far, so the neighbours are those of an exhaustive search. Votes are
 weighted by cosine and mapped to probabilities by bins of leave-one-out votes of the examples.
 
-The sample size, the number of terms and of neighbours are parameters; the fitted model is
-bounded by them and travels with the tasks. Every text is scored whole, in one pass, and
-nothing is shuffled. Null and empty texts, and texts without any chosen term, get the
-smoothed share of toxic labels among the examples without terms. Without labelled rows, or with labels of one
+Every word of the examples is in the index. Words that tell the labels apart weigh more: a term's
+idf is multiplied by ``FLOOR`` plus what the root of its chi-square (document frequencies by label)
+has above ``CHANCE``. Lists of the ``DENSE`` most frequent terms lie in dense blocks, the others are sparse.
+
+The sample size and the number of neighbours are parameters; the fitted model is bounded by the
+examples and their words and travels with the tasks. Every text is scored whole, in one pass, and
+nothing is shuffled. Null and empty texts, and texts without any word of the examples, get the
+smoothed share of toxic labels among the examples without words, or among all if each has some. Without
+labelled rows, or with labels of one
 kind, every score is the (smoothed) share of toxic labels. Ties between neighbours go to the smaller
 doc_id. Repeated rows get equal scores; an empty table gives an empty one.
 """
@@ -21,21 +25,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sample_by_hash, utf8
-from .simhash import fingerprint
+from .common import pieces, sample_by_hash
 
-#: Examples per index block, and blocks visited at once.
+#: Examples per index block, and blocks visited at first.
 BLOCK, AT_ONCE = 32, 16
-#: Least chi-square of a term: by chance one reaches it with a probability of about 1e-7, so
-#: hardly any among a hundred thousand candidates.
-CHI_LEAST = 28
+#: Terms whose posting lists are dense.
+DENSE = 512
+#: Texts searched together, and the words of these, about.
+TOGETHER, WORDS = 128, 60_000
+#: Weight of a term that tells nothing, and the root of chi-square above which a term weighs more:
+#: by chance one gets there with a probability of less than 1e-4.
+FLOOR, CHANCE = 0.005, 4
 #: A text whose score is at least this is predicted toxic.
 THRESHOLD = 0.3
 #: ASCII bytes that are not letters become spaces.
@@ -54,68 +61,144 @@ def words(text: str | None) -> list[bytes]:
     return low.encode().translate(_LETTERS).split()
 
 
+def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one range after the other, and the range of each."""
+    sizes = ends - starts
+    which = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(which)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), which
+
+
 @dataclass
 class Neighbours:
-    """Block-max inverted index over unit TF-IDF vectors of the examples, with calibration."""
+    """Block-max inverted index over unit TF-IDF vectors of the examples, with calibration.
+
+    ``idf`` has the weight of each term. Dense terms: ``dense`` (block, term, place) and ``dense_most``
+    (term, block). Sparse terms: postings ``example``, ``weight`` from ``start`` on, and block maxima ``block``,
+    ``most`` from ``block_start`` on. ``slot`` is a dense term's number, -1 for sparse ones.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
     terms: dict[bytes, int]
     idf: np.ndarray
-    postings: np.ndarray | None = None
-    maxima: np.ndarray | None = None
+    slot: np.ndarray | None = None
+    dense: np.ndarray | None = None
+    dense_most: np.ndarray | None = None
+    example: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    start: np.ndarray | None = None
+    block: np.ndarray | None = None
+    most: np.ndarray | None = None
+    block_start: np.ndarray | None = None
     k: int = 15
     rest: float = 0.0
     edges: np.ndarray | None = None
     values: np.ndarray | None = None
-    seen: dict = field(default_factory=dict)
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and unit weights ``(1 + ln tf) idf``."""
-        at = np.array(sorted(self.terms[t] for t in counts if t in self.terms), np.int64)
-        if not len(at):
-            return at, np.zeros(0)
-        names = self.names
-        tf = np.array([counts[names[i]] for i in at], float)
+        own = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, tf = np.array(own, np.int64).T
         w = (1 + np.log(tf)) * self.idf[at]
         return at, w / np.sqrt((w * w).sum())
 
-    @property
-    def names(self) -> list[bytes]:
-        return list(self.terms)
-
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Index the examples' vectors; returns them in the order of the index.
 
         Examples with like terms stand together, which makes block maxima tell blocks apart.
-        ``postings`` has each term's weights by block and place in the block.
         """
-        order = sorted(range(len(vectors)), key=lambda e: (vectors[e][0].tolist(), int(self.ids[e])))
+        terms, blocks = len(self.terms), -(-len(vectors) // BLOCK)
+        found = np.bincount(np.concatenate([at for at, _ in vectors]), minlength=terms)
+        self.slot = np.full(terms, -1)
+        often = np.argsort(-found, kind="stable")[:DENSE]
+        self.slot[often] = np.arange(len(often))
+        order = self._order(vectors, len(often))
         self.ids, self.labels = self.ids[order], self.labels[order]
         vectors = [vectors[e] for e in order]
-        self.postings = np.zeros((len(self.terms), -(-len(vectors) // BLOCK), BLOCK))
-        for e, (at, w) in enumerate(vectors):
-            self.postings[at, e // BLOCK, e % BLOCK] = w
-        self.maxima = self.postings.max(2)
+        self.dense = np.zeros((blocks, len(often), BLOCK))
+        example = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
+        at, w = (np.concatenate(c) for c in zip(*vectors, strict=True))
+        often = self.slot[at] >= 0
+        self.dense[example[often] // BLOCK, self.slot[at[often]], example[often] % BLOCK] = w[often]
+        self.dense_most = np.ascontiguousarray(self.dense.max(2).T)
+        at, example, w = at[~often], example[~often], w[~often]
+        by_term = np.argsort(at, kind="stable")
+        at, self.example, self.weight = at[by_term], example[by_term], w[by_term]
+        self.start = np.searchsorted(at, np.arange(terms + 1))
+        pair, first = np.unique(at * blocks + self.example // BLOCK, return_index=True)
+        self.block, self.block_start = pair % blocks, np.searchsorted(pair // blocks, np.arange(terms + 1))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         return vectors
 
+    def _order(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+        """Examples by halving along the main direction of their dense terms, in whole blocks."""
+        x = np.zeros((len(vectors), width))
+        for e, (at, w) in enumerate(vectors):
+            own = self.slot[at] >= 0
+            x[e, self.slot[at[own]]] = w[own]
+        out, todo = [], [np.argsort(self.ids, kind="stable")]
+        while todo:
+            part = todo.pop()
+            if len(part) <= BLOCK:
+                out.append(part)
+                continue
+            own = x[part] - x[part].mean(0)
+            way = own[np.argmax((own * own).sum(1))]
+            for _ in range(8):
+                way = own.T @ (own @ way)
+                way /= max(np.sqrt(way @ way), 1e-300)
+            part = part[np.argsort(own @ way, kind="stable")]
+            half = -(-len(part) // BLOCK) // 2 * BLOCK
+            todo += [part[half:], part[:half]]
+        return np.concatenate(out)
+
     def nearest(self, at: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the ``k`` nearest with a positive cosine."""
-        bounds = w @ self.maxima[at]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        near, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for i in range(0, len(order), AT_ONCE):
-            blocks = order[i : i + AT_ONCE]
-            if len(near) == self.k and bounds[blocks[0]] + 1e-9 < cosines[-1]:
-                break
-            scores = np.round(np.tensordot(w, self.postings[at[:, None], blocks], 1), 12)
-            e = blocks[:, None] * BLOCK + np.arange(BLOCK)
-            ok = (scores > 0) & (e != leave)
-            near, cosines = np.concatenate([near, e[ok]]), np.concatenate([cosines, scores[ok]])
+        return self.nearest_all([(at, w)], [leave])[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several texts, searched together."""
+        n, blocks, places = len(vectors), len(self.dense), len(self.dense) * BLOCK
+        text = np.repeat(np.arange(n), [len(at) for at, _ in vectors])
+        at, w = (np.concatenate(c) for c in zip(*vectors, strict=True))
+        often = self.slot[at] >= 0
+        asked = np.zeros((n, self.dense.shape[1]))
+        asked[text[often], self.slot[at[often]]] = w[often]
+        text, at, w = text[~often], at[~often], w[~often]
+        place, which = _expand(self.block_start[at], self.block_start[at + 1])
+        bounds = asked @ self.dense_most
+        bounds += np.bincount(text[which] * blocks + self.block[place], w[which] * self.most[place], n * blocks).reshape(n, blocks)
+        place, which = _expand(self.start[at], self.start[at + 1])
+        text, example, part = text[which], self.example[place], w[which] * self.weight[place]
+        scores = np.zeros((n, places))
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                scores[rows, b * BLOCK : (b + 1) * BLOCK] = asked[rows] @ self.dense[b]
+            ok = wanted[text, example // BLOCK]
+            scores.ravel()[:] += np.bincount(text[ok] * places + example[ok], part[ok], n * places)
+            for i, e in enumerate(leave or ()):
+                if e >= 0:
+                    scores[i, e] = 0
+
+        first = np.zeros((n, blocks), bool)
+        best = np.argpartition(-bounds, min(AT_ONCE, blocks) - 1, 1)[:, :AT_ONCE]
+        np.put_along_axis(first, best, True, 1)
+        visit(first & (bounds > 0))
+        least = np.partition(scores, places - self.k, 1)[:, places - self.k] if places > self.k else np.zeros(n)
+        visit(~first & (bounds > 0) & (bounds + 1e-9 >= least[:, None]))
+        least = np.partition(scores, places - self.k, 1)[:, places - self.k] if places > self.k else np.zeros(n)
+        out = []
+        for own, limit in zip(scores, least.tolist(), strict=True):
+            near = np.flatnonzero((own > 0) & (own >= limit - 1e-11))
+            cosines = np.round(own[near], 12)
             best = np.lexsort((self.ids[near], -cosines))[: self.k]
-            near, cosines = near[best], cosines[best]
-        return near, cosines
+            best = best[cosines[best] > 0]
+            out.append((near[best], cosines[best]))
+        return out
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines * self.labels[near]).sum() / cosines.sum()) if len(near) else -1.0
@@ -125,18 +208,21 @@ class Neighbours:
             return self.rest
         return float(np.interp(vote, self.edges, self.values))
 
-    def score(self, text: str | None) -> tuple[float, tuple[int, ...], tuple[float, ...]]:
-        """Probability, and as evidence the nearest examples' ids and cosines."""
-        counts = Counter(filter(self.terms.__contains__, words(text)))
-        if not counts:
-            return self.rest, (), ()
-        key = tuple(sorted(counts.items()))
-        if (known := self.seen.get(key)) is None:
-            near, cosines = self.nearest(*self.vector(counts))
-            known = (self.calibrated(self.vote(near, cosines)), tuple(self.ids[near].tolist()), tuple(cosines.tolist()))
-            if len(self.seen) < 20_000:
-                self.seen[key] = known
-        return known
+    def scores(self, texts: list[str | None]) -> list[tuple[float, tuple[int, ...], tuple[float, ...]]]:
+        """Per text its probability, and as evidence the nearest examples' ids and cosines."""
+        out: list = [(self.rest, (), ())] * len(texts)
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            at, w = self.vector(Counter(words(text))) if self.terms else ((), ())
+            if len(at):
+                group.append((i, at, w))
+                size += len(at)
+            if group and (len(group) == TOGETHER or size > WORDS or i == len(texts) - 1):
+                found = self.nearest_all([(at, w) for _, at, w in group])
+                for (j, _, _), (near, cosines) in zip(group, found, strict=True):
+                    out[j] = (self.calibrated(self.vote(near, cosines)), tuple(self.ids[near].tolist()), tuple(cosines.tolist()))
+                group, size = [], 0
+        return out
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +240,6 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     examples: int = 1500,
-    max_terms: int = 400,
     k: int = 15,
     key: str = "doc_id",
     text: str = "text",
@@ -179,82 +264,60 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out = [(i, y, w, n) for i, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w, n in Counter(words(t)).items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.int64())],
-                names=["key", "label", "term", "tf"],
-            )
+            found = [Counter(words(t)) for t in batch.column(1).to_pylist()]
+            terms, tf = pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms, tf], names=["key", "terms", "tf"])
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     # the chosen rows are at most 2 x examples
-    sample = picked.join(F.broadcast(chosen), "key").dropDuplicates(["key"])
+    sample = picked.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("key", "text")
     kind = picked.schema["key"].dataType.simpleString()
-    sample = sample.select("key", "label", "text").cache()
-    rows = _without_copies(sample, kind)
-    by_key = dict(rows)
-    kept = docs.sparkSession.createDataFrame([(i,) for i in by_key], f"key {kind}")
-    sample = sample.join(F.broadcast(kept), "key", "left_semi")
-    toxic = sum(by_key.values())
-    counted = sample.mapInArrow(count, f"key {kind}, label int, term binary, tf long").cache()
-    n1, n0 = toxic, len(rows) - toxic
-    a, b = F.sum("label"), F.sum(1 - F.col("label"))
-    found = counted.groupBy("term").agg(a.alias("a"), b.alias("b")).where("a + b >= 3")
-    n = n1 + n0
-    chi = n * F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), 2) / (n1 * n0 * (F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b")))
-    top = found.where(F.col("a") + F.col("b") < n).withColumn("chi", chi).where(F.col("chi") >= CHI_LEAST).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
-    terms = {bytes(r["term"]): i for i, r in enumerate(top)}
-    idf = np.array([np.log(n / (r["a"] + r["b"])) + 1 for r in top])
-    own = counted.where(F.col("term").isin([bytes(t) for t in terms])).select("key", "term", "tf").collect() if terms else []
-    counted.unpersist()
-    sample.unpersist()
+    counted = sample.mapInArrow(count, f"key {kind}, terms array<binary>, tf array<long>").toArrow()
+    per = {i: dict(zip(t, n, strict=True)) for i, t, n in zip(*(c.to_pylist() for c in counted.columns), strict=True)}
+    ids = sorted(i for i in per if per[i])
+    terms: dict[bytes, int] = {}
+    for i in ids:
+        for t in per[i]:
+            terms.setdefault(t, len(terms))
     if not terms:
         return empty
-    per: dict[int, dict[bytes, int]] = {}
-    for r in own:
-        per.setdefault(r["key"], {})[bytes(r["term"])] = r["tf"]
-    ids = sorted(per)
-    model = Neighbours(np.array(ids, np.int64), np.array([by_key[i] for i in ids], float), terms, idf, k=k)
-    vectors = [model.vector(per[i]) for i in ids]
-    vectors = model.build(vectors)
-    none = [y for i, y in rows if i not in per]
+    y = np.array([by_key[i] for i in ids], float)
+    at = np.fromiter((terms[t] for i in ids for t in per[i]), np.int64)
+    of = np.repeat(np.arange(len(ids)), [len(per[i]) for i in ids])
+    model = Neighbours(np.array(ids, np.int64), y, terms, _weights(at, y[of], toxic, len(rows) - toxic), k=k)
+    vectors = model.build([model.vector(per.pop(i)) for i in ids])
+    none = [label for i, label in rows if i in per]
     model.rest = (sum(none) + 0.5) / (len(none) + 1) if none else rest
-    votes = np.array([model.vote(*model.nearest(*v, leave=e)) for e, v in enumerate(vectors)])
+    votes = []
+    for e in range(0, len(vectors), TOGETHER):
+        part = vectors[e : e + TOGETHER]
+        votes += [model.vote(*found) for found in model.nearest_all(part, list(range(e, e + len(part))))]
+    votes = np.array(votes)
     has = votes >= 0
     if has.any():
         model.edges, model.values = _isotonic(votes[has], model.labels[has])
     return model
 
 
-def _without_copies(sample: DataFrame, kind: str, bits: int = 8) -> list[tuple[int, int]]:
-    """Ids and labels of the (bounded) sample without near copies of earlier rows of the same label.
-
-    Copies of one text would pass its chance words off as telling.
-    """
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            own = np.array([fingerprint(t) for t in utf8(batch.column(2))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["key", "label", "bits"])
-
-    rows = sorted(tuple(r) for r in sample.mapInArrow(prints, f"key {kind}, label int, bits long").collect())
-    values = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-    labels = np.array([r[1] for r in rows])
-    kept: list[int] = []
-    for i in range(len(rows)):
-        near = np.bitwise_count(values[kept] ^ values[i]) <= bits
-        if not (near & (labels[kept] == labels[i])).any():
-            kept.append(i)
-    return [(rows[i][0], rows[i][1]) for i in kept]
+def _weights(at: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Weight of each term, from the terms ``at`` of the examples and the label ``y`` at each."""
+    n = n1 + n0
+    a = np.bincount(at, y)
+    df = np.bincount(at)
+    b = df - a
+    spread = n1 * n0 * df * (n - df)  # 0 for a term of all examples
+    root = np.sqrt(n / np.maximum(spread, 1)) * np.abs(a * (n0 - b) - b * (n1 - a)) * (spread > 0)
+    return (np.log(n / df) + 1) * (FLOOR + np.maximum(0, root - CHANCE) / np.sqrt(n))
 
 
 def score(docs: DataFrame, model: Neighbours, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``score``, ``predicted``, and evidence: ``neighbours``, ``cosines`` per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples' words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in pieces(batches):
-            s, near, cos = zip(*map(m.score, batch.column(1).to_pylist()), strict=True)
+            s, near, cos = zip(*m.scores(batch.column(1).to_pylist()), strict=True)
             arrays = [batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "score", "predicted", "neighbours", "cosines"])
 

@@ -187,3 +187,15 @@ def test_nearest_examples_equal_exhaustive_search():
         scores = np.round(dense @ dense[q], 12)
         want = sorted(np.flatnonzero(scores > 0), key=lambda e: (-scores[e], model.ids[e]))[:7]
         assert near.tolist() == want and np.allclose(cosines, scores[want])
+
+
+def test_copy_of_an_example_finds_it_without_telling_words(spark):
+    """No word tells these labels apart; each is indexed, dense or not, and each text is searched."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join("w" + chr(97 + a) + chr(97 + b) for a, b in rng.integers(0, 26, (30, 2))) for _ in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.terms) == len({w for t in texts for w in t.split()})
+    rows = toxicity.score(docs, model).collect()
+    assert all(r["neighbours"][0] == r["doc_id"] and r["cosines"][0] > 0.999 and len(r["neighbours"]) == 15 for r in rows)
