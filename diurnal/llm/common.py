@@ -54,21 +54,25 @@ def crc_remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def sample_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+def sample_by_hash(rows: DataFrame, group: str, key: str, n: int, total: str | None = None) -> DataFrame:
     """The ``n`` rows of each group with the smallest hash of ``key``; groups are few.
 
+    With ``total``, a column of this name has the number of all rows of the row's group.
+
     Counts of the groups first give a hash below which about 2 n rows of each lie, so that
     the ordering sees no more than these, however large a group is.
     """
     counts = {r[group]: r["count"] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
     hashed = rows.withColumn("_hash", F.xxhash64(key))
-    below = F.lit(False)
+    below, size = F.lit(False), F.lit(None).cast("long")
     for value, count in counts.items():
         top = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * n / count)))
         below = below | ((F.col(group) == value) & (F.col("_hash") <= F.lit(top)))
+        size = F.when(F.col(group) == value, F.lit(count)).otherwise(size)
     order = Window.partitionBy(group).orderBy("_hash", key)
     near = hashed.where(below).withColumn("_place", F.row_number().over(order))
-    return near.where(F.col("_place") <= n).drop("_hash", "_place")
+    near = near.where(F.col("_place") <= n).drop("_hash", "_place")
+    return near.withColumn(total, size) if total else near
 
 
 def utf8(column: pa.Array) -> list[bytes]:

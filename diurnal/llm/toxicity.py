@@ -9,7 +9,9 @@ weighted by cosine and mapped to probabilities by bins of leave-one-out votes of
 
 Every word of the examples is in the index. Words that tell the labels apart weigh more: a term's
 idf is multiplied by ``FLOOR`` plus what the root of its chi-square (document frequencies by label)
-has above ``CHANCE``. Lists of the ``DENSE`` most frequent terms lie in dense blocks, the others are sparse.
+has above ``CHANCE``. The sample has up to as many rows of either label, so in votes, calibration and shares
+an example counts for all labelled rows of its label divided by those in the sample, and scores do not
+depend on where the sample ends. Lists of the ``DENSE`` most frequent terms lie in dense blocks, the others are sparse.
 
 The sample size and the number of neighbours are parameters; the fitted model is bounded by the
 examples and their words and travels with the tasks. Every text is scored whole, in one pass, and
@@ -72,7 +74,7 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Neighbours:
     """Block-max inverted index over unit TF-IDF vectors of the examples, with calibration.
 
-    ``idf`` has the weight of each term. Dense terms: ``dense`` (block, term, place) and ``dense_most``
+    ``idf`` has the weight of each term, ``shares`` the labelled rows an example stands for, by label. Dense terms: ``dense`` (block, term, place) and ``dense_most``
     (term, block). Sparse terms: postings ``example``, ``weight`` from ``start`` on, and block maxima ``block``,
     ``most`` from ``block_start`` on. ``slot`` is a dense term's number, -1 for sparse ones.
     """
@@ -91,6 +93,7 @@ class Neighbours:
     most: np.ndarray | None = None
     block_start: np.ndarray | None = None
     k: int = 15
+    shares: tuple[float, float] = (1.0, 1.0)
     rest: float = 0.0
     edges: np.ndarray | None = None
     values: np.ndarray | None = None
@@ -201,7 +204,10 @@ class Neighbours:
         return out
 
     def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
-        return float((cosines * self.labels[near]).sum() / cosines.sum()) if len(near) else -1.0
+        if not len(near):
+            return -1.0
+        own = cosines * np.where(self.labels[near] > 0, self.shares[1], self.shares[0])
+        return float((own * self.labels[near]).sum() / own.sum())
 
     def calibrated(self, vote: float) -> float:
         if vote < 0 or self.edges is None:
@@ -225,15 +231,25 @@ class Neighbours:
         return out
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Increasing fit by pooling neighbours, on (vote, label) pairs; one point per pool."""
+def _isotonic(x: np.ndarray, y: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """Increasing fit by pooling neighbours, on (vote, label) pairs, weighted by label; one point per pool.
+
+    Each pool's value is smoothed by one pair of an unknown label, of the mean weight.
+    """
     pools: list[list[float]] = []
     for v, label in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        pools.append([v, label, 1])
+        w = shares[int(label)]
+        pools.append([v, label * w, w, 1])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             a, b = pools.pop(), pools.pop()
-            pools.append([(a[0] * a[2] + b[0] * b[2]) / (a[2] + b[2]), a[1] + b[1], a[2] + b[2]])
-    return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+            pools.append([(a[0] * a[2] + b[0] * b[2]) / (a[2] + b[2]), a[1] + b[1], a[2] + b[2], a[3] + b[3]])
+    return np.array([p[0] for p in pools]), np.array([_smoothed(p[1], p[2], p[3]) for p in pools])
+
+
+def _smoothed(toxic: float, of: float, rows: int) -> float:
+    """Share of toxic in a weighted count ``of`` over ``rows`` rows, with one more row of an unknown label."""
+    one = of / rows
+    return (toxic + one / 2) / (of + one)
 
 
 def fit(
@@ -253,11 +269,14 @@ def fit(
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     known = known.groupBy("key").agg(F.max("label").alias("label"))
     there = docs.select(F.col(key).alias("key")).distinct()
-    chosen = sample_by_hash(known.join(there, "key", "left_semi"), "label", "key", examples)
-    rows = [(r["key"], r["label"]) for r in chosen.collect()]
+    chosen = sample_by_hash(known.join(there, "key", "left_semi"), "label", "key", examples, total="total")
+    found = chosen.collect()
+    rows = [(r["key"], r["label"]) for r in found]
     by_key = dict(rows)
     toxic = sum(by_key.values())
-    rest = (toxic + 0.5) / (len(rows) + 1)
+    totals = {r["label"]: r["total"] for r in found}
+    shares = (totals.get(0, 0) / max(1, len(rows) - toxic), totals.get(1, 0) / max(1, toxic))
+    rest = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     empty = Neighbours(np.zeros(0, np.int64), np.zeros(0), {}, np.zeros(0), k=k, rest=rest)
     if not 0 < toxic < len(rows):
         return empty
@@ -284,10 +303,10 @@ def fit(
     y = np.array([by_key[i] for i in ids], float)
     at = np.fromiter((terms[t] for i in ids for t in per[i]), np.int64)
     of = np.repeat(np.arange(len(ids)), [len(per[i]) for i in ids])
-    model = Neighbours(np.array(ids, np.int64), y, terms, _weights(at, y[of], toxic, len(rows) - toxic), k=k)
+    model = Neighbours(np.array(ids, np.int64), y, terms, _weights(at, y[of], toxic, len(rows) - toxic, shares), k=k, shares=shares)
     vectors = model.build([model.vector(per.pop(i)) for i in ids])
     none = [label for i, label in rows if i in per]
-    model.rest = (sum(none) + 0.5) / (len(none) + 1) if none else rest
+    model.rest = _smoothed(sum(none) * shares[1], sum(shares[label] for label in none), len(none)) if none else rest
     votes = []
     for e in range(0, len(vectors), TOGETHER):
         part = vectors[e : e + TOGETHER]
@@ -295,11 +314,11 @@ def fit(
     votes = np.array(votes)
     has = votes >= 0
     if has.any():
-        model.edges, model.values = _isotonic(votes[has], model.labels[has])
+        model.edges, model.values = _isotonic(votes[has], model.labels[has], shares)
     return model
 
 
-def _weights(at: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
+def _weights(at: np.ndarray, y: np.ndarray, n1: int, n0: int, shares: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
     """Weight of each term, from the terms ``at`` of the examples and the label ``y`` at each."""
     n = n1 + n0
     a = np.bincount(at, y)
@@ -307,7 +326,8 @@ def _weights(at: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
     b = df - a
     spread = n1 * n0 * df * (n - df)  # 0 for a term of all examples
     root = np.sqrt(n / np.maximum(spread, 1)) * np.abs(a * (n0 - b) - b * (n1 - a)) * (spread > 0)
-    return (np.log(n / df) + 1) * (FLOOR + np.maximum(0, root - CHANCE) / np.sqrt(n))
+    share = (a * shares[1] + b * shares[0]) / (n1 * shares[1] + n0 * shares[0])
+    return (1 - np.log(share)) * (FLOOR + np.maximum(0, root - CHANCE) / np.sqrt(n))
 
 
 def score(docs: DataFrame, model: Neighbours, key: str = "doc_id", text: str = "text") -> DataFrame:

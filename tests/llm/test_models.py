@@ -199,3 +199,15 @@ def test_copy_of_an_example_finds_it_without_telling_words(spark):
     assert len(model.terms) == len({w for t in texts for w in t.split()})
     rows = toxicity.score(docs, model).collect()
     assert all(r["neighbours"][0] == r["doc_id"] and r["cosines"][0] > 0.999 and len(r["neighbours"]) == 15 for r in rows)
+
+
+def test_scores_follow_the_true_share_above_the_sample_size(spark):
+    """One label in ten is toxic, by chance: with samples of equal size, scores stay well below one half."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("w" + chr(97 + a) + chr(97 + b) for a, b in rng.integers(0, 8, (12, 2))) for _ in range(900)] + [""] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    for examples in (60, 1500):
+        rows = toxicity.score(docs, toxicity.fit(docs, labels, examples=examples)).collect()
+        assert 0.04 < np.mean([r["score"] for r in rows if r["doc_id"] < 900]) < 0.25
+        assert all(0.01 < r["score"] < 0.3 for r in rows if r["doc_id"] >= 900)
