@@ -157,3 +157,33 @@ def test_perfect_hash(n):
 
 def test_tokenizer_files_are_not_in_the_repository():
     assert "repo" not in public_tokenizers.path("")
+
+
+@pytest.mark.parametrize("kind", ["han", "thai", "base64", "letters"])
+def test_longest_fitting_prefix_of_a_long_chunk(tokenizer, kind):
+    """5,000 code points without white space are cut where the library's own counts say."""
+    rng = random.Random(7)
+    draw = {
+        "han": lambda: chr(rng.randrange(0x4E00, 0x9000)),
+        "thai": lambda: chr(rng.randrange(0x0E01, 0x0E2F)),
+        "base64": lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        "letters": lambda: rng.choice("abcdefghijklmnopqrstuvwxyz"),
+    }[kind]
+    text = "two words " + "".join(draw() for _ in range(5000))
+    e = token_counts.encoder(token_counts.default_tokenizer())
+    for budget in (150, 1200):
+        fit = e.fitting(text.encode(), e.prefix_counts(text.encode()), budget)
+        count = lambda i: len(tokenizer.encode(text[:i], add_special_tokens=False).ids)
+        assert 10 < fit < len(text) and count(fit) <= budget
+        assert all(count(i) > budget for i in (*range(fit + 1, fit + 40), *range(fit + 40, len(text), 97), len(text)))
+
+
+def test_cut_equals_every_prefix(tokenizer):
+    rng = random.Random(3)
+    e = token_counts.encoder(token_counts.default_tokenizer())
+    for alphabet in ("abet'sre<|>12!.", "漢字日本語中国人的一是", "aé\u0301Σσ漢'll", "xXyY--"):
+        for _ in range(25):
+            chunk = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
+            counts = [len(tokenizer.encode(chunk[:i], add_special_tokens=False).ids) for i in range(len(chunk) + 1)]
+            for budget in (0, 1, 3, 8):
+                assert e.cut(chunk, budget) == max(i for i, n in enumerate(counts) if n <= budget), (chunk, budget)
