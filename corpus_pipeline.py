@@ -43,6 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without id come first in that order; of rows with one id, the text's hash decides, and of a row
     repeated with id and text one stays. Texts without words are one group.
+    Near is operator 8's rule, four words and 4 of 64 bits: of pairs with a similarity of 0.8 it finds about 3 %,
+    of those with 0.95 about half.
     """
     prepare(spark)
     mark = F.xxhash64("text")
