@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from diurnal.session import scratch_dir
 
-from . import knnjoin, langid, linededup, mixing, sentencepieces, simhash, spanprints, token_counts, tokenstore, toxicity
+from . import infilling, knnjoin, langid, linededup, merkle, mixing, sentencepieces, simhash, spanprints, token_counts, tokenstore, toxicity
 from .common import crc_remainder, prepare, table
 
 
@@ -79,6 +79,26 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return spanprints.document_fingerprints(table(spark, sf, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Merkle proofs of all documents, folded again after line breaks were deleted from half of them."""
+    docs = table(spark, sf, "documents")
+    tampered = F.when(crc_remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    manifest = merkle.build(merkle.leaves(docs, now=merkle.changed_leaf(text=tampered)), fanout=3)
+    proofs = manifest.proofs()
+    text = lambda d: F.lower(F.hex(d))
+    root = F.lit((manifest.root or b"").hex())
+    folded = text(merkle.fold(F.col("now"), F.col("path")))
+    out = proofs.select(F.col("key").alias("doc_id"), text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_infilling(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of fill-in-the-middle outputs, and of the texts restored from them."""
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    made = infilling.fill_in_middle(table(spark, sf, "documents")).withColumn("output_sha256", sha("output"))
+    return infilling.restore(made).withColumn("restored_sha256", sha("restored")).drop("restored")
+
+
 def _with_package(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +108,7 @@ def _with_package(query):
     return run
 
 
-_ALL = (op1_mix, op2_language, op3_top_k, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_token_store, op8_simhash, op9_line_dedup, op10_fingerprints)
+_ALL = (op1_mix, op2_language, op3_top_k, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_token_store, op8_simhash, op9_line_dedup, op10_fingerprints, op11_manifest, op12_infilling)
 QUERIES = {f.__name__: _with_package(f) for f in _ALL}
 
 _OP1 = """
@@ -155,4 +175,74 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by doc_id
 """
 
-ORACLES = {"op1_mix": _OP1, "op3_top_k": _OP3, "op9_line_dedup": _OP9}
+_OP11 = """
+with recursive crc as (
+    select distinct doc_id from documents where doc_id is not null),
+steps as (
+    select doc_id, flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda k: [ascii(substr(doc_id::varchar, k::int, 1)), -1, -1, -1, -1, -1, -1, -1, -1])) as ops from crc),
+checked as (
+    select doc_id, xor(list_reduce(list_prepend(4294967295, ops), lambda c, o: case when o >= 0 then xor(c::bigint, o::bigint)
+                       when c % 2 = 1 then xor((c // 2)::bigint, 3988292384::bigint) else (c // 2)::bigint end)::bigint, 4294967295::bigint) as crc from steps),
+field as (
+    select d.doc_id, d.source, coalesce(strlen(d.doc_id::varchar) || ':' || d.doc_id::varchar, '-') || coalesce(strlen(d.source) || ':' || d.source, '-')
+           || coalesce(strlen(d.lang) || ':' || d.lang, '-') || coalesce(strlen(d.n_chars::varchar) || ':' || d.n_chars::varchar, '-') as head,
+           d.text, case when c.crc % 2 = 0 then replace(d.text, chr(10), '') else d.text end as tampered
+    from documents d left join checked c on d.doc_id = c.doc_id),
+hashed as (
+    select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+           sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) as tampered_leaf from field),
+placed as (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from hashed),
+tree as (
+    select source, 0 as level, list(leaf order by i) as nodes from placed group by source
+    union all
+    select source, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda k: sha256(array_to_string(list_slice(nodes, 3 * k + 1, 3 * k + 3), '')))
+    from tree where len(nodes) > 1),
+subroots as (
+    select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as g from tree where len(nodes) = 1),
+over_sources as (
+    select 0 as level, list(subroot order by g) as nodes from subroots
+    union all
+    select level + 1, list_transform(range((len(nodes) + 2) // 3), lambda k: sha256(array_to_string(list_slice(nodes, 3 * k + 1, 3 * k + 3), '')))
+    from over_sources where len(nodes) > 1),
+numbered as (
+    select row_number() over () as row, p.*, s.subroot, s.g from placed p join subroots s on p.source is not distinct from s.source),
+walk as (
+    select n.row, t.level, t.nodes, n.i // (3 ** t.level)::bigint as pos
+    from numbered n join tree t on t.source is not distinct from n.source where len(t.nodes) > 1
+    union all
+    select n.row, 1000 + o.level, o.nodes, n.g // (3 ** o.level)::bigint from numbered n, over_sources o where len(o.nodes) > 1),
+beside as (
+    select row, level, array_to_string(list_slice(nodes, pos - pos % 3 + 1, pos), '') as l, array_to_string(list_slice(nodes, pos + 2, pos - pos % 3 + 3), '') as r from walk),
+path as (select row, list({l: l, r: r} order by level) as path, string_agg(l || r, '' order by level) as proof from beside group by row),
+folds as (
+    select n.row, 1 as step, n.tampered_leaf as d from numbered n
+    union all
+    select f.row, f.step + 1, sha256(p.path[f.step].l || f.d || p.path[f.step].r) from folds f join path p on f.row = p.row where f.step <= len(p.path)),
+last as (select row, arg_max(d, step) as folded_root from folds group by row),
+top as (select nodes[1] as root from over_sources where len(nodes) = 1)
+select n.doc_id, n.leaf, n.subroot, top.root, sha256(coalesce(p.proof, '')) as proof_sha256, l.folded_root, l.folded_root = top.root as verified
+from numbered n join last l on n.row = l.row left join path p on n.row = p.row, top
+"""
+
+_OP12 = r"""
+with hashed as (
+    select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as lines from documents),
+drawn as (
+    select *, len(lines) as n, ('0x' || substr(h, 1, 8))::bigint % (len(lines) + 1) as h1, ('0x' || substr(h, 9, 8))::bigint % (len(lines) + 1) as h2,
+           ('0x' || substr(h, 17, 8))::bigint % 100 as h3, ('0x' || substr(h, 25, 8))::bigint % 100 as h4 from hashed),
+cut as (
+    select *, array_to_string(list_slice(lines, 1, least(h1, h2)), '') as prefix,
+           array_to_string(list_slice(lines, least(h1, h2) + 1, greatest(h1, h2)), '') as middle,
+           array_to_string(list_slice(lines, greatest(h1, h2) + 1, n), '') as suffix,
+           case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 >= 100 then 'plain'
+                when h4 < 50 then 'spm' else 'psm' end as form from drawn)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from cut
+"""
+
+ORACLES = {"op1_mix": _OP1, "op3_top_k": _OP3, "op9_line_dedup": _OP9, "op11_manifest": _OP11, "op12_infilling": _OP12}
