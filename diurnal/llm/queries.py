@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from diurnal.session import scratch_dir
 
-from . import infilling, knnjoin, langid, linededup, merkle, mixing, sentencepieces, simhash, spanprints, token_counts, tokenstore, toxicity
+from . import decontamination, infilling, knnjoin, langid, linededup, merkle, mixing, sentencepieces, simhash, spanprints, token_counts, tokenstore, toxicity
 from .common import crc_remainder, prepare, table
 
 
@@ -99,6 +99,13 @@ def op12_infilling(spark: SparkSession, sf: str) -> DataFrame:
     return infilling.restore(made).withColumn("restored_sha256", sha("restored")).drop("restored")
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of documents inside ten-word windows of benchmark items, and these items."""
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def _with_package(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +115,7 @@ def _with_package(query):
     return run
 
 
-_ALL = (op1_mix, op2_language, op3_top_k, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_token_store, op8_simhash, op9_line_dedup, op10_fingerprints, op11_manifest, op12_infilling)
+_ALL = (op1_mix, op2_language, op3_top_k, op4_sentencepiece, op5_toxicity, op6_token_counts, op7_token_store, op8_simhash, op9_line_dedup, op10_fingerprints, op11_manifest, op12_infilling, op13_decontamination)
 QUERIES = {f.__name__: _with_package(f) for f in _ALL}
 
 _OP1 = """
@@ -245,4 +252,28 @@ select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefi
 from cut
 """
 
-ORACLES = {"op1_mix": _OP1, "op3_top_k": _OP3, "op9_line_dedup": _OP9, "op11_manifest": _OP11, "op12_infilling": _OP12}
+_OP13 = r"""
+with words as (
+    select row_number() over () as row, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents),
+item as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark),
+start as (select item_id, w, least(len(w), 10) as size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from item where len(w) > 0),
+windows as (select distinct item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as window from start),
+sizes as (select distinct size from windows),
+place as (select row, w, unnest(range(1, len(w) + 1)) as i from words),
+found as (
+    select p.row, p.i, s.size, x.item_id from place p, sizes s, windows x
+    where p.i + s.size - 1 <= len(p.w) and x.size = s.size and x.window = array_to_string(list_slice(p.w, p.i, p.i + s.size - 1), ' ')),
+hit as (select row, count(distinct k) as n_hit from (select row, unnest(range(i, i + size)) as k from found) group by row),
+named as (
+    select row, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct row, item_id::varchar as id from found where item_id is not null) group by row)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit using (row) left join named using (row)
+"""
+
+ORACLES = {"op1_mix": _OP1, "op3_top_k": _OP3, "op9_line_dedup": _OP9, "op11_manifest": _OP11, "op12_infilling": _OP12, "op13_decontamination": _OP13}
