@@ -14,7 +14,7 @@ from ..plans.analyses import with_entropy
 from ..session import settle
 from . import fixtures as fx
 from .fixtures import r6, with_ctes
-from .measures import MULTIDIM_SQL, metro_panel, multidim, panel_sql
+from .measures import MULTIDIM_SQL, _entropy_cols, metro_panel, multidim, panel_sql
 from .registry import query
 
 OUTCOMES = [f"chg_{g}" for g in GROUPS]
@@ -319,24 +319,93 @@ def mdl_coef_table(spark, sf):
     return _round_fit(regression.label_terms(fits, TERM_LABELS))
 
 
+def _least_squares_sql(model_terms: str) -> str:
+    """CTEs that solve models with any number of regressors, absorbed group means and errors by group.
+
+    They need ``obs`` (model, row, g, w, i, v): values of variable ``i`` in long form, 0 being the outcome; and
+    give ``solved`` (model, i, estimate, se and what the rest of the fit needs) for the regressors in
+    ``model_terms`` (model, i). Gauss-Jordan elimination in place runs as a recursion over (row, column,
+    value) rows, one pivot a step; a pivot that earlier regressors explain is passed over.
+    """
+    return f"""known as (select model, row from obs group by model, row having count(v) = count(*)),
+ own as (select obs.* from obs join known using (model, row)),
+ mid as (select *, v - sum(w * v) over (partition by model, g, i) / sum(w) over (partition by model, g, i) as x, v - avg(v) over (partition by model, i) as c from own),
+ raw as (select model, i, sum(w * c * c) as spread from mid group by all),
+ gram as (select a.model, a.i, b.i as j, sum(a.w * a.x * b.x) as v from mid a join mid b on a.model = b.model and a.row = b.row group by all),
+ step0 as (select gram.*, case when gram.i = gram.j then greatest(1e-9 * gram.v, 1e-13 * spread) end as least from gram join raw using (model, i)),
+ sweep as (
+  select model, 1 as k, i, j, v, least, cast([] as integer[]) as done from step0
+  union all
+  select model, k + 1, i, j,
+   case when not ok then v when i = k and j = k then 1 / d when i = k then v / d when j = k then -v / d else v - aik * akj / d end, least,
+   case when ok then list_append(done, k) else done end
+  from (select *, coalesce(d > pl, false) as ok from (
+   select *, max(v) filter (j = k) over (partition by model, i) as aik, max(v) filter (i = k) over (partition by model, j) as akj,
+    max(v) filter (i = k and j = k) over (partition by model) as d, max(least) filter (i = k and j = k) over (partition by model) as pl,
+    max(i) over (partition by model) as top from sweep)) where k <= top),
+ fin as (select * from sweep qualify k = max(k) over (partition by model)),
+ beta as (select model, i, v as b from fin where j = 0 and list_contains(done, i)),
+ bread as (select model, i, j, v from fin where list_contains(done, i) and list_contains(done, j)),
+ shape as (select model, count(distinct row) as n, count(distinct g) as gg, count(distinct g) filter (w > 0) as gw from own group by 1),
+ tss as (select model, v as yy from gram where i = 0 and j = 0),
+ rss as (select model, v as rss from fin where i = 0 and j = 0),
+ resid as (select mid.model, mid.row, max(mid.g) as g, max(mid.w) as w, sum(case when mid.i = 0 then mid.x else -b * mid.x end) as e
+  from mid left join beta using (model, i) where mid.i = 0 or b is not null group by 1, 2),
+ score as (select mid.model, mid.g, mid.i, sum(mid.w * mid.x * e) as u from mid join resid on mid.model = resid.model and mid.row = resid.row join beta on beta.model = mid.model and beta.i = mid.i group by all),
+ meat as (select a.model, a.i, b.i as j, sum(a.u * b.u) as m from score a join score b on a.model = b.model and a.g = b.g group by all),
+ half as (select b.model, b.i, m.j, sum(b.v * m.m) as h from bread b join meat m on b.model = m.model and b.j = m.i group by all),
+ cov as (select h.model, h.i, b.j, sum(h.h * b.v) as v from half h join bread b on h.model = b.model and h.j = b.i group by all),
+ solved as (select t.*, n, gg, b as estimate, cov.v as spread, yy, rss,
+   (select count(*) from beta k where k.model = t.model) as used
+  from {model_terms} t join shape using (model) join tss using (model) join rss using (model) left join beta using (model, i) left join cov on cov.model = t.model and cov.i = t.i and cov.j = t.i)"""
+
+
+def _fits_sql(ctes: str, obs: str, terms: list[tuple[str, int, str, str]]) -> str:
+    """The rows of :func:`regression.fit` for the models in ``terms``: (model, place, outcome, term)."""
+    rows = ", ".join(f"('{m}', {i}, '{y}', '{t}')" for m, i, y, t in terms)
+    return f"""with {ctes}, obs as ({obs}), terms(model, i, outcome, term) as (values {rows}), {_least_squares_sql('terms')},
+ errs as (select *, sqrt((gg / (gg - 1e0)) * ((n - 1e0) / (n - used - 1e0)) * spread) as se from solved)
+ select model, outcome, term, {r6('estimate')} as estimate, {r6('se')} as se, {r6('estimate / se')} as t, cast(n as bigint) as n, {r6('1 - rss / yy')} as r2 from errs"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
 _PANEL_X = ["log_pop", "met_shr_nha", "met_shr_nhb", "met_shr_h", "met_shr_nho", "met_shr_sub", "met_shr_for_born"]
 
 
-@query("mdl_fe_ols_panel")
+_STEPS = [
+    [],
+    ["avg_div_nhood"],
+    ["avg_div_nhood", "multi_theil_nhood"],
+    ["avg_div_nhood", "multi_theil_nhood", *_PANEL_X],
+    ["avg_div_nhood", "iso_nhood"],
+    ["avg_div_nhood", "iso_nhood", *_PANEL_X],
+]
+
+
+def _panel_fits_sql() -> str:
+    obs, terms = [], []
+    for m, x in enumerate(_STEPS, start=1):
+        for i, c in enumerate(["avg_div_whood", "y10", "y16", *x]):
+            obs.append(f"select '({m})' as model, metro_id || year as row, metro_id as g, 1e0 as w, {i} as i, cast({c} as double) as v from pd")
+            if i:
+                named = _YEAR_TERMS[i - 1] if i < 3 else c
+                terms.append((f"({m})", i, "avg_div_whood", TERM_LABELS.get(named, named)))
+    starred = "case when t is null then '' when abs(t) >= 3.290527e0 then '***' when abs(t) >= 2.575829e0 then '**' when abs(t) >= 1.959964e0 then '*' else '' end"
+    fits = _fits_sql(_DUMMY_PANEL, " union all ".join(obs), terms)
+    head, _, tail = fits.rpartition("\n select ")
+    return _recursive(with_ctes(f"{head}, fits as (select {tail}) select *, {starred} as stars from fits", "el"))
+
+
+@query("mdl_fe_ols_panel", _panel_fits_sql())
 def mdl_fe_ols_panel(spark, sf):
     """The nested metro models up to all regressors, with H and with isolation."""
     panel, dummies = _small_panel(spark, sf)
-    steps = [
-        [],
-        ["avg_div_nhood"],
-        ["avg_div_nhood", "multi_theil_nhood"],
-        ["avg_div_nhood", "multi_theil_nhood", *_PANEL_X],
-        ["avg_div_nhood", "iso_nhood"],
-        ["avg_div_nhood", "iso_nhood", *_PANEL_X],
-    ]
     fits = [
         regression.fit(panel, Spec("avg_div_whood", [*dummies, *x], "metro_id", name=f"({i})"))
-        for i, x in enumerate(steps, start=1)
+        for i, x in enumerate(_STEPS, start=1)
     ]
     return _round_fit(regression.label_terms(fits, TERM_LABELS))
 
@@ -344,7 +413,25 @@ def mdl_fe_ols_panel(spark, sf):
 _MD_X = ["chg_age_div", "chg_sex_div", "chg_lang_div", "chg_inc_div"]
 
 
-@query("mdl_fe_ols_multidim")
+_MD_OUTCOMES = ["chg_race_eth_div", "chg_nhb", "chg_nhw", "chg_h", "chg_nha"]
+
+
+def _multidim_fits_sql() -> str:
+    x = [*_MD_X, "trt_tot_pop_1k", "log_aland_mi2"]
+    z = ", ".join(f"({c} - avg({c}) over ()) / stddev_samp({c}) over () as {c}" for c in ["chg_race_eth_div", *_MD_X])
+    ctes = f"""{MULTIDIM_SQL}, ent as (select *, race_eth_div_am - race_eth_div_pm as chg_race_eth_div from {_entropy_cols('ty')} where year = '{PERIODS[2]}'),
+ zs as (select * replace ({z}) from (select ent.*, md.* exclude (unit_id), (res_total_est + pow_total_est) / 1000e0 as trt_tot_pop_1k,
+  ln(case when unit_id % 2 = 0 then 0.75e0 else 1e0 end) as log_aland_mi2 from md join ent using (unit_id) join customer on c_custkey = unit_id))"""
+    obs = " union all ".join(
+        f"select '{y}' as model, unit_id as row, metro_id as g, 1e0 as w, {i} as i, cast({c} as double) as v from zs"
+        for y in _MD_OUTCOMES
+        for i, c in enumerate([y, *x])
+    )
+    terms = [(y, i, y, c) for y in _MD_OUTCOMES for i, c in enumerate(x, start=1)]
+    return _recursive(with_ctes(_fits_sql(ctes, obs, terms), "f10", "ty"))
+
+
+@query("mdl_fe_ols_multidim", _multidim_fits_sql())
 def mdl_fe_ols_multidim(spark, sf):
     """Changes in composition on standardized changes in other diversity, metro effects."""
     t = multidim_typed(spark, sf)
@@ -355,14 +442,37 @@ def mdl_fe_ols_multidim(spark, sf):
     )
     land = fx.parcels(spark, sf).select(F.col("c_custkey").alias("unit_id"), F.ln(area(edges("rings"))).alias("log_aland_mi2"))
     t = joins.natural_join(t, land, "inner", ["unit_id"])
-    outcomes = ["chg_race_eth_div", "chg_nhb", "chg_nhw", "chg_h", "chg_nha"]
+    outcomes = _MD_OUTCOMES
     t = settle(t.select("metro_id", *outcomes, *_MD_X, "trt_tot_pop_1k", "log_aland_mi2"))
     t = settle(reshape.zscores(t, ["chg_race_eth_div", *_MD_X]))
     x = [*_MD_X, "trt_tot_pop_1k", "log_aland_mi2"]
     return _round_fit(reshape.stack(*[regression.fit(t, Spec(y, x, "metro_id")) for y in outcomes]))
 
 
-@query("mdl_ols_metro_dummies")
+def _dummies_sql() -> str:
+    """Margins from one dummy per cell of type and period, in all models at once."""
+    ctes = f"""{_LONG}, cell as (select pm_cat, year, case when pm_cat = '{BASE_TYPE}' and year = '{BASE_PERIOD}' then 0
+   else row_number() over (partition by pm_cat = '{BASE_TYPE}' and year = '{BASE_PERIOD}' order by pm_cat, year) end as i
+  from (select distinct pm_cat, year from lo where pm_cat is not null and year is not null)),
+ lw as (select m.model, lo.*, case m.model when 'fe' then 1e0 else cast(pow_total_est as double) end as w, cell.i as c
+  from lo join (select unit_id, year, pow_total_est from el) using (unit_id, year) join cell using (pm_cat, year), (values ('fe'), ('wls')) m(model) where metro_id is not null and v is not null)"""
+    obs = """select model || outcome as model, unit_id || year as row, metro_id as g, w, 0 as i, v from lw
+  union all select lw.model || outcome, unit_id || lw.year, metro_id, w, cell.i, case when lw.c = cell.i then 1e0 else 0e0 end from lw, cell where cell.i > 0"""
+    there = "(select distinct model || outcome as model, c as i from lw)"
+    body = f"""with {ctes}, obs as ({obs}), {_least_squares_sql(there)},
+ share as (select model, i, avg(m) as q from (select model, g, i, sum(w * v) / sum(w) as m from own group by all) group by all),
+ aim as (select s.model, s.i, b.i as j, (case when s.i = b.i then 1e0 else 0e0 end) - q as a from solved s join beta b using (model) join share on share.model = s.model and share.i = b.i),
+ wide as (select x.model, x.i, sum(x.a * cov.v * y.a) as v from aim x join cov on cov.model = x.model and cov.i = x.j join aim y on y.model = x.model and y.i = x.i and y.j = cov.j group by all),
+ base as (select share.model, max(q) filter (share.i = 0) - sum(q * b) filter (share.i > 0 and b is not null) as m from share left join beta using (model, i) group by 1),
+ mg as (select s.model, s.i, case when s.i = 0 or s.estimate is not null then base.m + coalesce(s.estimate, 0) end as pred,
+   case when s.i = 0 or s.estimate is not null then sqrt((gg / (gg - 1e0)) * ((n - 1e0) / (n - (used + gg))) * wide.v) end as se
+  from solved s join base using (model) join wide on wide.model = s.model and wide.i = s.i)
+ select d.model, outcome, d.pm_cat, d.year, {r6('pred')} as pred, {r6('se')} as se, {r6('pred - 1.959964e0 * se')} as lower, {r6('pred + 1.959964e0 * se')} as upper
+ from mg join (select distinct model, outcome, pm_cat, year, c from lw) d on mg.model = d.model || d.outcome and mg.i = d.c"""
+    return _recursive(with_ctes(body, "el"))
+
+
+@query("mdl_ols_metro_dummies", _dummies_sql())
 def mdl_ols_metro_dummies(spark, sf):
     """Margins of type by period with metro effects, unweighted and weighted by workers."""
     u = settle(modelled(spark, sf).select("metro_id", "pm_cat", "year", "pow_total_est", *OUTCOMES))
