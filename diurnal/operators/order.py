@@ -244,25 +244,48 @@ def top_with_ties(
 
 
 def fill_down(
-    df: DataFrame, key: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[Column | str],
+    columns: Sequence[str],
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """Fill NULLs with the last known value above them among the rows of a key.
 
     ``order`` gives the rows' order (put the period first, then what orders rows inside it);
     rows before the first known value stay NULL, and rows equal in it are filled alike. Rows are
-    folded to one per key and place first, with the largest known value of equal rows. If places repeat little, a key's
-    places are as many as its rows: the operator is for keys (areas, places) with a bounded history.
+    folded to one per key and place first, with the largest known value of equal rows. Filling is a segmented
+    scan: places are cut into ranges, each range hands on the last value it knows, a window over
+    the ranges of a key gives what comes into each, and inside a range values are carried on. No window
+    holds more than a range, however long the history of a key is.
     """
+    df, key = _with_key(df, key)
     place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     placed = df.withColumn("_place", place)
-    known = placed.groupBy(*key, "_place").agg(*[F.max(c).alias(f"_{c}") for c in columns])
-    so_far = Window.partitionBy(*key).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    carried = known.select(
-        *key, "_place", *[F.last(f"_{c}", ignorenulls=True).over(so_far).alias(f"_{c}") for c in columns]
+    known = settle(placed.groupBy(*key, "_place").agg(*[F.max(c).alias(f"_{c}") for c in columns]))
+    parts = -(-known.count() // bin_rows)
+    if parts > 1:
+        dealt = known.repartitionByRange(parts, *key, "_place")
+        binned = settle(dealt.withColumn("_bin", F.spark_partition_id()))
+    else:
+        binned = known.withColumn("_bin", F.lit(0))
+    handed = binned.groupBy(*key, "_bin").agg(
+        *[F.max_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull(), F.col("_place"))).alias(f"_out_{c}") for c in columns]
+    )
+    earlier = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    coming = handed.select(
+        *key, "_bin", *[F.last(f"_out_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns]
+    )
+    so_far = Window.partitionBy(*key, "_bin").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = binned.select(
+        *key, "_bin", "_place", *[F.last(f"_{c}", ignorenulls=True).over(so_far).alias(f"_{c}") for c in columns]
+    )
+    carried = natural_join(inside, coming, "left", [*key, "_bin"]).select(
+        *key, "_place", *[F.coalesce(f"_{c}", f"_in_{c}").alias(f"_{c}") for c in columns]
     )
     joined = natural_join(placed, carried, "left", [*key, "_place"])
     return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(
-        "_place", *[f"_{c}" for c in columns]
+        "_place", _ALL, *[f"_{c}" for c in columns]
     )
 
 
