@@ -164,6 +164,13 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scattered(spark: SparkSession, sf: str) -> DataFrame:
+    """f6s: the same points moved off the lattice, each by its own part of a step."""
+    k = F.col("unit_id").cast("bigint")
+    own = lambda a, b: (k * k * a % b).cast("double") / b / 200
+    return points(spark, sf).withColumns({"x": F.col("x") + own(7919, 1009), "y": F.col("y") + own(104729, 997)})
+
+
 def persons(spark: SparkSession, sf: str) -> DataFrame:
     """f7: person microdata."""
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")
@@ -386,6 +393,10 @@ union all select c_custkey, case when c_custkey % 50 = 0 then null else c_custke
  ', ', n.n_name, case c.c_custkey % 5 when 0 then ' County' when 1 then ' Parish' when 2 then ' Borough' when 3 then ' city' else ' Municipality' end, ', ', r.r_name) as trt_string
 from customer c join nation n on c.c_nationkey=n.n_nationkey join region r on n.n_regionkey=r.r_regionkey""",
     ),
+    "f6s": (
+        ["f6"],
+        "select unit_id, metro_id, x + cast(unit_id::bigint * unit_id * 7919 % 1009 as double) / 1009 / 200 as x, y + cast(unit_id::bigint * unit_id * 104729 % 997 as double) / 997 / 200 as y from f6",
+    ),
     "f6": (
         [],
         "select c_custkey as unit_id, c_nationkey as metro_id, ((c_custkey*37)%1000 + 0.5e0) / 2e2 as x, ((c_custkey*91)%1000 + 0.5e0) / 2e2 as y from customer",

@@ -251,10 +251,9 @@ _EARN = """dat as (select type, o as v from (select type, cast(o_totalprice as d
     f"""with {_EARN},
 st as (select type, count(*) as n_all, stddev_samp(v) as sd, min(v) as low, max(v) as high, quantile_cont(v, 0.25e0) as q1, quantile_cont(v, 0.75e0) as q3 from dat group by 1),
 bw as (select *, 0.9e0 * least(sd, (q3 - q1) / 1.34e0) * pow(n_all, -0.2e0) as bw from st),
-bins as (select type, slot, count(*) as n from (select dat.type, least(floor((v - low) / (high - low) * 512), 511) as slot from dat join bw on dat.type = bw.type) group by 1, 2),
 grid as (select bw.*, i, low - 3 * bw + i * (high - low + 6 * bw) / 63 as gx from bw, range(64) t(i))
-select grid.type, cast(i as bigint) as i, round(max(gx), 2) as grid_x, {r6("1e5 * sum(n * exp(-0.5e0 * pow((gx - (low + (slot + 0.5e0) * (high - low) / 512)) / bw, 2))) / (max(n_all) * max(bw) * sqrt(2 * pi()))")} as density_100k
-from grid join bins on grid.type = bins.type group by 1, 2""",
+select grid.type, cast(i as bigint) as i, round(max(gx), 2) as grid_x, {r6("1e5 * sum(exp(-0.5e0 * pow((gx - v) / bw, 2))) / (max(n_all) * max(bw) * sqrt(2 * pi()))")} as density_100k
+from grid join dat on grid.type = dat.type group by 1, 2""",
 )
 
 

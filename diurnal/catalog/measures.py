@@ -9,7 +9,7 @@ from ..functions.composition import GROUPS, TYPES_7, segregation_level, type9
 from ..functions.nulls import rounded
 from ..functions.text import parse_tract_label
 from ..operators import joins, order, reshape, segregation
-from ..operators.spatial import spatial_indices
+from ..operators.spatial import area_indices, spatial_indices
 from ..plans.analyses import (
     DIVERSITY,
     EARN_BANDS,
@@ -346,15 +346,30 @@ def msr_isolation(spark, sf):
     )
 
 
-def located(spark, sf):
-    p = fx.points(spark, sf).select("unit_id", "x", "y")
+def located(spark, sf, points=fx.points):
+    p = points(spark, sf).select("unit_id", "x", "y")
     return joins.natural_join(fx.typed(spark, sf), p, "inner", ["unit_id"])
 
 
 def spatial(spark, sf):
+    return area_indices(located(spark, sf, fx.scattered), ["metro_id", "year"], "x", "y", BETA, RADIUS)
+
+
+def on_raster(spark, sf):
     return spatial_indices(located(spark, sf), ["metro_id", "year"], "x", "y", CELL, RADIUS, BETA)
 
 
+def surroundings_sql(source: str = "ty", radius: float | None = RADIUS) -> str:
+    """CTEs ``ar`` (areas), ``pr`` (pairs of areas of a metro) and ``env`` (weighted counts around each area); they need f6s."""
+    sums = [*_H_GROUPS, "minority"]
+    near = "" if radius is None else f" where d <= {radius}e0"
+    return f"""ar as (select metro_id, year, unit_id, x, y, {", ".join(f"res_{g}_est as {g}" for g in _H_GROUPS)}, {_MINORITY} as minority from {source} s join f6s using (unit_id, metro_id)),
+pr as (select * from (select p.metro_id, p.year, p.unit_id, q.unit_id as to_unit_id, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d, {", ".join(f"q.{g}" for g in sums)}
+  from ar p join ar q on p.metro_id = q.metro_id and p.year = q.year){near}),
+env as (select ar.*, {", ".join(f"e_{g}" for g in sums)} from ar join (select year, unit_id, {", ".join(f"sum({g} * exp(-{BETA}e0 * d)) as e_{g}" for g in sums)} from pr group by 1, 2) using (year, unit_id))
+"""
+
+
 SURFACE_SQL = f"""surf as (select metro_id, year, cast(floor(x / {CELL}e0) as bigint) as cx, cast(floor(y / {CELL}e0) as bigint) as cy,
   {", ".join(f"sum(res_{g}_est) as {g}" for g in _H_GROUPS)}, sum({_MINORITY}) as minority from (select ty.*, x, y from ty join f6 on ty.unit_id = f6.unit_id) group by 1, 2, 3, 4),
 nb as (select p.metro_id, p.year, p.cx, p.cy, q.cx as to_cx, q.cy as to_cy, sqrt(cast((p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy) as double)) * {CELL}e0 as dist
@@ -372,24 +387,47 @@ def _spat_iso(g: str) -> str:
     return f"sum({g} * coalesce(e_{g} / nullif(e_{g} + e_nhw, 0), 0e0)) / nullif(sum({g}), 0)"
 
 
-@query("msr_spatial_theil", with_ctes(f"with {SURFACE_SQL} select metro_id, year, {r6('h')} as spat_multi_theil_nhood from ({_SPAT_H})", "ty", "f6"))
+@query("msr_spatial_theil", with_ctes(f"with {surroundings_sql()} select metro_id, year, {r6('h')} as spat_multi_theil_nhood from ({_SPAT_H})", "ty", "f6s"))
 def msr_spatial_theil(spark, sf):
+    """From distances between areas."""
     return spatial(spark, sf).select("metro_id", "year", rounded("spat_multi_theil_nhood").alias("spat_multi_theil_nhood"))
 
 
+@query("msr_spatial_theil_raster", with_ctes(f"with {SURFACE_SQL} select metro_id, year, {r6('h')} as spat_multi_theil_nhood from ({_SPAT_H})", "ty", "f6"))
+def msr_spatial_theil_raster(spark, sf):
+    return on_raster(spark, sf).select("metro_id", "year", rounded("spat_multi_theil_nhood").alias("spat_multi_theil_nhood"))
+
+
 _ISO = {"spat_iso_nhood": "minority", "spat_iso_nhb_nhood": "nhb", "spat_iso_nha_nhood": "nha", "spat_iso_h_nhood": "h"}
 
 
-@query(
-    "msr_spatial_isolation",
-    with_ctes(f"with {SURFACE_SQL} select metro_id, year, " + ", ".join(f"{r6(_spat_iso(g))} as {n}" for n, g in _ISO.items()) + " from env group by 1, 2", "ty", "f6"),
-)
+_ISO_SQL = "select metro_id, year, " + ", ".join(f"{r6(_spat_iso(g))} as {n}" for n, g in _ISO.items()) + " from env group by 1, 2"
 
 
+@query("msr_spatial_isolation", with_ctes(f"with {surroundings_sql()} {_ISO_SQL}", "ty", "f6s"))
 def msr_spatial_isolation(spark, sf):
     return _rounded_all(spatial(spark, sf).select("metro_id", "year", *_ISO), list(_ISO))
 
 
+@query("msr_spatial_isolation_raster", with_ctes(f"with {SURFACE_SQL} {_ISO_SQL}", "ty", "f6"))
+def msr_spatial_isolation_raster(spark, sf):
+    return _rounded_all(on_raster(spark, sf).select("metro_id", "year", *_ISO), list(_ISO))
+
+
+@query(
+    "msr_spatial_whole_metro",
+    with_ctes(
+        f"with {surroundings_sql(radius=None)}, iso as ({_ISO_SQL}) select iso.*, {r6('h')} as spat_multi_theil_nhood from iso join ({_SPAT_H}) using (metro_id, year)",
+        "ty",
+        "f6s",
+    ),
+)
+def msr_spatial_whole_metro(spark, sf):
+    """Without a radius: every area of a metro is in the surroundings of every other."""
+    s = area_indices(located(spark, sf, fx.scattered), ["metro_id", "year"], "x", "y", BETA, error=1e-11)
+    return _rounded_all(s, [*_ISO, "spat_multi_theil_nhood"])
+
+
 # One location per raster cell (the fixture's points lie on a lattice of that width), so the
 # indices over areas, without any raster, are the same.
 FINE_CELL, FINE_RADIUS, FINE_BETA = 0.005, 0.1, 30.0
@@ -426,15 +464,15 @@ def metro_panel(spark, sf, spatially: bool = True, metro_medians: bool = True):
         chg = [f"chg_{g}" for g in ("nhw", "nhb", "nha", "h")]
         panel = joins.natural_join(panel, order.medians(u, keys, chg, "med_"), "left", keys)
     if spatially:
-        p = fx.points(spark, sf).select("unit_id", "x", "y")
+        p = fx.scattered(spark, sf).select("unit_id", "x", "y")
         xy = joins.natural_join(u, p, "inner", ["unit_id"])
-        s = spatial_indices(xy, ["metro_id", "year"], "x", "y", CELL, RADIUS, BETA)
+        s = area_indices(xy, ["metro_id", "year"], "x", "y", BETA, RADIUS)
         panel = joins.natural_join(panel, s, "left", ["metro_id", "year"])
     return panel
 
 
 def panel_sql(spatially: bool = True) -> str:
-    """CTE text ending with table ``panel``; needs el (and f6 when spatial)."""
+    """CTE text ending with table ``panel``; needs el (and f6s when spatial)."""
     parts = [*GROUPS, "for_born", "suburb"]
     name = {"suburb": "sub"}
     base = f"""select metro_id, metro_name, year, cast(count(*) as bigint) as n_tract,
@@ -452,7 +490,7 @@ def panel_sql(spatially: bool = True) -> str:
         joins_ += f" join (select metro_id, year, d as {n} from {dissimilarity_sql('f3', 'metro_id, year', a, b)}) using (metro_id, year)"
     ctes = f"{_F3}, ent as {_entropy_cols('el')}, "
     if spatially:
-        ctes += SURFACE_SQL.replace("from ty join f6 on ty.unit_id", "from el ty join f6 on ty.unit_id") + ", "
+        ctes += surroundings_sql("el") + ", "
         joins_ += f" join (select metro_id, year, h as spat_multi_theil_nhood from ({_SPAT_H})) using (metro_id, year)"
         joins_ += " join (select metro_id, year, " + ", ".join(f"{_spat_iso(g)} as {n}" for n, g in _ISO.items()) + " from env group by 1, 2) using (metro_id, year)"
     return f"{ctes} panel as (select * exclude (h, xpx), {extra}, {ratios}, {divs} from ({base}) {joins_})"
@@ -474,7 +512,7 @@ _PANEL_ROUND = [
 
 @query(
     "msr_metro_summary",
-    with_ctes(f"with {panel_sql()} select * replace (" + ", ".join(f"{r6(c)} as {c}" for c in _PANEL_ROUND) + ") from panel", "el", "f6"),
+    with_ctes(f"with {panel_sql()} select * replace (" + ", ".join(f"{r6(c)} as {c}" for c in _PANEL_ROUND) + ") from panel", "el", "f6s"),
 )
 
 
