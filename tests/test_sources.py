@@ -1,5 +1,8 @@
 """Readers on files with awkward shapes."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from diurnal.sources import extracts, tables
@@ -48,3 +51,54 @@ def test_csv_sink(spark, tmp_path):
     tables.write_table(df, str(tmp_path / "t"), format="csv")
     back = tables.read_table(spark, str(tmp_path / "t"), "k string, x double, year string", format="csv")
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def by_csv(path, skip):
+    import csv
+    import io
+
+    text = path.read_text(newline="")
+    body = text.split("\n", skip)[skip]
+    return [tuple(r) for r in csv.reader(io.StringIO(body, newline=""), doublequote=True) if r]
+
+
+@pytest.mark.parametrize("split", [64, 500, 1 << 20])
+def test_line_breaks_and_doubled_quotes_inside_fields(spark, tmp_path, split):
+    """Quoted fields over many lines, over several splits, with commas, blank lines and quotes in them."""
+    rng = random.Random(split)
+    for name in ("a", "b"):
+        rows = []
+        for i in range(300):
+            piece = lambda: "".join(rng.choice(["x", " ", ",", "\n", '"', "\n\n", "yz", "\\", "1"]) for _ in range(rng.choice([0, 2, 9, 60])))
+            quoted = lambda v: '"' + v.replace('"', '""') + '"'
+            rows.append(f"{i},{quoted('f' + piece())},{quoted('g' + piece() + 'h')}")
+        (tmp_path / f"{name}.csv").write_text('a note with a "quote\nid,f,g\n' + "\n".join(rows) + ("\n" if name == "a" else ""), newline="")
+    (tmp_path / "c.csv").write_text('note\nid,f,g\n1,"open\n\n\nand closed",z\n', newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        df = extracts.read_extracts(spark, str(tmp_path), "id string, f string, g string", F.lit(1))
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["file"], []).append(tuple(r)[1:])
+        parts = df.inputFiles() and spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("a.csv", "b.csv", "c.csv"):
+        assert sorted(got[name]) == sorted(by_csv(tmp_path / name, 2))
+    assert parts > 20 or split > 64
+
+
+def test_a_quote_that_is_never_closed_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h\n1,"open\n' + "2,x\n" * 50)
+    lines = extracts.read_lines(spark, str(tmp_path), F.lit(1), most_lines=20)
+    with pytest.raises(Exception, match="a quote is not closed in a.csv"):
+        lines.collect()
+
+
+def test_only_broken_records_are_moved(spark, tmp_path):
+    """Lines that are whole records stay in their split: the shuffle holds the others and one row a split."""
+    (tmp_path / "a.csv").write_text("h\n" + "1,plain\n" * 2000 + '2,"two\nlines"\n')
+    lines = extracts.read_lines(spark, str(tmp_path), F.lit(1))
+    assert lines.count() == 2001
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [file") == 1 and "Filter" in plan
