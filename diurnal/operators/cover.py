@@ -14,12 +14,14 @@ prefixes of each other (a cell's code shifted by two bits a level), so a search
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shapes import bounding_box, edges
-from ..session import settle
+from ..session import measured, settle
 from .joins import attach
 
 #: Edges of a cell that is not divided further, levels a division goes down, and the finest level.
@@ -27,66 +29,52 @@ MOST_EDGES, STEP, FINEST = 16, 2, 24
 _CELL = ("_level", "_cx", "_cy")
 
 
-def _spans(e: Column, y: Column) -> Column:
-    return (e["y1"] > y) != (e["y2"] > y)
+# Tests on an edge ``e`` as SQL text, over columns or numbers that are named.
 
 
-def _at(e: Column, y: Column) -> Column:
+def _spans(y: str) -> str:
+    return f"((e.y1 > {y}) <> (e.y2 > {y}))"
+
+
+def _at(y: str) -> str:
     """Where an edge meets the height ``y``."""
-    return (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"]) + e["x1"]
+    return f"((e.x2 - e.x1) * try_divide({y} - e.y1, e.y2 - e.y1) + e.x1)"
 
 
-def _odd(edge_list: Column, test) -> Column:
-    return F.size(F.filter(edge_list, test)) % 2 == 1
+def _odd(edge_list: str, test: str) -> str:
+    return f"(size(filter({edge_list}, e -> {test})) % 2 = 1)"
 
 
-def _crossed_below(edge_list: Column, right: Column, y: Column) -> Column:
+def _crossed_below(edge_list: str, right: str, y: str) -> str:
     """Parity of the edges that cross the vertical line ``right`` below the height ``y``.
 
     Where an edge crosses the line is told from where it meets the height, so that both tests agree.
     """
-
-    def below(e: Column) -> Column:
-        rising = (e["x2"] > e["x1"]) == (e["y2"] > e["y1"])
-        beyond = _at(e, y) > right
-        return ((e["x1"] > right) != (e["x2"] > right)) & F.when(_spans(e, y), rising == beyond).otherwise(e["y1"] <= y)
-
-    return _odd(edge_list, below)
+    rising, beyond = "((e.x2 > e.x1) = (e.y2 > e.y1))", f"({_at(y)} > {right})"
+    below = f"if({_spans(y)}, {rising} = {beyond}, e.y1 <= {y})"
+    return _odd(edge_list, f"((e.x1 > {right}) <> (e.x2 > {right})) and {below}")
 
 
-def _inside(edge_list: Column, parity: Column, right: Column, x: Column, y: Column) -> Column:
+def _inside(edge_list: str, parity: str, right: str, x: str, y: str) -> str:
     """Even-odd rule for a point of a cell; ``parity`` is that of the corner and the crossings below it."""
-    ray = _odd(edge_list, lambda e: _spans(e, y) & (x < _at(e, y)) & (_at(e, y) <= right))
-    return (parity != ray) != _crossed_below(edge_list, right, y)
+    ray = _odd(edge_list, f"{_spans(y)} and {x} < {_at(y)} and {_at(y)} <= {right}")
+    return f"(({parity} <> {ray}) <> {_crossed_below(edge_list, right, y)})"
 
 
-def _on_edge(edge_list: Column, x: Column, y: Column) -> Column:
-    return F.exists(
-        edge_list,
-        lambda e: ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
-        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
-    )
+def _on_edge(edge_list: str, x: str, y: str) -> str:
+    return f"""exists({edge_list}, e -> (e.x2 - e.x1) * ({y} - e.y1) = (e.y2 - e.y1) * ({x} - e.x1)
+      and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2) and {y} between least(e.y1, e.y2) and greatest(e.y1, e.y2))"""
 
 
-def _in_reach(edge_list: Column, left: Column, low: Column, size: Column) -> Column:
+def _in_reach(edge_list: str, left: str, low: str, size: str) -> str:
     """Edges that may touch a closed cell: boxes overlap and the corners are not all to one side."""
-    right, high = left + size, low + size
-
-    def touches(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        sides = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (left, right) for y in (low, high)]
-        slack = (F.abs(dx) + F.abs(dy)) * size * 1e-9
-        return (
-            (F.greatest(e["x1"], e["x2"]) >= left)
-            & (F.least(e["x1"], e["x2"]) <= right)
-            & (F.greatest(e["y1"], e["y2"]) >= low)
-            & (F.least(e["y1"], e["y2"]) <= high)
-            & (F.greatest(*sides) >= -slack)
-            & (F.least(*sides) <= slack)
-        )
-
-    return F.filter(edge_list, touches)
+    right, high = f"({left} + {size})", f"({low} + {size})"
+    side = lambda x, y: f"((e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1))"
+    sides = ", ".join(side(x, y) for x in (left, right) for y in (low, high))
+    slack = f"((abs(e.x2 - e.x1) + abs(e.y2 - e.y1)) * {size} * 1e-9D)"
+    return f"""filter({edge_list}, e -> greatest(e.x1, e.x2) >= {left} and least(e.x1, e.x2) <= {right}
+      and greatest(e.y1, e.y2) >= {low} and least(e.y1, e.y2) <= {high}
+      and greatest({sides}) >= -{slack} and least({sides}) <= {slack})"""
 
 
 class Frame:
@@ -114,18 +102,37 @@ class Frame:
         return F.lit(self.x if axis == "x" else self.y) + slot * self.size(level)
 
 
-def _described(cells: DataFrame, frame: Frame, parity: Column) -> DataFrame:
-    """Cells with the edges in their reach, and ``parity`` (of the corner) made that of corner and crossings below."""
-    size = frame.size(F.col("_level"))
-    left, low = (frame.corner(F.col(f"_c{a}"), a, F.col("_level")) for a in "xy")
-    cells = cells.withColumn("_corner", parity).withColumn("_edges", _in_reach(F.col("_edges"), left, low, size))
-    return cells.withColumn("_parity", F.col("_corner") != _crossed_below(F.col("_edges"), left + size, low)).drop("_corner")
+    def placed(self, cells: DataFrame) -> DataFrame:
+        """Cells with their sides: ``_left``, ``_low``, ``_size`` and ``_right``."""
+        level = F.col("_level")
+        left = self.corner(F.col("_cx"), "x", level)
+        right = self.corner(F.col("_cx") + 1, "x", level)
+        low = self.corner(F.col("_cy"), "y", level)
+        return cells.withColumns({"_left": left, "_right": right, "_low": low, "_size": self.size(level)})
+
+
+def _described(cells: DataFrame) -> DataFrame:
+    """Placed cells with the edges in their reach, and ``_parity`` (of the corner) made that of corner and crossings below."""
+    reach = F.expr(_in_reach("_edges", "_left", "_low", "_size"))
+    crossed = F.expr(f"_parity <> {_crossed_below('_edges', '_right', '_low')}")
+    return cells.withColumn("_edges", reach).withColumn("_parity", crossed).drop("_left", "_right", "_low", "_size")
+
+
+@dataclass
+class Cover:
+    """Cells of polygons: ``_level``, ``_cx``, ``_cy``, ``_parity``, ``_edges`` (none: wholly inside), and the attributes.
+
+    ``size`` is what they hold in memory, ``levels`` those that occur.
+    """
+
+    cells: DataFrame
+    frame: Frame
+    size: int
+    levels: list[int]
 
 
-def cover(
-    polygons: DataFrame, attributes: Sequence[str], rings: str = "rings", most_edges: int = MOST_EDGES
-) -> tuple[DataFrame, Frame]:
-    """Cells of every polygon: ``_level``, ``_cx``, ``_cy``, ``_parity``, ``_edges`` (none: wholly inside).
+def cover(polygons: DataFrame, attributes: Sequence[str], rings: str = "rings", most_edges: int = MOST_EDGES) -> Cover:
+    """Cells of every polygon.
 
     Rounds divide the crowded cells of all polygons together; each round is written.
     """
@@ -138,29 +145,27 @@ def cover(
     for a in "xy":
         span = F.sequence(*[frame.slot(F.col(f"_box.{a}{end}"), a, F.col("_level")) for end in ("min", "max")])
         first = first.withColumn(f"_c{a}", F.explode(span))
-    right = frame.corner(F.col("_cx") + 1, "x", F.col("_level"))
-    low = frame.corner(F.col("_cy"), "y", F.col("_level"))
-    corner = _odd(F.col("_edges"), lambda e: _spans(e, low) & (_at(e, low) > right))
-    frontier = _described(first.drop("_box"), frame, corner)
-    done = []
+    corner = F.expr(_odd("_edges", f"{_spans('_low')} and {_at('_low')} > _right"))
+    frontier = _described(frame.placed(first.drop("_box")).withColumn("_parity", corner))
+    crowded = (F.size("_edges") > most_edges) & (F.col("_level") < FINEST)
+    done, size, levels = [], 0, set()
     while True:
-        frontier = settle(frontier.filter((F.size("_edges") > 0) | F.col("_parity")))
-        crowded = (F.size("_edges") > most_edges) & (F.col("_level") < FINEST)
+        frontier, own_size = measured(frontier.filter((F.size("_edges") > 0) | F.col("_parity")))
+        size += own_size
         done.append(frontier.filter(~crowded))
-        if frontier.filter(crowded).isEmpty():
+        seen = frontier.agg(F.collect_set(F.when(~crowded, F.col("_level"))).alias("levels"), F.max(crowded).alias("more")).first()
+        levels |= set(seen["levels"])
+        if not seen["more"]:
             break
-        frontier = _described(_divided(frontier.filter(crowded), frame), frame, F.col("_parity"))
-    cells = done[0]
-    for part in done[1:]:
-        cells = cells.unionByName(part)
-    return cells, frame
+        frontier = _described(frame.placed(_divided(frontier.filter(crowded), frame)))
+    return Cover(reduce(DataFrame.unionByName, done), frame, size, sorted(levels))
 
 
 def _divided(cells: DataFrame, frame: Frame) -> DataFrame:
     """Parts of cells with the parity of their own corners."""
     step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2**STEP - 1).cast("bigint")))
-    right = frame.corner(F.col("_cx") + 1, "x", F.col("_level"))
-    parts = cells.withColumn("_right", right).withColumn("_dx", step).withColumn("_dy", step)
+    parts = cells.withColumn("_side", frame.corner(F.col("_cx") + 1, "x", F.col("_level")))
+    parts = parts.withColumn("_dx", step).withColumn("_dy", step)
     parts = parts.withColumns(
         {
             "_level": F.col("_level") + STEP,
@@ -168,10 +173,9 @@ def _divided(cells: DataFrame, frame: Frame) -> DataFrame:
             "_cy": F.col("_cy") * 2**STEP + F.col("_dy"),
         }
     )
-    x = F.least(F.col("_right"), frame.corner(F.col("_cx") + 1, "x", F.col("_level")))
-    y = frame.corner(F.col("_cy"), "y", F.col("_level"))
-    inside = _inside(F.col("_edges"), F.col("_parity"), F.col("_right"), x, y)
-    return parts.withColumn("_parity", inside).drop("_right", "_dx", "_dy")
+    parts = frame.placed(parts).withColumn("_x", F.least("_side", "_right"))
+    inside = F.expr(_inside("_edges", "_parity", "_side", "_x", "_low"))
+    return parts.withColumn("_parity", inside).drop("_side", "_dx", "_dy", "_x", "_left", "_right", "_low", "_size")
 
 
 def locate(
@@ -182,15 +186,15 @@ def locate(
     Points are written with a row number, and only that and the coordinates take part in the search, once for
     every level that the cover has. A point comes out once per hit, or once without.
     """
-    cells, frame = cover(polygons, attributes, rings)
-    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())
+    covered = cover(polygons, attributes, rings)
+    frame = covered.frame
     numbered = settle(points.withColumn("_row", F.monotonically_increasing_id()))
     at = numbered.select("_row", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     at = at.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    asked = at.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    levels = F.array(*[F.lit(k) for k in covered.levels]).cast("array<int>")
+    asked = at.withColumn("_level", F.explode(levels))
     asked = asked.withColumns({f"_c{a}": frame.slot(F.col(f"_{a}"), a, F.col("_level")) for a in "xy"})
-    right = frame.corner(F.col("_cx") + 1, "x", F.col("_level"))
-    within = _inside(F.col("_edges"), F.col("_parity"), right, F.col("_x"), F.col("_y"))
-    hit = within | _on_edge(F.col("_edges"), F.col("_x"), F.col("_y"))
-    found = attach(asked, cells, _CELL, ["_row"], "inner").filter(hit).select("_row", *attributes)
-    return attach(numbered, found, ["_row"], ["_row"]).drop("_row")
+    asked = asked.withColumn("_right", frame.corner(F.col("_cx") + 1, "x", F.col("_level")))
+    hit = F.expr(f"{_inside('_edges', '_parity', '_right', '_x', '_y')} or {_on_edge('_edges', '_x', '_y')}")
+    met = attach(asked, covered.cells, _CELL, ["_row"], "inner", size=covered.size)
+    return attach(numbered, met.filter(hit).select("_row", *attributes), ["_row"], ["_row"]).drop("_row")

@@ -90,10 +90,11 @@ def attach(
     spread: Sequence[str],
     how: str = "left",
     where: Column | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Join a table of groups to many rows per group.
 
-    The table is written and measured. If it may be broadcast, the rows are not
+    The table is written and measured, unless ``size`` says what a table that is written already holds in memory. If it may be broadcast, the rows are not
     shuffled at all. Otherwise hot keys are looked for in the rows. Their rows are dealt to parts
     by a hash of the ``spread`` columns, and only their groups are copied, once for each part, so
     a key holding a third of all rows does not sit in one task, and the table stays about as large
@@ -103,7 +104,8 @@ def attach(
     For a table about as large as the rows use ``natural_join``, which is left to the
     skew handling of adaptive execution.
     """
-    table, size = measured(table)
+    if size is None:
+        table, size = measured(table)
     if size <= broadcast_limit(rows.sparkSession):
         return natural_join(rows, F.broadcast(table), how, keys, where)
     hot = hot_keys(rows, keys)

@@ -74,7 +74,7 @@ def test_polygons_whose_sizes_differ_ten_thousandfold(spark, monkeypatch, most_e
 def test_the_cover_is_bounded_by_the_edges(spark):
     """Ten thousand times the area makes no more cells, and inner cells are as coarse as they fit."""
     shapes = [("a", [star(0, 0, 1.0, 2000, 0.01)]), ("b", [star(20000, 0, 10000.0, 2000, 0.01)]), ("box", [SQUARE])]
-    cells, _ = cover.cover(layer(spark, shapes), ["name"])
+    cells = cover.cover(layer(spark, shapes), ["name"]).cells
     n = {r["name"]: (r["n"], r["e"], r["levels"]) for r in cells.groupBy("name").agg(
         F.count("*").alias("n"), F.max(F.size("_edges")).alias("e"), F.count_distinct(F.when(F.size("_edges") == 0, F.col("_level"))).alias("levels")).collect()}
     for name in ("a", "b"):
