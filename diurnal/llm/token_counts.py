@@ -2,10 +2,10 @@
 
 The tokenizer's words never span ASCII white space, and its normaliser acts on each side of it
 alone, so ``count(prefix k) = count(prefix k-1) + count(chunk k)`` over the chunks between
-white space: a running sum gives the exact count at every chunk end. Inside a chunk the counts
-add up at places that no token can span (``Encoder.seams``), and between two of these they come from
-encoding the prefixes of the part. Budget and truncation
-questions are answered from these arrays by binary search, without encoding the text again.
+white space: a running sum gives the exact count at every chunk end. Inside a chunk ``prefix_counts``
+gives the count at every prefix in one pass, by the last token of each. Budget and truncation
+questions are answered from these arrays by binary search and one such pass over the chunk at the budget, which
+ends soon after it, without encoding the text again.
 
 Tasks keep bounded tables of distinct chunks, and below these of distinct words: chunks of ASCII
 and Latin letters (``_OTHER`` finds what does not belong) are cut into words here, and many new
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, FlatTable, distinct_chunks
 from .common import BLANKS, pieces, utf8
+from .prefix_counts import PrefixCounter
 
-#: Prefixes encoded together in the search for the longest one that fits.
-PREFIXES = 64
 #: Bytes of texts whose chunks are looked up together, about.
 TOGETHER = 1 << 19
 #: Stands between the ids of chunks; no token has this id.
@@ -63,9 +62,6 @@ class Encoder:
         # each word's last id, and no other, stands for a token with the word-end mark
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
-        marks = {c: b for b, c in _byte_marks().items()}
-        self.tokens = {bytes(marks[c] for c in t.removesuffix("</w>")) for t in tokens if marks.keys() >= set(t.removesuffix("</w>"))}
-        self.longest = max(map(len, self.tokens))
         self.words = ChunkTable(self._ids_of_words, capacity=200_000)
         self.chunks = FlatTable(capacity=400_000)
 
@@ -154,46 +150,18 @@ class Encoder:
             out.append(at)
         return out
 
-    def seams(self, chunk: str) -> list[int]:
-        """Places of a chunk, the first 0, that no token spans, whatever prefix is encoded.
-
-        A token is a piece of the text, so a place inside no piece that is in the vocabulary is one.
-        Where the normaliser looks further than one code point, only 0 is sure.
-        """
-        own = [self.tokenizer.normalizer.normalize_str(c) for c in chunk]
-        if "Σ" in chunk or "".join(own) != self.tokenizer.normalizer.normalize_str(chunk) or not all(own):
-            return [0]
-        data = "".join(own).encode()
-        ends = np.cumsum([0, *(len(c.encode()) for c in own)])
-        spanned = np.zeros(len(data) + 2, np.int64)
-        for a in range(len(data)):
-            for b in range(min(len(data), a + self.longest), a + 1, -1):
-                if data[a:b] in self.tokens:
-                    spanned[a + 1] += 1
-                    spanned[b] -= 1
-                    break
-        return [0, *(np.flatnonzero(np.cumsum(spanned)[ends[1:-1]] == 0) + 1).tolist()]
-
     def cut(self, chunk: str, budget: int) -> int:
-        """Code points of the longest prefix of one chunk with at most ``budget`` tokens.
+        """Code points of the longest prefix of one chunk with at most ``budget`` tokens."""
+        return self.prefixes.longest(chunk, budget)
 
-        Beyond a seam a prefix has the tokens before the seam and those of its rest, at least one. The search goes
-        down from the last seam with room for one, through single prefixes, whose counts may rise and fall.
-        """
-        seams = self.seams(chunk)
-        begins = [a for a, _ in self.tokenizer.encode(chunk, add_special_tokens=False).offsets]
-        before = np.searchsorted(begins, seams)
-        for k in range(len(seams) - 1, -1, -1):
-            room = budget - int(before[k])
-            at, end = seams[k], (seams[k + 1] if k + 1 < len(seams) else len(chunk))
-            if room < 1:
-                continue
-            for to in range(end, at, -PREFIXES):
-                ends = range(to, max(at, to - PREFIXES), -1)
-                for i, e in zip(ends, self._encode([chunk[at:i] for i in ends]), strict=True):
-                    if len(e.ids) <= room:
-                        return i
-        return 0
+    @functools.cached_property
+    def prefixes(self) -> PrefixCounter:
+        """Made when the first text is over its budget."""
+        return PrefixCounter(self.tokenizer)
+
+    def every_prefix(self, text: str) -> list[int]:
+        """Counts of all prefixes of a text, the empty one first."""
+        return [0, *(n for n, _ in self.prefixes.counts(text))]
 
     def fitting(self, text: bytes, counts: np.ndarray, budget: int) -> int:
         """Code points of the longest prefix with at most ``budget`` tokens.
@@ -210,13 +178,6 @@ class Encoder:
         return before + self.cut(chunk, budget - int(counts[k]))
 
 
-@functools.cache
-def _byte_marks() -> dict[int, str]:
-    """The character that stands for each byte in the vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(plain))}
-
-
 def _slices(data: bytes, stops: np.ndarray, skip: int = 0) -> list[bytes]:
     """Ids up to each stop; ``skip`` ids after it are left out."""
     out, at = [], 0
