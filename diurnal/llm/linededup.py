@@ -9,8 +9,10 @@ answers first, and only lines that it lets through are looked up in the exact co
 
 Only digests are shuffled, counted inside each task first; a line that is in a third of all
 documents is one row per task. Filters and the exact keys above the threshold are sent to the
-tasks when together they measure at most ``SEND_BYTES``; beyond that the digests of lines meet the
-exact table in a join that adaptive execution splits where it is skewed.
+tasks when together they measure at most ``SEND_BYTES``. Beyond that digests go to the filters: those of a shard
+meet its filter in a cogroup, a shard with many lines in parts, and what passes meets the exact
+table in a join that adaptive execution splits where it is skewed. A filter that has no room for new keys is built
+anew from the counts of its shard, with room for them.
 
 Null and empty texts are one empty line. Keys of fewer than ``min_chars`` code points are
 never dropped. A repeated row is another document. An empty table gives an empty one. Only id and text
@@ -32,8 +34,8 @@ from .common import BLANKS, pieces, utf8, write_once
 
 #: Largest measured size of filters and exact keys that is sent to every task.
 SEND_BYTES = 64 << 20
-#: Keys per filter shard, about.
-SHARD_KEYS = 50_000
+#: Keys per filter shard, about; most shards; lines that meet a filter in one task, about.
+SHARD_KEYS, SHARDS_MOST, PART_LINES = 50_000, 65_536, 500_000
 _SLOTS = 4
 _MAX_KICKS = 500
 
@@ -153,23 +155,31 @@ def _shard(shards: int) -> Column:
 
 
 def _shard_count(keys: int) -> int:
-    return max(64, keys // SHARD_KEYS)
+    return min(SHARDS_MOST, max(64, keys // SHARD_KEYS))
 
 
-def filters(counts: DataFrame, min_docs: int = 10, shards: int | None = None) -> DataFrame:
-    """One cuckoo filter per shard over the keys in at least ``min_docs`` documents: ``shard``, ``filter``."""
-    held = counts.where(F.col("n") >= min_docs).select("digest")
-    shards = shards or _shard_count(held.count())
+def _built(held: DataFrame) -> DataFrame:
+    """One filter per ``shard`` over its digests."""
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = _halves(rows.column("digest").to_pylist())
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([CuckooFilter.holding(low, high).to_bytes()], pa.binary())})
 
-    return held.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, "shard int, filter binary")
+    return held.groupBy("shard").applyInArrow(build, "shard int, filter binary")
+
+
+def filters(counts: DataFrame, min_docs: int = 10, shards: int | None = None) -> DataFrame:
+    """One cuckoo filter per shard over the keys in at least ``min_docs`` documents: ``shard``, ``filter``."""
+    held = counts.where(F.col("n") >= min_docs).select("digest")
+    shards = shards or _shard_count(held.count())
+    return _built(held.withColumn("shard", _shard(shards)))
 
 
 def update_filters(held: DataFrame, before: DataFrame, after: DataFrame, shards: int, min_docs: int = 10) -> DataFrame:
-    """Filters after a change of counts: only keys that crossed the threshold go in or out."""
+    """Filters after a change of counts: only keys that crossed the threshold go in or out.
+
+    A filter that is full, and that of a shard that had none, is built from the counts after the change.
+    """
     old = before.where(F.col("n") >= min_docs).select("digest", F.lit(True).alias("was"))
     new = after.where(F.col("n") >= min_docs).select("digest", F.lit(True).alias("is"))
     crossed = old.join(new, "digest", "full").where("was is null or is is null")
@@ -177,17 +187,23 @@ def update_filters(held: DataFrame, before: DataFrame, after: DataFrame, shards:
 
     def change(key: tuple, state: pa.Table, rows: pa.Table) -> pa.Table:
         data = state.column("filter").to_pylist()
-        f = CuckooFilter.from_bytes(data[0]) if data else CuckooFilter(1)
-        added = [d for d, now in zip(rows.column("digest").to_pylist(), rows.column("is").to_pylist(), strict=True) if now]
-        gone = [d for d, now in zip(rows.column("digest").to_pylist(), rows.column("is").to_pylist(), strict=True) if not now]
-        for a, b in zip(*_halves(gone), strict=True):
-            f.delete(int(a), int(b))
-        low, high = _halves(added)
-        if not all(f.insert(int(a), int(b)) for a, b in zip(low, high, strict=True)):
-            raise OverflowError("a shard's filter is full: build filters() anew from the counts with more shards")
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
+        kept = None
+        if data:
+            f = CuckooFilter.from_bytes(data[0])
+            now = rows.column("is").to_pylist()
+            digests = rows.column("digest").to_pylist()
+            for a, b in zip(*_halves([d for d, n in zip(digests, now, strict=True) if not n]), strict=True):
+                f.delete(int(a), int(b))
+            low, high = _halves([d for d, n in zip(digests, now, strict=True) if n])
+            if all(f.insert(int(a), int(b)) for a, b in zip(low, high, strict=True)):
+                kept = f.to_bytes()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([kept], pa.binary())})
 
-    return held.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
+    changed = held.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
+    changed = write_once(changed, "line-filters")
+    full = changed.where("filter is null").select("shard")  # at most SHARDS_MOST numbers
+    anew = after.where(F.col("n") >= min_docs).select("digest", _shard(shards).alias("shard"))
+    return changed.where("filter is not null").unionByName(_built(anew.join(F.broadcast(full), "shard")))
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +269,9 @@ def drop_lines(docs: DataFrame, counts: DataFrame, min_docs: int = 10, min_chars
     n = frequent.count()
     picked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = picked.schema["key"].dataType.simpleString()
-    if n * 24 > send_bytes:
-        return _by_join(picked, frequent, kind, min_chars).withColumnRenamed("key", key)
     shards = _shard_count(n)
+    if n * 24 > send_bytes:
+        return _by_shards(picked, counts, min_docs, shards, kind).withColumnRenamed("key", key)
     parts = {r["shard"]: bytes(r["filter"]) for r in filters(counts, min_docs, shards).collect()}
     exact = b"".join(sorted(bytes(r["digest"]) for r in frequent.collect()))
     shared = spark.sparkContext.broadcast(Probe(shards, parts, exact))
@@ -271,8 +287,8 @@ def drop_lines(docs: DataFrame, counts: DataFrame, min_docs: int = 10, min_chars
     return picked.mapInArrow(run, f"key {kind}, {_OUT}").withColumnRenamed("key", key)
 
 
-def _by_join(picked: DataFrame, frequent: DataFrame, kind: str, min_chars: int) -> DataFrame:
-    """The same where the frequent keys are too many to send: digests meet them in a join."""
+def _by_shards(picked: DataFrame, counts: DataFrame, min_docs: int, shards: int, kind: str) -> DataFrame:
+    """The same where the frequent keys are too many to send: digests go to the filter of their shard."""
     rows = picked.withColumn("row", F.xxhash64("key", "text"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +296,23 @@ def _by_join(picked: DataFrame, frequent: DataFrame, kind: str, min_chars: int)
             pairs = [(r, digest(k)) for r, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True) for k in set(line_keys(t)) if k]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], names=["row", "digest"])
 
-    lines = rows.select("row", "text").mapInArrow(explode, "row long, digest binary")
-    hits = lines.join(frequent, "digest", "left_semi").groupBy("row").agg(F.collect_set("digest").alias("gone"))
+    def ask(lines: pa.Table, state: pa.Table) -> pa.Table:
+        data = state.column("filter").to_pylist()
+        if not data or not lines.num_rows:
+            return lines.select(["row", "digest"]).slice(0, 0)
+        maybe = CuckooFilter.from_bytes(data[0]).maybe(*_halves(lines.column("digest").to_pylist()))
+        return lines.select(["row", "digest"]).filter(pa.array(maybe))
+
+    # lines of each shard are known from the counts, so are the parts that they are dealt to
+    load = F.ceil(F.sum("n") / PART_LINES).cast("long").alias("parts")
+    loads = write_once(counts.groupBy(_shard(shards).alias("shard")).agg(load), "line-loads")
+    lines = rows.select("row", "text").mapInArrow(explode, "row long, digest binary").withColumn("shard", _shard(shards))
+    lines = lines.join(F.broadcast(loads), "shard").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts")
+    asked = filters(counts, min_docs, shards).join(loads, "shard")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    passed = lines.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(ask, "row long, digest binary")
+    frequent = counts.where(F.col("n") >= min_docs).select("digest")
+    hits = passed.join(frequent, "digest", "left_semi").groupBy("row").agg(F.collect_set("digest").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
