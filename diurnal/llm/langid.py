@@ -179,9 +179,11 @@ class Network:
 
 
 def spread_windows(text: bytes) -> list[bytes]:
-    """At most ``SPREAD`` whole windows at even distances over a text."""
-    if len(text) < WINDOW:
+    """At most ``SPREAD`` windows at even distances over a text; a shorter text fills one by being repeated."""
+    if not text:
         return []
+    if len(text) < WINDOW:
+        return [((text + b" ") * (WINDOW // len(text) + 1))[:WINDOW]]
     starts = np.unique(np.linspace(0, len(text) - WINDOW, SPREAD).astype(int))
     return [text[s : s + WINDOW] for s in starts]
 
@@ -189,15 +191,16 @@ def spread_windows(text: bytes) -> list[bytes]:
 def fit(docs: DataFrame, per_lang: int = 150, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """Network trained on the rows of ``docs`` with a language; None if there are none.
 
-    Texts shorter than a window are not learned from.
+    Texts of any length are learned from, if they have a letter. If none has, the most frequent language stands for all.
     """
-    labelled = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    slim = labelled.where(F.length(text) >= WINDOW).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"))
+    labelled = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull())
+    slim = labelled.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"))
     chosen = sample_by_hash(slim.distinct(), "lang", "key", per_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows = [(k, y, w) for k, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True) for w in spread_windows(t)]
+            texts = [(k, y, t) for k, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True) if has_letter(t)]
+            rows = [(k, y, w) for k, y, t in texts for w in spread_windows(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "lang", "window"])
 
     # the chosen ids are at most per_lang for each language
@@ -205,7 +208,8 @@ def fit(docs: DataFrame, per_lang: int = 150, key: str = "doc_id", text: str = "
     texts = texts.select(F.col("key").cast("string").alias("key"), "lang", "text")
     rows = sorted((r["lang"], r["key"], bytes(r["window"])) for r in texts.mapInArrow(cut, "key string, lang string, window binary").collect())
     if not rows:
-        return None
+        most = labelled.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").first()
+        return Network.new([most["lang"]]) if most else None
     languages = sorted({r[0] for r in rows})
     codes = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, WINDOW)
     truth = np.array([languages.index(r[0]) for r in rows])

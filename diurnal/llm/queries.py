@@ -25,7 +25,7 @@ def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     network = langid.fit(docs.where(crc_remainder("doc_id", 3) != 1))
     out = langid.identify(docs, network)
-    return out.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_top_k(spark: SparkSession, sf: str) -> DataFrame:
