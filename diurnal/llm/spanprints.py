@@ -2,9 +2,11 @@
 
 For each text, arrays hold the polynomial hash of every prefix, modulo two primes near 2^32.
 Two array reads give the hash of any span, so spans of any two texts are compared in constant
-time, and the longest common extension of two texts, from their starts or back from their
+time, and the longest common extension of two texts, from any two places or back from their
 ends, is found by binary search. A text's fingerprint is its length and whole-text hashes. The
-likeness of two texts is the share of the longer one that their common start and common end cover.
+likeness of two texts is the share of the longer one that spans common to both cover, in order: after a difference of at
+most ``APART`` code points on either side the comparison goes on where ``ANCHOR`` code points are equal again, and
+after a longer one with the common end.
 The hashes of an edited text follow from those of the two texts it is put together from.
 
 Texts are shuffled once, into ranges of the key; each task streams its range in order and
@@ -32,6 +34,8 @@ from .common import pieces, write_once
 #: Primes below 2^32 and the polynomials' bases.
 PRIMES = (4294967291, 4294967279)
 BASES = (2654435769, 1640531513)
+#: Code points of a difference that is passed over, and of what must be equal behind it.
+APART, ANCHOR = 256, 24
 
 
 class Powers:
@@ -93,14 +97,14 @@ def same_span(x, i: int, y, j: int, length: int, moduli: range = range(len(PRIME
     return True
 
 
-def common_extension(x, y, back: bool = False) -> int:
-    """Length of the longest common start (or end, with ``back``) of two texts."""
+def common_extension(x, y, back: bool = False, i: int = 0, j: int = 0) -> int:
+    """Length of the longest common span from the places ``i`` and ``j`` of two texts (or, with ``back``, at their ends)."""
 
     def same(k: int, moduli: range) -> bool:
-        return same_span(x, x.n - k, y, y.n - k, k, moduli) if back else same_span(x, 0, y, 0, k, moduli)
+        return same_span(x, x.n - k, y, y.n - k, k, moduli) if back else same_span(x, i, y, j, k, moduli)
 
     def search(moduli: range) -> int:
-        low, high = 0, min(x.n, y.n)
+        low, high = 0, min(x.n - i, y.n - j)
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if same(middle, moduli) else (low, middle - 1)
@@ -114,15 +118,36 @@ def fingerprint(x) -> str:
     return f"{x.n:x}-" + "".join(f"{x.upto(x.n, m):08x}" for m in range(len(PRIMES)))
 
 
+def behind_difference(a: str, i: int, b: str, j: int) -> tuple[int, int] | None:
+    """The nearest places behind ``i`` and ``j`` from which the texts are equal for a while; None beyond ``APART``."""
+    there: dict[str, int] = {}
+    for q in range(j, min(j + APART, len(b) - ANCHOR) + 1):
+        there.setdefault(b[q : q + ANCHOR], q)
+    best = None
+    for p in range(i, min(i + APART, len(a) - ANCHOR) + 1):
+        q = there.get(a[p : p + ANCHOR])
+        if q is not None and (best is None or p - i + q - j < best[0]):
+            best = p - i + q - j, p, q
+    return best and best[1:]
+
+
 def likeness(x, y) -> float:
-    """Share of the longer text covered by the common start and the common end."""
-    longer, shorter = max(x.n, y.n), min(x.n, y.n)
+    """Share of the longer text covered by common spans, in order, and at last the common end."""
+    longer = max(x.n, y.n)
     if not longer:
         return 1.0
-    start = common_extension(x, y)
-    if start == shorter:
-        return start / longer
-    return min(start + common_extension(x, y, back=True), shorter) / longer
+    matched = i = j = 0
+    while i < x.n and j < y.n:
+        k = common_extension(x, y, i=i, j=j)
+        matched, i, j = matched + k, i + k, j + k
+        if i == x.n or j == y.n:
+            break
+        found = behind_difference(x.text, i, y.text, j)
+        if found is None:
+            matched += min(common_extension(x, y, back=True), x.n - i, y.n - j)
+            break
+        i, j = found
+    return matched / longer
 
 
 def compare(own: PrefixHashes, following: PrefixHashes) -> tuple:

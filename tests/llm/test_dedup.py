@@ -163,9 +163,44 @@ def test_fingerprints_all_documents(spark, sf):
 
 
 def _likeness(a, b):
-    start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    end = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
-    return min(start + end, min(len(a), len(b))) / max(len(a), len(b)) if a or b else 1.0
+    """Common spans one character at a time, over differences of bounded length, then the common end."""
+    same = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    matched = i = j = 0
+    while i < len(a) and j < len(b):
+        k = same(a[i:], b[j:])
+        matched, i, j = matched + k, i + k, j + k
+        if i == len(a) or j == len(b):
+            break
+        size = spanprints.ANCHOR
+        steps = [(p + q, p, q) for p in range(spanprints.APART + 1) for q in range(spanprints.APART + 1) if a[i + p : i + p + size] == b[j + q : j + q + size] and i + p + size <= len(a) and j + q + size <= len(b)] if _shares(a[i : i + 300], b[j : j + 300], size) else []
+        if not steps:
+            matched += min(same(a[::-1], b[::-1]), len(a) - i, len(b) - j)
+            break
+        i, j = i + min(steps)[1], j + min(steps)[2]
+    return matched / max(len(a), len(b)) if a or b else 1.0
+
+
+def _shares(a, b, size):
+    return bool({a[k : k + size] for k in range(len(a) - size + 1)} & {b[k : k + size] for k in range(len(b) - size + 1)})
+
+
+def test_likeness_of_scattered_edits():
+    """A thousand words, two of them different, one near each end; insertions and deletions; a moved block."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(1000)]
+    edited = list(words)
+    edited[9], edited[985] = "another", "x"
+    p = spanprints.PrefixHashes
+    assert spanprints.likeness(p(" ".join(words)), p(" ".join(edited))) > 0.99
+    fewer = [w for k, w in enumerate(words) if k % 60]
+    more = [v for k, w in enumerate(words) for v in ([w, "more words here"] if k % 90 == 7 else [w])]
+    for other in (fewer, more):
+        value = spanprints.likeness(p(" ".join(words)), p(" ".join(other)))
+        assert 0.9 < value <= 1 and value == pytest.approx(_likeness(" ".join(words), " ".join(other)))
+    half = words[500:] + words[:500]
+    assert spanprints.likeness(p(" ".join(words)), p(" ".join(half))) < 0.1  # spans count in order only
+    other = ["".join(rng.choice("mnopqrst") for _ in range(5)) for _ in range(1000)]
+    assert spanprints.likeness(p(" ".join(words)), p(" ".join(other))) < 0.01
 
 
 def test_fingerprints_odd_rows(odd, empty):

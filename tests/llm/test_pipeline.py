@@ -82,3 +82,13 @@ def test_stages_on_odd_rows(spark, sf, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = write_once(stage(spark, docs, sf), "no-stage")
         assert docs.count() == 0
+
+
+def test_stages_carry_columns_whose_names_clash(spark, sf, odd):
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    columns, extra = docs.columns, {r["key"] for r in odd.select("key").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = write_once(stage(spark, docs, sf), "clash-stage")
+        assert docs.columns == columns and docs.count() > 0, name
+        assert {r["key"] for r in docs.select("key").collect()} == extra
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
