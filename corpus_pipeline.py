@@ -1,7 +1,10 @@
 """Corpus pipeline: toxicity, line dedup, near-dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, and others that a table has, whatever their names.
+
+In every stage rows without id and rows repeated are rows like others unless it says more, null texts stay null
+and count as empty, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
+    """Documents whose toxicity score stays below the threshold.
+
+    Rows without id cannot be examples, but are scored. Without labels of both kinds all rows share one score: that of the
+    labels' share (0.5 without any label). Null and empty texts have the score of examples without words.
+    """
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(_keyed(docs), model, key="row")
@@ -31,7 +38,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them have; emptied ones stay."""
+    """Documents without the lines that ten or more of them have; emptied ones stay.
+
+    A repeated row is another document with its lines. A null text stays null; ``n_chars`` is counted anew where there is a text.
+    """
     prepare(spark)
     cleaned = linededup.dedup_lines(_keyed(docs), key="row")
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.when(F.col("row.text").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars"))}
@@ -58,12 +68,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, shard by shard."""
+    """Documents as often as the mix takes them, shard by shard.
+
+    Rows without source are a source of their own, the last. Texts without words have size 0 and come along with their
+    block, as often as its other rows.
+    """
     return mixing.mix_documents(docs).select(*_columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document and the digests of its round trip."""
+    """Ids of every document and the digests of its round trip; none for a null or empty text."""
     prepare(spark)
     trips = sentencepieces.round_trip(docs)
     digests = ["doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
