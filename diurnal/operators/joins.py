@@ -74,13 +74,11 @@ def salted(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Sequence[
 
     Without ``spread`` a row of a hot key is repeated for all its parts.
     """
-    marked = df.withColumn(_HASH, F.xxhash64(*keys)).join(F.broadcast(hot), _HASH, "left").drop(_HASH)
-    parts = F.coalesce(_PARTS, F.lit(1).cast("bigint"))
+    entries = ", ".join(f"{r[_HASH]}L, {r[_PARTS]}L" for r in hot.collect())  # a bounded local table
+    parts = F.coalesce(F.try_element_at(F.expr(f"cast(map({entries}) as map<bigint, bigint>)"), F.xxhash64(*keys)), F.lit(1).cast("bigint"))
     if spread is None:
-        salt = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    else:
-        salt = F.pmod(F.xxhash64(*spread), parts)
-    return marked.withColumn(_SALT, salt).drop(_PARTS)
+        return df.withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return df.withColumn(_SALT, F.pmod(F.xxhash64(*spread), parts))
 
 
 def attach(

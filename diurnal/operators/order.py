@@ -1,7 +1,7 @@
 """Ranks, quantiles and running totals that never gather a whole group in one task.
 
 A window over a group sorts that group in a single task. The operators here first fold
-equal values (with partial aggregation), cut the folded rows into ranges of (group, value) of
+equal values (with partial aggregation), cut the folded rows of larger groups into ranges of (group, value) of
 about ``BIN_ROWS`` rows, and run windows only inside a range and over the ranges. The number
 of ranges grows with the rows, so a window is bounded whatever a group holds. Results are
 exact: sampling decides where the cuts are, not what is counted.
@@ -39,6 +39,8 @@ def _ranges(
 ) -> tuple[DataFrame, DataFrame]:
     """Folded rows with the ``_bin`` they lie in, and one row per (keys, ``_bin``) with totals.
 
+    Only groups of more than ``bin_rows`` folded rows are cut; any other is a range by itself.
+
     The second table has the known rows and weights in the bin (``_n``, ``_w``), those of the
     group before it (``_n_start``, ``_w_start``), and of the whole group (``_n_all``, ``_w_all``,
     ``_n_null``). Its windows see one row per range of a group.
@@ -49,12 +51,16 @@ def _ranges(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_w", F.col("_n") * (F.col(weight) if weight else F.lit(1)))
     )
-    parts = -(-tally.count() // bin_rows)
-    if parts > 1:
-        dealt = tally.repartitionByRange(parts, *keys, *by)
-        binned = settle(dealt.withColumn("_bin", F.spark_partition_id()))
+    whole = lambda rows: rows.withColumn("_bin", F.lit(0))
+    large = settle(tally.groupBy(*keys).count().filter(F.col("count") > bin_rows)) if tally.count() > bin_rows else None
+    if large is None or large.isEmpty():
+        binned = whole(tally)
     else:
-        binned = tally.withColumn("_bin", F.lit(0))
+        parts = -(-large.agg(F.sum("count")).first()[0] // bin_rows)
+        cut = attach(tally, large.select(*keys), keys, by, "left_semi")
+        dealt = cut.repartitionByRange(parts, *keys, *by)
+        cut = settle(dealt.withColumn("_bin", F.spark_partition_id()))
+        binned = cut.unionByName(whole(attach(tally, large.select(*keys), keys, by, "left_anti")))
     known = F.col(value).isNotNull()
     totals = binned.groupBy(*keys, "_bin").agg(
         F.sum(F.when(known, F.col("_n"))).alias("_n"),
