@@ -4,6 +4,9 @@ Edges are cut at the corners that lie on them, so neighbours whose corners do no
 pieces; pieces used in both directions cancel. What is left is linked to rings: at a corner the next piece is the
 one that bounds the same land, and rings are found and ordered by pointer jumping, whose rounds are
 as many as the binary digits of the longest ring. No group is assembled in one task, only each ring.
+
+Joins carry a merge hint: files of corners and links compress so well that Catalyst would broadcast tables of
+gigabytes through the driver.
 """
 
 from __future__ import annotations
@@ -57,14 +60,14 @@ def noded(e: DataFrame, group: Sequence[str], tolerance: float) -> DataFrame:
     left = F.when(flat, F.least("x1", "x2")).otherwise(F.least(*inside)) - tolerance
     right = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(*inside)) + tolerance
     listed = rows.withColumn("_cx", F.explode(F.sequence(slot(left), slot(right))))
-    met = natural_join(listed, corners, "inner", [*group, "_cx", "_cy"])
+    met = natural_join(listed, corners.hint("merge"), "inner", [*group, "_cx", "_cy"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     size = F.hypot(dx, dy)
     along = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / size
     beside = F.abs((F.col("x") - F.col("x1")) * dy - (F.col("y") - F.col("y1")) * dx) / size
     on = met.filter((beside <= tolerance) & (along > tolerance) & (along < size - tolerance))
     cuts = on.groupBy(*group, *_ENDS).agg(F.array_sort(F.collect_set(F.struct(along.alias("t"), "x", "y"))).alias("_cuts"))
-    cut = natural_join(e, cuts, "left", [*group, *_ENDS])
+    cut = natural_join(e, cuts.hint("merge"), "left", [*group, *_ENDS])
     path = F.expr(
         "concat(array(named_struct('x', x1, 'y', y1)), coalesce(transform(_cuts, c -> named_struct('x', c.x, 'y', c.y)), array()), array(named_struct('x', x2, 'y', y2)))"
     )
@@ -94,15 +97,15 @@ def _linked(pieces: DataFrame, group: Sequence[str]) -> DataFrame:
     )
     back = F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2"))
     turn = F.pmod(back - F.col("_out"), F.lit(2 * math.pi))
-    met = natural_join(own.select(*group, "x2", "y2", "id", back.alias("_back"), "x1", "y1"), out, "inner", [*group, "x2", "y2"])
+    met = natural_join(own.select(*group, "x2", "y2", "id", back.alias("_back"), "x1", "y1"), out.hint("merge"), "inner", [*group, "x2", "y2"])
     nexts = met.groupBy("id").agg(F.min_by("_to", F.when(turn > 1e-12, turn).otherwise(2 * math.pi)).alias("to"))
-    return settle(own.join(nexts, "id"))
+    return settle(own.join(nexts.hint("merge"), "id"))
 
 
 def _jumped(state: DataFrame, new: dict[str, Column]) -> DataFrame:
     """One round of pointer jumping: ``t_`` columns are those of the piece that is pointed at."""
     there = state.select(*[F.col(c).alias(f"t_{c}") for c in state.columns])
-    met = state.join(there, F.col("to") == F.col("t_id"))
+    met = state.join(there.hint("merge"), F.col("to") == F.col("t_id"))
     return settle(met.withColumns(new).select(*state.columns))
 
 
@@ -116,7 +119,7 @@ def _ranked(linked: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    order = linked.select("id", "to").join(state.select("id", F.col("head.id").alias("ring")), "id")
+    order = linked.select("id", "to").join(state.select("id", F.col("head.id").alias("ring")).hint("merge"), "id")
     state = settle(order.withColumns({"steps": F.lit(1).cast("bigint"), "done": F.col("to") == F.col("ring")}))
     while not state.filter(~F.col("done")).isEmpty():  # pieces left to the head, 1, 2, 4, ... at a time
         go = ~F.col("done")
@@ -129,7 +132,7 @@ def _ranked(linked: DataFrame) -> DataFrame:
             },
         )
     place = F.when(F.col("id") == F.col("ring"), F.lit(0).cast("bigint")).otherwise(-F.col("steps"))
-    return settle(linked.join(state.select("id", "ring", place.alias("place")), "id"))
+    return settle(linked.join(state.select("id", "ring", place.alias("place")).hint("merge"), "id"))
 
 
 def rings(pieces: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -146,7 +149,7 @@ def rings(pieces: DataFrame, group: Sequence[str]) -> DataFrame:
     again = placed.withColumn("_n", F.count(F.lit(1)).over(visits)).withColumn("_own", F.coalesce(before, last))
     again = settle(again.filter("_n > 1").select(F.col("id").alias("to"), "_own"))
     if not again.isEmpty():
-        closed = placed.drop("ring", "place").join(again, "to", "left").withColumn("to", F.coalesce("_own", "to"))
+        closed = placed.drop("ring", "place").join(again.hint("merge"), "to", "left").withColumn("to", F.coalesce("_own", "to"))
         placed = _ranked(settle(closed.drop("_own")))
     whole = placed.groupBy(*group, "ring").agg(F.array_sort(F.collect_list(F.struct("place", "x1", "y1"))).alias("_at"))
     # the head has place 0, so it is last in order; it is put first and repeated at the end

@@ -96,3 +96,18 @@ def test_long_rings_take_few_rounds(spark, monkeypatch):
 
 def test_no_polygons(spark):
     assert outlines.outlines(layer(spark, []), ["name"], 1e-9).collect() == []
+
+
+def test_no_table_of_outlines_goes_through_the_driver(spark, monkeypatch):
+    """Written tables compress well: by the size of their files Catalyst would broadcast them however long they are."""
+    plans = []
+    settle = outlines.settle
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(outlines, "settle", spied)
+    shapes = [("g", [box(float(x), 0.0, x + 1.0, 1.0)]) for x in range(40)] + [("g", [box(50.0, 0.0, 51.0, 1.0)]), ("g", [box(51.0, 1.0, 52.0, 2.0)])]
+    assert sorted(a for _, _, a, _ in found(spark, shapes)) == [1.0, 1.0, 40.0]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
