@@ -82,17 +82,25 @@ def points_in_polygons(
     )
 
 
+#: Edges that a task of ``dissolve`` counts, about.
+TASK_EDGES = 500_000
+
+
 def dissolve(polygons: DataFrame, group: Sequence[str], rings: str = "rings") -> DataFrame:
     """Outline of each group as boundary segments: the edges used by one polygon only.
 
-    Exact for layers whose neighbours share vertices. Edges are counted with partial
-    aggregation; no polygon is ever assembled in one place.
+    Exact for layers whose neighbours share vertices. Edges are dealt to as many tasks as their number
+    needs before any are counted, since a small file of polygons is one task whose table of edges would hold
+    them all; no polygon is ever assembled in one place.
     """
+    edge_count = polygons.agg(F.sum(F.size(edges(rings)).cast("long"))).first()[0] or 0
+    parts = max(1, -(-edge_count // TASK_EDGES))
     e = polygons.select(*group, F.explode(edges(rings)).alias("e"))
     first = F.struct(F.col("e.x1").alias("x"), F.col("e.y1").alias("y"))
     second = F.struct(F.col("e.x2").alias("x"), F.col("e.y2").alias("y"))
     return (
         e.select(*group, F.least(first, second).alias("p"), F.greatest(first, second).alias("q"))
+        .repartition(parts, *group, "p", "q")
         .groupBy(*group, "p", "q")
         .agg(F.count(F.lit(1)).alias("_uses"))
         .filter(F.col("_uses") == 1)

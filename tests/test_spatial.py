@@ -52,6 +52,17 @@ def test_dissolve_drops_shared_edges(spark):
     assert got.filter("x1 = 1 and x2 = 1").count() == 0
 
 
+def test_dissolve_deals_edges_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TASK_EDGES", 50)
+    square = lambda x: [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0), (x, 0.0)]
+    shapes = layer(spark, [("g", [square(float(x))]) for x in range(100)]).coalesce(1)
+    got = spatial.dissolve(shapes, ["name"])
+    assert got.count() == 202 and got.rdd.getNumPartitions() == 8
+    # edges are dealt out before any task counts them
+    plan = spatial.dissolve(shapes, ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")
+
+
 def test_albers_published_example(spark):
     """Snyder (1987, p. 292): Clarke 1866, 35 N 75 W, parallels 29.5 and 45.5, origin 23 N 96 W."""
     at = albers(F.lit(-75.0), F.lit(35.0), 29.5, 45.5, 23.0, -96.0, axis=6378206.4, e2=0.00676866)
