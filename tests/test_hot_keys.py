@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diurnal.operators import joins, order
+from diurnal.plans.analyses import od_flows
 
 
 def test_only_hot_groups_are_copied(no_broadcast):
@@ -73,3 +74,33 @@ def test_fill_down_windows_stay_bounded(spark):
     assert len(windows) == 2  # inside ranges by place, and over the ranges of a key
     assert any("_place" in w and "_bin" in w for w in windows) and all("_bin" in w for w in windows)
     assert out.filter("k = -1 and v is null and p > 997").count() == 0
+
+
+@pytest.fixture
+def counted(no_broadcast, monkeypatch):
+    """Plans of the tables in which hot keys are looked for."""
+    plans = []
+    look = joins.hot_keys
+    monkeypatch.setattr(joins, "hot_keys", lambda rows, keys: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or look(rows, keys))
+    return plans
+
+
+def test_flows_are_computed_once_for_both_ends(spark, counted):
+    flows = spark.range(200).selectExpr("id % 7 as res_id", "id % 5 as pow_id", "1.0 as n").groupBy("res_id", "pow_id").agg(F.sum("n").alias("n"))
+    places = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, metro_id long")
+    got = joins.join_both_ends(flows, places, "id")
+    assert sum(r["n"] for r in got.collect()) == 200 and got.count() == 35
+    assert got.filter("res_id = 6 and res_metro_id is null").count() == 5
+    assert len(counted) == 2 and not any("Aggregate" in p or "Join" in p for p in counted)
+
+
+def test_flows_meet_metros_before_the_rows_of_their_ends(spark, counted):
+    """Labels that stand for many tracts repeat only the flows inside a metro."""
+    flows = spark.createDataFrame([("a", "b", 5.0, 2.0, 3.0), ("a", "c", 5.0, 2.0, 3.0), (None, "b", 4.0, 4.0, 0.0), ("d", "b", 9.0, 9.0, 9.0)], "res_id string, pow_id string, total_est double, nhw_est double, oth_est double")
+    ends = spark.createDataFrame([("a", 1, 0.1), ("a", 1, 0.2), ("a", 2, 0.3), ("b", 1, 1.0), ("c", 3, 2.0), (None, 1, 7.0), ("d", None, 8.0), ("b", None, 9.0)], "id string, metro_id int, x double")
+    home = spark.createDataFrame([("a", "P", "Q")], "res_id string, pm_cat string, am_cat string")
+    work = spark.createDataFrame([("b", "W"), ("b", "V"), ("c", "W")], "pow_id string, cat string")
+    got = sorted((r["res_id"] or "", r["res_x"], r["pow_x"], r["pm_cat"] or "", r["cat"], r["name"], r["value"]) for r in od_flows(flows, ends, home, work).collect())
+    inside = [("a", x, 1.0, "P", w, n, v) for x in (0.1, 0.2) for w in ("V", "W") for n, v in (("nhw_est", 2.0), ("oth_est", 3.0))]
+    assert got == sorted(inside + [("", 7.0, 1.0, "", w, "nhw_est", 4.0) for w in ("V", "W")])
+    assert len(counted) == 4 and not any("Join" in p for p in counted)
