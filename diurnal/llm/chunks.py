@@ -46,21 +46,24 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
 #: Chunks up to this many bytes are compared as four words of eight bytes; longer ones count as distinct.
 _WIDE = 32
+#: Lowest bits of a hash, which have the chunk's length.
+_LENGTH = np.uint64(63)
 
 
-def distinct_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than ASCII white space: ``starts``, ``ends``, ``number``, ``first``, ``keys``.
+def chunk_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` and ``ends`` of the runs of bytes other than ASCII white space."""
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[0::2], edges[1::2]
+
 
-    ``first`` has one occurrence of each distinct chunk, and ``number`` tells for each chunk
-    which of these it equals, so that results for the distinct ones can be laid out by position.
-    ``keys`` has five words for each distinct chunk: a hash, by which they are sorted, and the
-    chunk's bytes, zero-padded; equality is always decided on the bytes. The hash of a
-    chunk longer than ``_WIDE`` bytes is 0, and each occurrence stands for itself.
+def chunk_keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Five words for each chunk: a hash with the length in its lowest bits, and its bytes, zero-padded.
+
+    Equality is always decided on the bytes. The hash of a chunk longer than ``_WIDE`` bytes is 0, and its
+    first word its number.
     """
     padded = np.frombuffer(data + bytes(_WIDE + 8), np.uint8)
-    blank = np.concatenate([[True], _BLANK[padded[: len(data)]], [True]])
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[0::2], edges[1::2]
     length = ends - starts
     at_any = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 7,), (1,))
     keys = np.zeros((_WIDE // 8 + 1, len(starts)), np.uint64)
@@ -73,11 +76,19 @@ def distinct_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         w = (w ^ h[own]) * np.uint64(0xBF58476D1CE4E5B9)
         h[own] = w ^ (w >> np.uint64(29))
     long = np.flatnonzero(length > _WIDE)
-    h |= np.uint64(1)
+    h = (h & ~_LENGTH) | (length.astype(np.uint64) & _LENGTH)
     h[long], keys[1, long] = 0, long
     keys[0] = h
-    order = np.argsort(h)
-    ranked = h[order]
+    return keys
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``number`` and ``first`` of keys: which of the distinct ones each equals, and one occurrence of each of these.
+
+    The distinct ones are in the order of their hashes.
+    """
+    order = np.argsort(keys[0])
+    ranked = keys[0][order]
     new = np.ones(len(order), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     differs = np.zeros(max(len(order) - 1, 0), bool)
@@ -90,52 +101,66 @@ def distinct_chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         new[1:] = (ranked[:, 1:] != ranked[:, :-1]).any(0)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    return starts, ends, number, order[new], keys[:, order[new]]
+    return number, order[new]
 
 
 class FlatTable:
-    """Ids of distinct chunks in arrays: sorted keys, and for each where its ids lie.
+    """Ids of chunks in arrays: a slot for each of the hash's highest bits, and in it where a chunk's ids lie.
 
-    When a look-up would leave more than ``capacity`` entries, those it did not use are dropped.
+    Of two chunks with one slot the later one stays. There are at least twice ``capacity`` slots; when the
+    array of ids is full, the table begins anew.
     """
 
     def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.keys, self.sizes, self.ids = np.zeros((_WIDE // 8 + 1, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        bits = max(1, (2 * capacity - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros((_WIDE // 8 + 1, 1 << bits), np.uint64)
+        self.begins, self.sizes = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.ids, self.used = np.zeros(8 * capacity, np.uint32), 0
 
-    def look_up(self, keys: np.ndarray, encode: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``begin`` and ``size`` of the ids of each key (sorted, distinct), and the array they lie in.
+    def look_up(self, keys: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``begin`` and ``size`` of the ids of each key, and the array they lie in.
 
-        ``encode`` gets the numbers of the unknown keys and returns their ids.
+        ``encode`` gets the numbers of the unknown keys, of equal ones one, and returns their sizes and ids.
+        The array holds until the next call.
         """
-        n = keys.shape[1]
-        known = np.zeros(n, bool)
-        if self.keys.shape[1]:
-            at = np.minimum(np.searchsorted(self.keys[0], keys[0]), self.keys.shape[1] - 1)
-            known = (self.keys[:, at] == keys).all(0) & (keys[0] > 0)
+        slot = (keys[0] >> self.shift).astype(np.int64)
+        known = (keys[0] > 0) & (self.keys[0][slot] == keys[0]) & (self.keys[1][slot] == keys[1])
+        for k in range(2, len(keys)):  # chunks of one hash are equally long
+            own = np.flatnonzero(known & ((keys[0] & _LENGTH) > 8 * (k - 1)))
+            known[own] = self.keys[k][slot[own]] == keys[k][own]
+        begin, size, ids = self.begins[slot], self.sizes[slot], self.ids
         new = np.flatnonzero(~known)
-        found = encode(new) if len(new) else []
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins = np.cumsum(self.sizes) - self.sizes
-        begin, size = np.empty(n, np.int64), np.empty(n, np.int64)
-        if known.any():
-            begin[known], size[known] = begins[at[known]], self.sizes[at[known]]
-        begin[new], size[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
-        ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
-        self._keep(keys, known, begin, size, begins, ids)
+        if len(new):
+            number, first = distinct(keys[:, new])
+            first = new[first]
+            sizes, more = encode(first)
+            begins = self.used + np.cumsum(sizes) - sizes
+            begin[new], size[new] = begins[number], sizes[number]
+            ids = self._keep(keys, slot, first, begins, sizes, more)
         return begin, size, ids
 
-    def _keep(self, keys, known, begin, size, begins, ids) -> None:
-        lasting = ~known & (keys[0] > 0)
-        old, old_begin, old_size = self.keys, begins, self.sizes
-        if old.shape[1] + lasting.sum() > self.capacity:
-            old, old_begin, old_size, lasting = old[:, :0], begins[:0], self.sizes[:0], keys[0] > 0
-        every = np.concatenate([old, keys[:, lasting]], 1)
-        begin, size = np.concatenate([old_begin, begin[lasting]]), np.concatenate([old_size, size[lasting]])
-        order = np.argsort(every[0], kind="stable")
-        single = np.ones(len(order), bool)
-        single[1:] = every[0][order][1:] != every[0][order][:-1]  # of two with one hash the first stays
-        order = order[single]
-        self.keys, self.sizes, begin = every[:, order], size[order], begin[order]
-        places = np.repeat(begin - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(self.sizes.sum())
-        self.ids = ids[places]
+    def _keep(self, keys, slot, first, begins, sizes, more) -> np.ndarray:
+        """Store the chunks at ``first`` and return the array that their ids and all others lie in."""
+        if self.used + len(more) > len(self.ids):
+            ids, self.used = np.concatenate([self.ids[: self.used], more]), 0
+            self.keys[0] = 0
+            return ids
+        self.ids[self.used : self.used + len(more)] = more
+        self.used += len(more)
+        lasting = keys[0, first] > 0
+        first, begins, sizes = first[lasting], begins[lasting], sizes[lasting]
+        if len(first):  # in the order of slots, the last of each
+            last = np.append(np.diff(slot[first]) != 0, True)
+            first, at = first[last], slot[first[last]]
+            self.keys[:, at] = keys[:, first]
+            self.begins[at], self.sizes[at] = begins[last], sizes[last]
+        return self.ids
+
+
+def laid_out(begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of chunks one after the other, and how many there are before each chunk and in all."""
+    after = np.concatenate([[0], np.cumsum(size)])
+    places = np.repeat(begin - after[:-1], size)
+    places += np.arange(after[-1])
+    return ids[places], after

@@ -18,6 +18,7 @@ table an empty one. Only the id and text columns are read.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -28,19 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, FlatTable, distinct_chunks
+from .chunks import FlatTable, chunk_keys, chunk_places, laid_out
 from .common import BLANKS, pieces, utf8
 from .prefix_counts import PrefixCounter
 
 #: Bytes of texts whose chunks are looked up together, about.
 TOGETHER = 1 << 19
-#: Stands between the ids of chunks; no token has this id.
-_GAP = np.uint32(0xFFFFFFFF)
 
 # After lower-casing, chunks without _OTHER consist of digits, signs, and letters that
 # lower-case one to one and are in composed form already.
 _OTHER = re.compile("[^\n!-~À-ÖØ-öø-įı-ſ]|<\\|(?:start|end)oftext\\|>")
-_WORD = re.compile("[a-zß-öø-ſ]+|\n|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
+_WORD = re.compile("[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
+_QUOTED = re.compile(rb"[^\n]*'[^\n]*")
+_LINE_END, _LETTER, _DIGIT, _SIGN = range(4)
+#: What a byte of such chunks belongs to: those of letters beyond ASCII are 128 and above.
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[ord("\n")], _KIND[ord("0") : ord("9") + 1], _KIND[ord("a") : ord("z") + 1], _KIND[128:] = _LINE_END, _DIGIT, _LETTER, _LETTER
 _CHUNK = re.compile(rb"[^%b]+" % BLANKS)
 
 
@@ -62,45 +66,52 @@ class Encoder:
         # each word's last id, and no other, stands for a token with the word-end mark
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
-        self.words = ChunkTable(self._ids_of_words, capacity=200_000)
+        self.words = FlatTable(capacity=400_000)
         self.chunks = FlatTable(capacity=400_000)
 
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _ids_of_words(self, words: list[str]) -> list[bytes]:
-        """Words as one text, whose ids are cut after each word's last one."""
-        if "\n" in words:  # it was dropped from the table with an old generation
-            at = words.index("\n")
-            rest = words[:at] + words[at + 1 :]
-            out = self._ids_of_words(rest) if rest else []
-            return [*out[:at], _GAP.tobytes(), *out[at:]]
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words, encoded as one text, whose ids end with each word's last one."""
         ids = np.array(self._encode([" ".join(words)])[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):
             return self._ids_alone(words)
-        return _slices(ids.tobytes(), stops)
+        return np.diff(stops, prepend=0), ids
 
-    def _ids_alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._encode(texts)]
+    def _ids_alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._encode(texts)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(itertools.chain.from_iterable(found), np.uint32)
 
-    def _ids_of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+    def _ids_of_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of chunks: by their words, or by the library those with what it alone can cut."""
         joined = b"\n".join(chunks).decode()
-        if _OTHER.search(joined):
-            texts = joined.split("\n")
-            other = [i for i, t in enumerate(texts) if _OTHER.search(t)]
-            apart = set(other)
-            usual = [t for i, t in enumerate(texts) if i not in apart]
-            usual = iter(self._ids_of_lines("\n".join(usual)) if usual else ())
-            alone = iter(self._ids_alone([texts[i] for i in other]))
-            return [next(alone) if i in apart else next(usual) for i in range(len(texts))]
-        return self._ids_of_lines(joined)
-
-    def _ids_of_lines(self, text: str) -> list[bytes]:
-        """Ids of chunks, one a line, through the table of words."""
-        ids = np.frombuffer(b"".join(self.words.results(_WORD.findall(text.lower() + "\n"))), "<u4")
-        gaps = np.flatnonzero(ids == _GAP)
-        return _slices(ids.tobytes(), gaps, skip=1)
+        if not _OTHER.search(joined):
+            return self._ids_of_lines(joined)
+        texts = joined.split("\n")
+        other = np.fromiter((_OTHER.search(t) is not None for t in texts), bool, len(texts))
+        alone = self._ids_alone([t for t, o in zip(texts, other, strict=True) if o])
+        usual = [t for t, o in zip(texts, other, strict=True) if not o]
+        by_words = self._ids_of_lines("\n".join(usual)) if usual else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        size = np.empty(len(texts), np.int64)
+        size[~other], size[other] = by_words[0], alone[0]
+        begin = np.empty(len(texts), np.int64)
+        begin[~other] = np.cumsum(by_words[0]) - by_words[0]
+        begin[other] = len(by_words[1]) + np.cumsum(alone[0]) - alone[0]
+        return size, laid_out(begin, size, np.concatenate([by_words[1], alone[1]]))[0]
+
+    def _ids_of_lines(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of chunks, one a line, through the table of words."""
+        data = text.lower().encode()  # as many bytes: the letters of such chunks keep their length
+        starts, ends = _word_places(data)
+
+        def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self._ids_of_words([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+
+        ids, after = laid_out(*self.words.look_up(chunk_keys(data, starts, ends), encode))
+        lines = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == ord("\n")), len(data))
+        return np.diff(after[np.searchsorted(starts, lines)], prepend=0), ids
 
     def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per text all ids (uint32) and the token counts after each chunk, 0 before the first."""
@@ -114,20 +125,14 @@ class Encoder:
             at = to
 
     def _encode_together(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Distinct chunks are looked up once, and their ids laid out by position."""
+        """Chunks are looked up in arrays, unknown ones encoded once, and their ids laid out by position."""
         data = b"\n".join(texts)
-        starts, ends, number, first, keys = distinct_chunks(data)
-
-        def encode(new: np.ndarray) -> list[bytes]:
-            at = first[new]
-            return self._ids_of_chunks([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-
-        begin, size, flat = self.chunks.look_up(keys, encode)
-        counts = size[number]
-        after = np.concatenate([[0], np.cumsum(counts)])
-        places = np.repeat(begin[number] - after[:-1], counts)
-        places += np.arange(after[-1])
-        ids = flat[places]
+        starts, ends = chunk_places(data)
+
+        def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self._ids_of_chunks([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+
+        ids, after = laid_out(*self.chunks.look_up(chunk_keys(data, starts, ends), encode))
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
         chunk_at = np.searchsorted(starts, bounds)
         for a, b in zip(chunk_at[:-1].tolist(), chunk_at[1:].tolist(), strict=True):
@@ -178,13 +183,20 @@ class Encoder:
         return before + self.cut(chunk, budget - int(counts[k]))
 
 
-def _slices(data: bytes, stops: np.ndarray, skip: int = 0) -> list[bytes]:
-    """Ids up to each stop; ``skip`` ids after it are left out."""
-    out, at = [], 0
-    for stop in (stops * 4).tolist():
-        out.append(data[at:stop])
-        at = stop + 4 * skip
-    return out
+def _word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` and ``ends`` of the words of lower-case chunks, one a line: as ``_WORD`` finds them."""
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    begins = np.ones(len(kind), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    if b"'" in data:
+        for m in _QUOTED.finditer(data):  # of a line with apostrophes the words are found one by one
+            begins[m.start() : m.end()] = False
+            text = m[0].decode()
+            sizes = (len(w.encode()) for w in _WORD.findall(text))
+            begins[m.start() + np.cumsum([0, *sizes])[:-1]] = True
+    edges = np.append(np.flatnonzero(begins | (kind == _LINE_END)), len(kind))
+    word = kind[edges[:-1]] != _LINE_END
+    return edges[:-1][word], edges[1:][word]
 
 
 @functools.cache

@@ -74,6 +74,45 @@ def test_chunk_table_is_bounded():
     assert sum("a" in c for c in calls) == 1  # a frequent chunk stays
 
 
+def test_flat_table_encodes_each_unknown_chunk_once():
+    """Chunks are looked up as they come; clashes, a full array of ids and long chunks change no result."""
+    from diurnal.llm.chunks import FlatTable, chunk_keys, chunk_places, laid_out
+
+    def looked_up(table, data):
+        starts, ends = chunk_places(data)
+        asked = []
+
+        def encode(new):
+            own = [data[a:b] for a, b in zip(starts[new], ends[new], strict=True)]
+            asked.extend(own)
+            return np.array([len(c) for c in own]), np.frombuffer(b"".join(own), np.uint8).astype(np.uint32)
+
+        ids, after = laid_out(*table.look_up(chunk_keys(data, starts, ends), encode))
+        assert bytes(ids.astype(np.uint8)) == b"".join(data.split()) and len(after) == len(data.split()) + 1
+        return asked
+
+    data = b"a bb a  \n12345678 12345678 123456789 bb 123456780 " + b"x" * 32 + b" " + b"y" * 33 + b" a\t" + b"y" * 33
+    table = FlatTable(capacity=4_000)
+    assert sorted(looked_up(table, data)) == sorted([*set(data.split()), b"y" * 33])
+    assert sorted(looked_up(table, data + b" new bb new")) == [b"new", b"y" * 33, b"y" * 33]  # long ones are never kept
+    small = FlatTable(capacity=2)
+    rng = random.Random(5)
+    for _ in range(60):
+        looked_up(small, b" ".join(bytes(rng.choices(b"ab", k=rng.randrange(1, 5))) for _ in range(rng.randrange(40))))
+    assert small.keys.shape[1] == 4 and len(small.ids) == 16
+    looked_up(small, b" \n ")
+
+
+def test_words_of_lines_equal_the_pattern():
+    rng = random.Random(9)
+    signs = "abzst'rvemld019\"!?.,-_<|>[]{}`~@àßöøÿıſ"
+    for _ in range(400):
+        lines = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 6))]
+        data = "\n".join(lines).encode()
+        starts, ends = token_counts._word_places(data)
+        assert [data[a:b].decode() for a, b in zip(starts, ends, strict=True)] == [w for x in lines for w in token_counts._WORD.findall(x)]
+
+
 def test_token_counts_odd_rows(odd, empty, tokenizer):
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(odd, 100).collect()), key=str)
     want = []
