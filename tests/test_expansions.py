@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from diurnal.catalog import ORACLES, QUERIES, measures
 from diurnal.operators import expansions, kernels
 
 
@@ -65,3 +66,19 @@ def test_groups_of_many_parts(spark, monkeypatch, error=1e-8):
     env = np.array([got[1, *p] for p in xy.tolist()])
     assert (np.abs(env - want) <= error * np.array([a.sum(), b.sum()])).all()
     assert got[None, 1.0, 1.0] == (None, pytest.approx(2.0 + 3.0 * np.exp(-0.5)))
+
+
+def test_spatial_theil_counts_all_areas_of_a_metro(spark, monkeypatch):
+    """Areas beyond any radius are in one another's surroundings."""
+    rng = np.random.default_rng(2)
+    xy, c = np.r_[rng.uniform(0, 0.5, (20, 2)), rng.uniform(1.5, 2, (20, 2))], rng.integers(1, 30, (40, 5)).astype(float)
+    groups = ("nha", "nhb", "h", "nhw", "nho")
+    rows = [(1, "2000", i, *map(float, xy[i]), *map(float, c[i])) for i in range(40)]
+    areas = spark.createDataFrame(rows, "metro_id int, year string, unit_id int, x double, y double, " + ", ".join(f"res_{g}_est double" for g in groups))
+    monkeypatch.setattr(measures, "located", lambda *_: areas)
+    found = QUERIES["msr_spatial_theil"](spark, "").first()["spat_multi_theil_nhood"]
+    env = all_pairs(xy, xy, c[:, :4], measures.BETA)
+    share, t = env / env.sum(1, keepdims=True), c[:, :4].sum(1)
+    entropy = lambda p: -(p * np.log(p)).sum(-1)
+    assert found == pytest.approx(1 - (t * entropy(share)).sum() / (t.sum() * entropy(c[:, :4].sum(0) / t.sum())), abs=1e-6)
+    assert "where d <=" not in ORACLES["msr_spatial_theil"]
